@@ -77,14 +77,14 @@ def tail(text: str) -> dict:
     # an ellipsis after a capitalised phrase of up to three words is a manner of speaking
     spoken = "…" in mark[:4] and not mark.strip().endswith(("]", ")", ">")) or mark.strip() == "..."
     spoken = spoken and re.search(r"(?:^|\s)[A-ZÀ-ÖØ-Þ][\w'’]*(?:\s[\w'’]+){0,2}$", shown) is not None
-    return {"mark": mark, "chars": len(body), "bytes": len(body.encode("utf-8", "surrogatepass")), "state": state, "w1": w1, "w2": w2, "spoken": spoken, "stated": mark.strip()[-1:] in ("]", ")", ">") and bool(mark), "word": re.search(r"[^\W_]\Z", shown) is not None}
+    return {"mark": mark, "chars": len(body), "bytes": len(body.encode("utf-8", "surrogatepass")), "raw_chars": len(text), "raw_bytes": len(text.encode("utf-8", "surrogatepass")), "state": state, "w1": w1, "w2": w2, "spoken": spoken, "stated": mark.strip()[-1:] in ("]", ")", ">") and bool(mark), "word": re.search(r"[^\W_]\Z", shown) is not None}
 
 
 def _tails(cols):
-    out: dict[str, list] = {k: [] for k in ("doc_id", "source", "state", "stated", "chars", "bytes", "w1", "w2", "spoken", "word")}
+    out: dict[str, list] = {k: [] for k in ("doc_id", "source", "state", "stated", "chars", "bytes", "raw_chars", "raw_bytes", "w1", "w2", "spoken", "word")}
     for d, s, text in zip(cols["doc_id"], cols["source"], cols["text"]):
         t = tail(text or "")
-        for k, v in (("doc_id", d), ("source", s), ("state", t["state"] if text is not None else "closed"), ("stated", t["stated"]), ("chars", t["chars"]), ("bytes", t["bytes"]), ("w1", t["w1"]), ("w2", t["w2"]), ("spoken", t["spoken"]), ("word", t["word"])):
+        for k, v in (("doc_id", d), ("source", s), ("state", t["state"] if text is not None else "closed"), ("stated", t["stated"]), ("chars", t["chars"]), ("bytes", t["bytes"]), ("raw_chars", t["raw_chars"]), ("raw_bytes", t["raw_bytes"]), ("w1", t["w1"]), ("w2", t["w2"]), ("spoken", t["spoken"]), ("word", t["word"])):
             out[k].append(v)
     return out
 
@@ -94,7 +94,7 @@ def _ngrams(cols):
     ends: Counter = Counter()
     last: Counter = Counter()
     for text in cols["text"]:
-        before = ""
+        before = "\n"
         text = text or ""
         m = _MARK.search(text)
         text = text[: m.start()] if m else text
@@ -137,30 +137,37 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     """doc_id, source, cut, why (tail, limit, mark, word or null) of each document."""
     read = documents.select("doc_id", "source", "text")
     prints = read.withColumn("print", F.xxhash64("text"))
-    tails = map_columns(prints.select("doc_id", "source", "text", "print"), lambda c: _tails(c) | {"print": c["print"]}, "doc_id long, source string, state string, stated boolean, chars int, bytes int, w1 string, w2 string, spoken boolean, word boolean, print long")
+    tails = map_columns(prints.select("doc_id", "source", "text", "print"), lambda c: _tails(c) | {"print": c["print"]}, "doc_id long, source string, state string, stated boolean, chars int, bytes int, raw_chars int, raw_bytes int, w1 string, w2 string, spoken boolean, word boolean, print long")
     tails = cut_lineage(tails)
     limits = length_spikes(tails)
-    chars = limits.filter("unit = 'chars'").select(F.col("source").alias("s1"), F.col("length").alias("chars_at"))
-    octets = limits.filter("unit = 'bytes'").select(F.col("source").alias("s2"), F.col("length").alias("bytes_at"))
     open_ = tails.filter("state <> 'closed'")
-    at = open_.join(chars, F.col("source").eqNullSafe(F.col("s1")) & (F.col("chars") == F.col("chars_at")), "left").join(octets, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bytes") == F.col("bytes_at")), "left")
-    counts = word_counts(documents)
+    # with and without a cut mark, in either unit
+    ways = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(c).alias("length")) for u, c in (("chars", "chars"), ("chars", "raw_chars"), ("bytes", "bytes"), ("bytes", "raw_bytes"))])
+    lengths = open_.select("doc_id", "source", "print", F.explode(F.array_distinct(ways)).alias("x")).select("doc_id", "print", F.col("source").alias("s"), "x.unit", "x.length")
+    hit = lengths.join(limits, F.col("s").eqNullSafe(F.col("source")) & (lengths["unit"] == limits["unit"]) & (lengths["length"] == limits["length"]), "left_semi")
+    hit = hit.select(F.col("doc_id").alias("hit_id"), F.col("print").alias("hit_print"), F.lit(True).alias("at_limit")).distinct()
+    at = open_.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("print") == F.col("hit_print")), "left")
+    counts = cut_lineage(word_counts(documents))
     asked = open_.filter("state = 'plain'").select("w1", "w2").distinct()
     keys = asked.select(F.lit("").alias("w1"), "w2").union(asked).distinct()
     known = cut_lineage(counts.join(keys, ["w1", "w2"], "left_semi"))
     # what closes other texts just as openly, again and again, is no accident
     goes_on = (F.col("n") >= SEEN) & (F.col("ends") <= ENDS * F.col("n")) & (F.col("last") <= LAST * F.col("n"))
     single = known.filter("w1 = ''").select("w2", goes_on.alias("on1"), (F.col("n") - F.col("last")).alias("inside"))
-    pair = known.filter("w1 <> ''").select("w1", "w2", "n", goes_on.alias("on2"))
+    pair = known.filter("w1 <> ''").select("w1", "w2", "n", (F.col("n") - F.col("last")).alias("beside"), goes_on.alias("on2"))
     # a fragment hardly stands inside a text and begins a word that often does: all beginnings of common words, asked for the rare last words only
     rare = single.filter(f"inside < {RARE}").select("w2")
     starts = counts.filter(f"w1 = '' and n - last >= {4 * RARE} and length(w2) > 1").select(F.explode(F.expr("transform(sequence(1, length(w2) - 1), i -> substring(w2, 1, i))")).alias("w2"))
     fragment = rare.join(starts, "w2", "left_semi").distinct().withColumn("fragment", F.lit(True))
-    seen = at.join(single, "w2", "left").join(pair, ["w1", "w2"], "left").join(fragment, "w2", "left")
+    # the same in company: a word that hardly follows the one before it, but begins one that often does
+    begun = F.explode(F.expr("transform(sequence(1, length(w2) - 1), i -> substring(w2, 1, i))"))
+    pair_starts = counts.filter(f"w1 <> '' and n - last >= {4 * RARE} and length(w2) > 1").select("w1", begun.alias("w2"))
+    odd = known.filter(f"w1 <> '' and n - last < {RARE}").select("w1", "w2").join(pair_starts, ["w1", "w2"], "left_semi").withColumn("odd", F.lit(True))
+    seen = at.join(single, "w2", "left").join(pair, ["w1", "w2"], "left").join(fragment, "w2", "left").join(odd, ["w1", "w2"], "left")
     on = F.when(F.col("n") >= SEEN, F.col("on2")).otherwise(F.coalesce("on1", F.lit(False)))
-    at_limit = F.col("chars_at").isNotNull() | F.col("bytes_at").isNotNull()
-    by_word = F.col("word") & ~F.col("spoken") & (F.col("fragment").isNotNull() | on)
-    why = F.when(F.col("state") == "cut", "tail").when(at_limit, "limit").when(F.col("stated"), "mark").when(by_word, "word")
+    letter = (F.length("w2") == 1) & F.col("w2").rlike(r"\p{L}") & ~F.col("w2").isin("a", "i", "y", "o", "e", "u", "à") & (F.coalesce("beside", F.lit(0)) < RARE)
+    by_word = F.col("word") & ~F.col("spoken") & (F.col("fragment").isNotNull() | F.col("odd").isNotNull() | letter | on)
+    why = F.when(F.col("state") == "cut", "tail").when(F.col("at_limit"), "limit").when(F.col("stated"), "mark").when(by_word, "word")
     judged = seen.select("doc_id", "source", why.alias("why"))
     closed = tails.filter("state = 'closed'").select("doc_id", "source", F.lit(None).cast("string").alias("why"))
     return judged.unionByName(closed).select("doc_id", "source", F.col("why").isNotNull().alias("cut"), "why")
