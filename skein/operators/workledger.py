@@ -63,7 +63,10 @@ def state_after(files: DataFrame, versions: DataFrame, runs: DataFrame) -> DataF
     if started.count() <= BROADCAST_RUNS:
         started = F.broadcast(started)
     last = plan.join(started, "run_id").groupBy("file_id").agg(F.max(F.struct("started_at", "run_id", "hash")).alias("x"))
-    return last.select("file_id", F.col("x.hash").alias("hash"), F.floor(F.col("x.started_at").cast("double")).alias("last_indexed"))
+    # timestamps without a zone are UTC whatever the session's zone
+    zoned = dict(runs.dtypes)["started_at"] == "timestamp"
+    epoch = F.unix_timestamp("x.started_at") if zoned else F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', x.started_at)")
+    return last.select("file_id", F.col("x.hash").alias("hash"), epoch.alias("last_indexed"))
 
 
 def item_path(root: str, run_id: Column, file_id: Column, hash_: Column) -> Column:
