@@ -130,7 +130,8 @@ def mix_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, max_repeats, tokens, share (reached), texts, uses, most_uses of every target."""
     uses = mix.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("uses"))
     by = uses.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("texts"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
-    all_ = by.agg(F.sum("tokens").alias("everything"))
+    by = cut_lineage(by)
+    everything = by.agg(F.sum("tokens")).first()[0] or 1
     zero = F.lit(0).cast("long")
-    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left").join(F.broadcast(all_))
-    return out.select("source", "target_share", "max_repeats", *[F.coalesce(c, zero).alias(c) for c in ("tokens", "texts", "uses", "most_uses")], F.round(F.coalesce("tokens", zero) / F.col("everything"), 6).alias("share"))
+    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left")
+    return out.select("source", "target_share", "max_repeats", *[F.coalesce(c, zero).alias(c) for c in ("tokens", "texts", "uses", "most_uses")], F.round(F.coalesce("tokens", zero) / F.lit(everything), 6).alias("share"))
