@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.offsets import part_offsets, partitions_for, sorted_runs
+from skein.plans.session import cut_lineage
 
 CHUNK = 250_000  # rows of one key that are one unit of work
 _STATE = "target_id long, kind string, chunk long, part int, refs long, changes long, first_source long, first_null boolean, last_source long, last_null boolean"
@@ -89,5 +90,6 @@ def key_totals(edges: DataFrame, chunk: int = CHUNK, partitions: int | None = No
 
 def hot_keys(totals: DataFrame, share: float = 0.01) -> DataFrame:
     """The keys that hold at least ``share`` of all distinct references."""
-    everything = totals.agg(F.sum("refs").alias("all_refs"))
-    return totals.join(F.broadcast(everything)).filter(F.col("refs") >= F.lit(share) * F.col("all_refs")).drop("all_refs")
+    totals = cut_lineage(totals)
+    everything = totals.agg(F.sum("refs")).first()[0] or 0
+    return totals.filter(F.col("refs") >= F.lit(share) * F.lit(everything))
