@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 
-_TOK, _CAT, _ALT, _STAR, _REF, _EPS, _EMPTY = range(7)
+_TOK, _CAT, _ALT, _STAR, _REF, _BAN, _EPS, _EMPTY = range(8)
 
 
 class Node:
@@ -27,7 +27,8 @@ class Node:
 
 class Grammar:
     """``text`` holds rules ``name = ... ;`` with ``|``, ``*``, ``+``, ``?``, brackets,
-    'literal' tokens, UPPERCASE token classes and lower-case rule names.
+    'literal' tokens, UPPERCASE token classes and lower-case rule names; ``x \\ ('a' | 'b')``
+    is x unless it begins with one of these tokens.
 
     ``max_nodes`` bounds the memory of the memo: beyond it all derivatives are
     forgotten and built again when needed; results do not depend on it."""
@@ -122,6 +123,8 @@ class Grammar:
         if op == "alt":
             return self.alt([self._build(p) for p in body[1]])
         inner = self._build(body[1])
+        if op == "ban":
+            return self._make(_BAN, inner, body[2], inner.null)
         return {"*": self.star, "+": lambda x: self.cat(x, self.star(x)), "?": lambda x: self.alt([x, self.eps])}[op](inner)
 
     def _nullables(self) -> None:
@@ -132,6 +135,7 @@ class Grammar:
                 k = node.kind
                 new = node.null or (
                     (k == _REF and self.rules[node.a].null)
+                    or (k == _BAN and node.a.null)
                     or (k == _CAT and node.a.null and node.b.null)
                     or (k == _ALT and any(p.null for p in node.a))
                 )
@@ -156,6 +160,8 @@ class Grammar:
             out = self.cat(self.derive(node.a, t), node)
         elif k == _REF:
             out = self.derive(self.rules[node.a], t)
+        elif k == _BAN:
+            out = self.empty if t in node.b else self.derive(node.a, t)
         else:
             out = self.empty
         node.d[t] = out
@@ -168,7 +174,7 @@ class Grammar:
         return self.root
 
 
-_DSL = re.compile(r"\s+|--[^\n]*|('[^']+'|[A-Za-z_]+|[=;|*+?()])")
+_DSL = re.compile(r"\s+|--[^\n]*|('[^']+'|[A-Za-z_]+|[=;|*+?()\\])")
 
 
 def _rules(text: str):
@@ -197,8 +203,13 @@ def _alt(toks, i):
             else:
                 item = ("tok", t[1:-1]) if t[0] == "'" else ("tok", t) if t.isupper() else ("ref", t)
                 i += 1
-            while toks[i] in "*+?":
-                item = (toks[i], item)
+            while toks[i] in "*+?\\":
+                if toks[i] == "\\":
+                    end = toks.index(")", i)
+                    item = ("ban", item, tuple(x[1:-1] for x in toks[i + 2 : end] if x != "|"))
+                    i = end
+                else:
+                    item = (toks[i], item)
                 i += 1
             seq.append(item)
         parts.append(("cat", seq))

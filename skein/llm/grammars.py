@@ -73,7 +73,7 @@ name = ID | 'match' | 'case' | 'type' ;
 _JS = r"""
 file = stmt* ;
 block = '{' stmt* '}' ;
-stmt = block | ';' | vars ';' | 'if' '(' expr ')' stmt ('else' stmt)? | fors | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';' | 'do' stmt 'while' '(' expr ')' | switch | tries | 'return' expr? ';' | 'throw' expr ';' | ('break' | 'continue') name? ';' | decorator* function | decorator* class | name ':' stmt | expr ';' | 'debugger' ';' | imports | exports DECLARATIONS ;
+stmt = block | ';' | vars ';' | 'if' '(' expr ')' stmt ('else' stmt)? | fors | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';' | 'do' stmt 'while' '(' expr ')' | switch | tries | 'return' expr? ';' | 'throw' expr ';' | ('break' | 'continue') name? ';' | decorator* function | decorator* class | name ':' stmt | expr \ ('{' | 'function' | 'class') ';' | 'debugger' ';' | imports | exports DECLARATIONS ;
 vars = ('var' | 'let' | 'const') var (',' var)* ;
 var = binding OPTTYPE ('=' assign)? ;
 binding = name | pattern ;
@@ -99,7 +99,7 @@ anykey = anyname | STR | NUM | '[' assign ']' ;
 expr = assign (',' assign)* ;
 assign = operand (BINARY operand | '?' assign ':' operand)* ;
 operand = (PRE | '-' | '+' | 'new' | 'await')* (arrow | primary trailer* '++'? | primary trailer* '--') | ('++' | '--') operand | 'yield' '*'? assign? ;
-arrow = 'async'? (name | TYPEPARAMS '(' params ')' OPTTYPE) '=>' (block | assign) ;
+arrow = 'async'? (name | TYPEPARAMS '(' params ')' OPTTYPE) '=>' (block | assign \ ('{')) ;
 primary = name | NUM | STR | RX | 'this' | 'super' | 'null' | 'true' | 'false' | '(' expr ')' | array | object | function | class | 'import' '(' assign ')' | 'import' '.' name | PRIVATE ;
 trailer = '.' anyname | '.' PRIVATE | '?.' (anyname | '(' args ')' | '[' expr ']') | '(' args ')' | '[' expr ']' | STR CASTS ;
 args = (arg (',' arg)* ','?)? ;
