@@ -90,7 +90,7 @@ importname = TYPEWORD (anyname | STR) ('as' anyname)? ;
 exports = 'export' ( 'default' (assign ';' | 'async'? function | decorator* class) | TYPEWORD ('*' ('as' anyname)? | importnames) 'from' STR ';' | TYPEWORD importnames ';' | vars ';' | function | decorator* class EXPORTED) ;
 function = 'async'? 'function' '*'? name? TYPEPARAMS '(' params ')' OPTTYPE BODY ;
 params = (param (',' param)* ','?)? ;
-param = decorator* MODIFIERS '...'? binding OPTIONAL OPTTYPE ('=' assign)? ;
+param = decorator* MODIFIERS '...'? binding OPTIONAL OPTTYPE ('=' assign)? THISPARAM ;
 class = ABSTRACT 'class' name? TYPEPARAMS ('extends' primary trailer* )? IMPLEMENTS '{' (member | ';')* '}' ;
 member = decorator* MODIFIERS ( ('get' | 'set' | 'async' | '*' | 'async' '*')? key OPTIONAL TYPEPARAMS '(' params ')' OPTTYPE BODY | key OPTIONAL OPTTYPE ('=' assign)? ';' | 'static' block INDEXER ) ;
 decorator = '@' name ('.' anyname)* TYPEARGS ('(' args ')')? ;
@@ -113,7 +113,7 @@ anyname = name | 'var' | 'const' | 'if' | 'else' | 'for' | 'while' | 'do' | 'swi
 """
 
 _TS = r"""
-declaration = 'declare' (vars ';' | function | class | 'global' block) | interface | typealias | enum | ('namespace' | 'module') (name ('.' name)* | STR) block | 'import' name '=' expr ';' ;
+declaration = 'declare' (vars ';' | function | class | 'global' block) | 'declare'? (interface | typealias | enum | ('namespace' | 'module') (name ('.' name)* | STR) block | 'module' STR ';') | 'import' name '=' expr ';' ;
 interface = 'interface' name typeparams ('extends' type (',' type)*)? typebody ;
 typealias = 'type' name typeparams '=' type ';' ;
 enum = 'const'? 'enum' name '{' (anykey ('=' assign)? (',' anykey ('=' assign)?)* ','?)? '}' ;
@@ -137,6 +137,7 @@ def _javascript(ts: bool) -> str:
         "EXPORTED": "| declaration | '=' expr ';' | 'as' 'namespace' name ';'" if ts else "",
         "OPTTYPE": "opttype" if ts else "",
         "TYPEPARAMS": "typeparams" if ts else "",
+        "THISPARAM": "| 'this' opttype" if ts else "",
         "TYPEWORD": "'type'?" if ts else "",
         "MODIFIERS": "mods" if ts else "'static'?",
         "OPTIONAL": "('?' | '!')?" if ts else "",
@@ -253,7 +254,7 @@ casepattern = pattern ;
 pattern = patternunit (('and' | 'or') patternunit)* ;
 patternunit = 'not'* (operand | type name? | type? '{' (subpattern (',' subpattern)* ','?)? '}' name? | type? '(' (subpattern (',' subpattern)*)? ')' name? | ('<' | '>' | '>=' | BIN) operand | 'var' name | '[' (pattern (',' pattern)*)? ']') ;
 subpattern = (name ('.' name)* ':')? pattern ;
-operand = (PRE | '!' | '-' | '+' | '&' | '*' | '++' | '--' | 'await' | 'throw' | 'ref' | '~')* (lambda | primary trailer* ('++' | '--')? | '(' type ')' operand | query) | '..' operand? ;
+operand = (PRE | '!' | '-' | '+' | '&' | '*' | '++' | '--' | '^' | 'await' | 'throw' | 'ref' | '~')* (lambda | primary trailer* ('++' | '--')? | '(' type ')' operand | query) | '..' operand? ;
 lambda = attrs* ('async' | 'static')* (name | '(' lambdaparams ')') '=>' (expr | block) | 'async'? 'delegate' ('(' params ')')? block ;
 lambdaparams = (name (',' name)* | params) ;
 query = 'from' type? name 'in' expr ('from' type? name 'in' expr | 'let' name '=' expr | 'where' expr | 'join' type? name 'in' expr 'on' expr 'equals' expr ('into' name)? | 'orderby' expr ('ascending' | 'descending')? (',' expr ('ascending' | 'descending')?)*)* ('select' expr | 'group' expr 'by' expr) ('into' name)? ;
@@ -265,7 +266,7 @@ objectentry = (name | '[' args ']') '=' init | init ;
 trailer = '.' name typeargs? | '?' '.' name typeargs? | '->' name | '(' args ')' | '?'? '[' args ']' | '!' ;
 args = (arg (',' arg)*)? ;
 arg = (name ':')? ('ref' | 'out' | 'in')* (expr | type name) ;
-binary = BIN | '-' | '+' | '*' | '=' | '<' | '>' | '>' '>' | '>' '>' '>' | '>=' | '>' '>=' | '&' | '|' | '??' | '..' ;
+binary = BIN | '-' | '+' | '*' | '=' | '<' | '>' | '>' '>' | '>' '>' '>' | '>=' | '>' '>=' | '&' | '|' | '^' | '??' | '..' ;
 name = ID | 'get' | 'set' | 'init' | 'add' | 'remove' | 'partial' | 'async' | 'where' | 'when' | 'global' | 'record' | 'required' | 'file' | 'scoped' | 'nameof' | 'from' | 'let' | 'join' | 'on' | 'equals' | 'into' | 'orderby' | 'ascending' | 'descending' | 'select' | 'group' | 'by' | 'and' | 'or' | 'not' | 'yield' | 'with' | 'await' | 'var' ;
 """
 
@@ -390,7 +391,7 @@ expr = ternary (('=' | AUG) NL* ternary)* ;
 ternary = range ('?' NL* ternary NL* (':' | NL* ':') NL* ternary)? | range '?' NL* ID LABELSPLIT ternary ;
 range = operation (('..' | '...') operation?)? | ('..' | '...') operation ;
 operation = operand (binary NL* operand)* ;
-binary = BIN | '-' | '+' | '*' | '<' | '>' | '|' | '&' | '**' | '<<' | 'in' ;
+binary = BIN | '-' | '+' | '*' | '<' | '>' | '|' | '||' | '&' | '**' | '<<' | 'in' ;
 operand = ('!' | '-' | '+' | '~' | '&' | 'defined?')* primary trailer* ;
 trailer = ('.' | '&.' | '::') (anyname | '(' parenargs ')') | '::' CONST | '(' parenargs ')' | '[' NL* (callargs ','? NL*)? ']' | braceblock | doblock ;
 parenargs = NL* (callarg (',' NL* callarg)* ','? NL*)? ;
@@ -432,16 +433,17 @@ _SLASH = r"//[^\n]*|/\*[\s\S]*?\*/"
 class Lexer:
     """Names the tokens of a text. ``skip`` names nothing: space and comments."""
 
-    def __init__(self, grammar: Grammar, pattern: str, ident: str = "ID", classes: dict[str, str] | None = None, comment: str = "/", prefix: str = r"[ \t\r\f\v\u00a0]*"):
+    def __init__(self, grammar: Grammar, pattern: str, ident: str = "ID", classes: dict[str, str] | None = None, comment: str = "/", prefix: str = r"[ \t\r\f\v]*", wide: bool = False):
         self.grammar, self.ident, self.comment = grammar, ident, comment
         self.classes = classes or {}
+        self.wide = wide  # whether space beyond ASCII is space
         self.findall = re.compile(f"{prefix}({pattern}|\\n|[\\s\\S])").findall
         self.table: dict[str, object] = {}
 
     def name(self, tok: str) -> object:
         """The kind of a token; a tuple for two in one, "" for nothing."""
         c = tok[0]
-        if c == "\n" or c.isspace():
+        if c.isspace() and (self.wide or c.isascii()):
             kind: object = "\n" if "\n" in tok else ""
         elif tok in self.grammar.terminals:
             kind = tok
@@ -489,7 +491,8 @@ class PythonLexer(Lexer):
         get, name = self.table.get, self.name
         depth, levels, start, some = 0, [0], "", False
         pending = True
-        for tok in self.findall(text if text.endswith("\n") else text + "\n"):
+        # a line end in front, so that the first line has an indentation too
+        for tok in self.findall("\n" + text if text.endswith("\n") else f"\n{text}\n"):
             if tok[0] == "\n":
                 if not depth:
                     if some:
@@ -575,6 +578,8 @@ class LineLexer(Lexer):
             return ("return", "RX")
         if c == "$":
             return self.ident
+        if c == "#" and len(tok) > 1:
+            return "PRIVATE"
         return super().other(tok, c)
 
 
@@ -624,14 +629,16 @@ class RubyLexer(Lexer):
             return "ID"
         if c == "%" and len(tok) > 2:
             return "STR"
-        if len(tok) > 2 and "/" in tok and not c.isalnum() and c not in "\"'`":
-            head = "" if c == "/" else self.name(c)
+        m = _RUBY_RX.match(tok) if len(tok) > 2 and "/" in tok else None
+        if m:
+            head = self.name(m[1].strip()) if m[1] else ""
             return (head, "RX") if head else ("RX",)
         if c.isalpha() and c.isupper() and "'" not in tok:
             return "CONST"
         return super().other(tok, c)
 
 
+_RUBY_RX = re.compile(r"(=~|!~|[=(,\[!&|?{;+*<>~]|[a-z]+[ \t]+)?[ \t]*/", re.S)
 _HEREDOC = re.compile(r"<<[~-]?(['\"]?)([A-Z_]\w*)\1([^\n]*)\n(?:[^\n]*\n)*?[ \t]*\2(?=\r?\n|\r?$)")
 _RX = r"/(?![*/ ])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*"
 
@@ -649,7 +656,7 @@ def _python() -> Lexer:
     aug = "+= -= *= /= //= %= @= &= |= ^= >>= <<= **="
     binary = "// % << >> & ^ < > == >= <= !="
     ops = _ops(*aug.split(), *binary.split(), "**", "*", "/", "+", "-", "@", "|", "~", "->", ":=", "...", *"()[]{},:;.=")
-    return PythonLexer(Grammar(PYTHON), r"\n(?:[ \t\f]*\r?\n)*[ \t\f]*|#[^\n]*|\\\r?\n|" + strings + "|" + _NUM + "|" + _ID + "|" + ops, classes=_kinds(AUG=aug, BIN=binary), comment="#", prefix=r"[ \t\r\f\u00a0]*(?<!\u00a0)")
+    return PythonLexer(Grammar(PYTHON), r"\n(?:[ \t\f]*\r?\n)*[ \t\f]*|#[^\n]*|\\\r?\n|" + strings + "|" + _NUM + "|" + _ID + "|" + ops, classes=_kinds(AUG=aug, BIN=binary), comment="#", prefix=r"[ \t\r\f]*")
 
 
 def _js(ts: bool) -> Lexer:
@@ -659,23 +666,21 @@ def _js(ts: bool) -> Lexer:
     classes = _kinds(BIN=binary, PRE=pre + " delete")
     text = _javascript(ts)
     template = r"`(?:\\[\s\S]|\$\{(?:[^{}`]|`(?:\\[\s\S]|[^`\\])*`|\{[^{}]*\})*\}|[^`\\$]|\$(?!\{))*`"
-    ident = r"[^\W\d$]*[\w$]*" if False else r"[^\W\d][\w$]*|\$[\w$]*"
-    lexer = LineLexer(Grammar(text), _SLASH + "|" + r"(?:[=(,:\[!&|?{};+*%<>~^-]|\breturn)[ \t\r\n]*" + _RX + "|" + _DQ + "|" + _SQ + "|" + template + "|#" + _ID + "|" + _NUM + "|" + ident + "|" + r"\?\.(?!\d)|" + ops, classes=classes)
-    return lexer
+    ident = r"[^\W\d][\w$]*|\$[\w$]*"
+    return LineLexer(Grammar(text), _SLASH + "|" + r"(?:[=(,:\[!&|?{};+*%<>~^-]|\breturn)[ \t\r\n]*" + _RX + "|" + _DQ + "|" + _SQ + "|" + template + "|#" + _ID + "|" + _NUM + "|" + ident + "|" + r"\?\.(?!\d)|" + ops, classes=classes, wide=True)
 
 
-def _c_like(grammar: str, binary: str, pre: str, post: str = "", extra: str = "", ops: tuple = (), prim: str = "", strings: str = "", cls=Lexer, classes: dict | None = None, slash: str = _SLASH) -> Lexer:
+def _c_like(grammar: str, binary: str, pre: str, post: str = "", extra: str = "", ops: tuple = (), prim: str = "", strings: str = "", cls=Lexer, classes: dict | None = None, slash: str = _SLASH, wide: bool = False) -> Lexer:
     pattern = slash + "|" + (strings + "|" if strings else "") + _DQ + "|" + _SQ + "|" + _NUM + "|" + (extra + "|" if extra else "") + r"@?" + _ID + "|" + _ops(*binary.split(), *pre.split(), *ops, *"()[]{},:;.=<>+-*&|?!~@^#")
     kinds = _kinds(BIN=binary, PRE=pre, POST=post, PRIM=prim) | (classes or {})
-    return cls(Grammar(grammar), pattern, classes=kinds)
+    return cls(Grammar(grammar), pattern, classes=kinds, wide=wide)
 
 
 _AUG = "+= -= *= /= %= &= |= ^= <<="
 
 
 def _java() -> Lexer:
-    grammar = _JAVA
-    lexer = _c_like(grammar.replace("POST?", "POST?").replace("(PRE |", "(PRE | POST |"), f"/ % == != <= << && || ^ {_AUG}", "! ~", "++ --", ops=("->", "::", "...", "++", "--", ">="), prim="int long short byte char float double boolean var", strings=r'"""[\s\S]*?"""')
+    lexer = _c_like(_JAVA.replace("(PRE |", "(PRE | POST |"), f"/ % == != <= << && || ^ {_AUG}", "! ~", "++ --", ops=("->", "::", "...", "++", "--", ">="), prim="int long short byte char float double boolean var", strings=r'"""[\s\S]*?"""')
     lexer.findall = re.compile(lexer.findall.__self__.pattern.replace("@?" + _ID, _ID)).findall
     return lexer
 
@@ -693,7 +698,7 @@ class CSharpLexer(Lexer):
 
 def _csharp() -> Lexer:
     strings = r'"""[\s\S]*?"""|\$?@\$?"(?:[^"]|"")*"|\$"(?:[^"\\{\n]|\\.|\{\{|\{(?:[^{}"\n]|"(?:[^"\\\n]|\\.)*")*\})*"'
-    return _c_like(_CSHARP, f"/ % == != <= << && || ^ {_AUG} ??=", "", ops=("->", "::", "=>", "++", "--", ">=", "??", ".."), prim="int long short byte char float double bool string object decimal uint ulong ushort sbyte nint nuint dynamic", strings=strings, cls=CSharpLexer, extra=r"(?<=\n)#[^\n]*")
+    return _c_like(_CSHARP, f"/ % == != <= << && || {_AUG} ??=", "", ops=("->", "::", "=>", "++", "--", ">=", "??", ".."), prim="int long short byte char float double bool string object decimal uint ulong ushort sbyte nint nuint dynamic", strings=strings, cls=CSharpLexer, wide=True, extra=r"(?<=\n)#[^\n]*")
 
 
 def _go() -> Lexer:
@@ -715,7 +720,7 @@ def _rust() -> Lexer:
     marks = "! # & * + , - -> . .. ... ..= / : :: ; < = => > >= ? @ _ | || ~ $ ^".split()
     every = [f"'{w}'" for w in [*words, *marks] if w not in ("/", "~", "$", "^")] + ["ID", "NUM", "STR", "LIFE", "BIN", "MARK"]
     grammar = re.sub(r"\bANY\b", " | ".join(every), _RUST)
-    strings = r'b?r(#*)"[\s\S]*?"\1' if False else r'b?r###"[\s\S]*?"###|b?r##"[\s\S]*?"##|b?r#"[\s\S]*?"#|b?r"[^"]*"|[bc]?"(?:[^"\\]|\\[\s\S])*"' + r"|b?'(?:[^'\\\n]|\\(?:x..|u\{[^}]*\}|.))'|'" + _ID
+    strings = r'b?r###"[\s\S]*?"###|b?r##"[\s\S]*?"##|b?r#"[\s\S]*?"#|b?r"[^"]*"|[bc]?"(?:[^"\\]|\\[\s\S])*"' + r"|b?'(?:[^'\\\n]|\\(?:x..|u\{[^}]*\}|.))'|'" + _ID
     lexer = _c_like(grammar, f"/ % == != <= << && ^ {_AUG}", "", ops=("->", "::", "=>", ">=", "..", "...", "..=", "||", "$"), strings=strings, cls=RustLexer, classes={"~": "MARK", "$": "MARK"}, slash=r"//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/")
     lexer.findall = re.compile(lexer.findall.__self__.pattern.replace("@?" + _ID, "(?:r#)?" + _ID)).findall
     return lexer
@@ -728,7 +733,7 @@ def _ruby() -> Lexer:
     words = "|".join([_DQ[:-1].replace("\\n\\r", "") + '"', r"'(?:[^'\\]|\\[\s\S])*'"])
     pattern = (
         r"#[^\n]*|(?:" + words + r")(?::(?!:))?|`[^`]*`|" + r"%[wWiIqQrx]?(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|<[^>]*>|![^!]*!|\|[^|]*\|)"
-        r"|:(?:" + _ID + r"[?!=]?(?![=>~])|\"[^\"]*\"|\[\]=?|<=>|===?|[+\-*/<>!%])|(?:[=(,\[!&|?{;+*<>~]|(?<=\n))[ \t]*" + _RX + "|" + _NUM + r"|\?[A-Za-z](?!\w)|@@?" + _ID + r"|\$[\w~!@&`'+*?;:./\\<>_-]+"
+        r"|:(?:" + _ID + r"[?!=]?(?![=>~])|\"[^\"]*\"|\[\]=?|<=>|===?|[+\-*/<>!%])|(?:=~|!~|[=(,\[!&|?{;+*<>~]|\b(?:if|elsif|unless|when|and|or|not|return|while|until)[ \t]+|(?<=\n))[ \t]*" + _RX + "|" + _NUM + r"|\?[A-Za-z](?!\w)|@@?" + _ID + r"|\$[\w~!@&`'+*?;:./\\<>_-]+"
         r"|" + _ID + r"[?!](?!=(?!=))(?::(?!:))?|" + _ID + r":(?![:])|defined\?|" + _ID + "|" + ops
     )
     return RubyLexer(Grammar(_RUBY), pattern, classes=_kinds(BIN=binary, AUG=aug), comment="#", prefix=r"(?:[ \t\r\f]|\\\r?\n)*")
