@@ -28,9 +28,11 @@ from skein.functions.batches import map_columns
 from skein.plans.session import cut_lineage
 
 MIN_SPIKE = 3  # different texts at a limit, at least
-PROMINENCE = 5.0  # times the mean count of the lengths around it
+PROMINENCE = 5.0  # times the mean count of the lengths around it, at least, ...
+SIGMAS = 10.0  # ... and above it by so many of its square roots
 AROUND = 20  # lengths on either side that a spike is held against
-DIVERSITY = 0.5  # different last words in a spike, at least, as a share of its texts
+DIVERSITY = 0.5  # different last words in a spike, at least, as a share of its texts, ...
+ENOUGH = 12  # ... or this many
 SEEN = 100  # occurrences from which on a word's or pair's shares are believed
 RARE = 8  # occurrences inside texts below which a word may be a fragment
 ENDS = 0.01  # share of occurrences that end a line or sentence, up to which a word goes on
@@ -130,7 +132,7 @@ def length_spikes(tails: DataFrame, min_count: int = MIN_SPIKE, prominence: floa
     mean = near.filter("at <> other").groupBy("source", "unit", F.col("at").alias("length")).agg((F.sum("k") / (2 * AROUND)).alias("mean"))
     same = [F.col("b.source").eqNullSafe(F.col("m.source")), F.col("b.unit") == F.col("m.unit"), F.col("b.length") == F.col("m.length")]
     joined = by.alias("b").join(mean.alias("m"), same, "left").select("b.*", F.coalesce("m.mean", F.lit(0.0)).alias("mean"))
-    return joined.filter((F.col("texts") >= min_count) & (F.col("texts") >= prominence * F.col("mean")) & (F.col("words") >= DIVERSITY * F.col("texts"))).select("source", "unit", "length", "texts")
+    return joined.filter((F.col("texts") >= min_count) & (F.col("texts") >= prominence * F.col("mean")) & (F.col("texts") >= F.col("mean") + SIGMAS * F.sqrt("mean")) & (F.col("words") >= F.least(F.lit(ENOUGH), DIVERSITY * F.col("texts")))).select("source", "unit", "length", "texts")
 
 
 def find_truncated(documents: DataFrame) -> DataFrame:
@@ -141,8 +143,9 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     tails = cut_lineage(tails)
     limits = length_spikes(tails)
     open_ = tails.filter("state <> 'closed'")
-    # with and without a cut mark, in either unit
-    ways = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(c).alias("length")) for u, c in (("chars", "chars"), ("chars", "raw_chars"), ("bytes", "bytes"), ("bytes", "raw_bytes"))])
+    # with and without a cut mark, or with the space that went when the mark came, in either unit
+    spaced = lambda c: F.when(F.col(f"raw_{c}") > F.col(c), F.col(c) + 1).otherwise(F.col(c))
+    ways = F.array(*[F.struct(F.lit(u).alias("unit"), c.alias("length")) for u in ("chars", "bytes") for c in (F.col(u), F.col(f"raw_{u}"), spaced(u))])
     lengths = open_.select("doc_id", "source", "print", F.explode(F.array_distinct(ways)).alias("x")).select("doc_id", "print", F.col("source").alias("s"), "x.unit", "x.length")
     hit = lengths.join(limits, F.col("s").eqNullSafe(F.col("source")) & (lengths["unit"] == limits["unit"]) & (lengths["length"] == limits["length"]), "left_semi")
     hit = hit.select(F.col("doc_id").alias("hit_id"), F.col("print").alias("hit_print"), F.lit(True).alias("at_limit")).distinct()
