@@ -104,12 +104,15 @@ def agg_percentiles(g):
     return aggregates.percentiles(g.read("events"), "event_type", "value")
 
 
-@query("""WITH a AS (SELECT user_id, count(*) AS expected, count(*) FILTER (WHERE value > 20) AS found, count(DISTINCT event_type) AS calls, avg(value) AS seconds FROM events GROUP BY 1),
-    b AS (SELECT *, least(1.0, found / expected) AS r, 1 / (1 + log2(greatest(1.0, calls))) AS ef, 30.0 / (30.0 + seconds) AS sp FROM a)
-    SELECT user_id, expected, found, calls, round(r, 6) AS recall, round(CASE WHEN r > 0 THEN r ELSE 0 END, 6) AS f1, round(ef, 6) AS efficiency, round(round(sp, 6), 5) AS speed, round(round(0.65 * r + 0.20 * ef + 0.15 * sp, 6), 5) AS score FROM b""")
+@query("""WITH a AS (SELECT user_id, count(*) AS expected, count(*) FILTER (WHERE value > 20) AS found, count(DISTINCT event_type) AS calls, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / (100.0::DOUBLE * count(*)) AS seconds FROM events GROUP BY 1),
+    b AS (SELECT *, least(1.0::DOUBLE, found / expected) AS r, 1::DOUBLE / (1::DOUBLE + log2(greatest(1.0::DOUBLE, calls))) AS ef, 30.0::DOUBLE / (30.0::DOUBLE + seconds) AS sp FROM a)
+    SELECT user_id, expected, found, calls, round(r, 6) AS recall, round(CASE WHEN r > 0 THEN 2::DOUBLE * r * r / (r + r) ELSE 0 END, 6) AS f1, round(ef, 6) AS efficiency, round(sp, 6) AS speed,
+    round(0.25::DOUBLE * r + 0.25::DOUBLE * r + 0.15::DOUBLE * (CASE WHEN r > 0 THEN 2::DOUBLE * r * r / (r + r) ELSE 0 END) + 0.20::DOUBLE * ef + 0.15::DOUBLE * sp, 6) AS score FROM b""")
 def agg_answer_scores(g):
-    e = g.read("events").groupBy("user_id").agg(F.count("*").alias("expected"), F.count(F.when(F.col("value") > 20, 1)).alias("found"), F.countDistinct("event_type").alias("calls"), F.avg("value").alias("seconds"))
-    return aggregates.answer_scores(e).drop("seconds").withColumn("speed", F.round("speed", 5)).withColumn("score", F.round("score", 5))
+    # whole hundredths add up alike in any order
+    cents = F.sum(F.round(F.col("value") * 100).cast("long"))
+    e = g.read("events").groupBy("user_id").agg(F.count("*").alias("expected"), F.count(F.when(F.col("value") > 20, 1)).alias("found"), F.countDistinct("event_type").alias("calls"), (cents.cast("double") / (F.lit(100.0) * F.count("*"))).alias("seconds"))
+    return aggregates.answer_scores(e).drop("seconds")
 
 
 # -- navigation ------------------------------------------------------------------------
@@ -361,7 +364,8 @@ def sea_grep_regex(g):
     return search.grep(g, r"raise\s+\w+error", regex=True, ignore_case=True, languages=["Python"])
 
 
-@query()
+@query(f"""WITH {_LINES}, b AS (SELECT octet_length(encode(substr(text, 1, strpos(text, 'Copyright') - 1))) AS at, * FROM t WHERE contains(text, 'Copyright'))
+    SELECT f.path, b.line, CAST(b.at AS INTEGER) AS start, CAST(b.at + 9 AS INTEGER) AS "end", b.text FROM b JOIN files f ON f.id = b.file_id WHERE NOT regexp_matches(f.path, '(^|/)node_modules/')""")
 def sea_content_lines(g):
     return search.content_lines(g, "Copyright", exclude=["**/node_modules/**"])
 
