@@ -44,7 +44,7 @@ _MACHINE = re.compile(
     r"|\b(?:automatisch|maschinell) (?:erzeugt|erstellt)\b|\bwurde von \S+ (?:erzeugt|generiert|erstellt)\b|\bnicht (?:von hand|manuell) (?:bearbeiten|ändern)\b"
     r"|\bg[ée]n[ée]r[ée] (?:automatiquement|par)\b|\bne pas (?:modifier|éditer)\b|\bgenerado (?:por|automáticamente)\b|\bno (?:editar|modificar)\b"
 )
-_MACHINE_NAME = re.compile(r"(?i)(?:\.generated\.|\.gen\.|\.g\.|_generated\.|_pb2?(?:_grpc)?\.|\.pb\.|\.designer\.|_bindings\.|stub\.java$|\.freezed\.|\.snap\.)[a-z]*")
+_MACHINE_NAME = re.compile(r"(?i)(?:\.generated\.|\.gen\.|\.g\.|_generated\.|_pb2(?:_grpc)?\.pyi?$|_pb\.(?:rb|js|d\.ts)$|\.pb\.|\.designer\.|_bindings\.|stub\.java$|\.freezed\.|\.snap\.)[a-z]*")
 _MACHINE_DIR = re.compile(r"(?i)/(?:generated|autogen|auto-generated|gen|generated-sources|__generated__)/")
 _SQUEEZED_NAME = re.compile(r"(?i)[.-](?:min|bundle|prod)\.(?:js|css|mjs)$")
 _THIRD_DIR = re.compile(r"(?i)/(?:vendor|node_modules|bower_components|third[_-]party|3rd[_-]?party|deps|pods|external|site-packages|jspm_packages)/")
@@ -64,7 +64,7 @@ _ORIGIN = [
 ]
 _MEMBER = re.compile(r"\b(?:[a-z]\w*?|[A-Z]\w*?)?([A-Z]?[a-z]+)_?(\d+)[ \t]*\(")
 _WORD = re.compile(r"[^\W\d]\w*")
-_FLOW = re.compile(r"\b(?:if|for|foreach|while|return|switch|match|try|catch|throw|raise|yield|await|def|func|fn|function|lambda|import|require|do)\b|=>")
+_FLOW = re.compile(r"\b(?:if|for|foreach|while|return|switch|match|try|catch|throw|raise|yield|await|def|func|fn|function|lambda)\b|=>|^\s*(?:import|from|use|using|require|export\s*[*{])\b", re.M)
 _NUMBER = re.compile(r"[-+]?\b(?:0[xX][\da-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?)\w*")
 
 
