@@ -69,7 +69,7 @@ def smart_context(g: CodeGraph, task: str, budget: int = 4000, depth: int = 1, s
     seen = top.select("id", F.lit(0).alias("hop"))
     frontier = top.select(F.col("id").alias("at"))
     for h in range(1, depth + 1):
-        step = both.join(F.broadcast(frontier), "at")
+        step = both.join(frontier, "at")
         w = Window.partitionBy("at").orderBy("to")
         new = step.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= fan).select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti")
         new = cut_lineage(new)

@@ -250,3 +250,28 @@ def di_bindings(facts: DataFrame, symbols: DataFrame) -> DataFrame:
     s = symbols.select("id", "name")
     i = facts.filter("kind = 'inject'").select(F.element_at(F.split("a", r"\."), -1).alias("interface"), F.element_at(F.split("b", r"\."), -1).alias("impl")).distinct()
     return i.join(s.select(F.col("id").alias("target_id"), F.col("name").alias("interface")), "interface").join(s.select(F.col("id").alias("source_id"), F.col("name").alias("impl")), "impl").select("source_id", "target_id", F.lit("implements").alias("kind"), F.lit(0.9).alias("confidence"))
+
+
+def db_mappings(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """symbol_id, entity_type, table_name, source: entity sets and models with their tables, named or by the plural of the type."""
+    from skein.functions.scalars import plural
+
+    sets = facts.filter(F.col("kind").isin("db_set", "model")).select(F.col("a").alias("entity_type"), F.coalesce("b", plural("a")).alias("table_name"), F.when(F.col("b").isNull(), "convention").otherwise("attribute").alias("source")).distinct()
+    first = symbols.filter(F.col("kind").isin("class", "struct")).groupBy(F.col("name").alias("entity_type")).agg(F.min("id").alias("symbol_id"))
+    return sets.join(first, "entity_type").select("symbol_id", "entity_type", "table_name", "source")
+
+
+def stereotype_concepts(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """name, symbol_id: symbols under the stereotype, store or story that marks them (the class that begins within three lines of the mark)."""
+    marks = facts.filter(F.col("kind").isin("stereotype", "store", "story", "injectable")).select("file_id", F.when(F.col("kind") == "stereotype", F.concat(F.lit("spring-"), F.lower("a"))).otherwise(F.concat("kind", F.lit("s"))).alias("name"), F.col("line").alias("at"))
+    s = symbols.select("file_id", F.col("id").alias("symbol_id"), (F.col("line") + 1).alias("line"))
+    near = marks.join(s, "file_id").filter((F.col("line") >= F.col("at")) & (F.col("line") <= F.col("at") + 3))
+    return near.groupBy("name", "file_id", "at").agg(F.min(F.struct("line", "symbol_id")).alias("x")).select("name", F.col("x.symbol_id").alias("symbol_id")).distinct()
+
+
+def routes_with_handlers(routes_: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Routes with the symbol that is declared within three lines below them, if any: http_method, route_template, line, symbol_id."""
+    s = symbols.filter(F.col("kind").isin("method", "function")).select("file_id", F.col("id").alias("symbol_id"), (F.col("line") + 1).alias("declared"))
+    near = routes_.join(s, "file_id", "left").withColumn("fits", (F.col("declared") >= F.col("line")) & (F.col("declared") <= F.col("line") + 3))
+    best = near.groupBy("file_id", "line", "http_method", "route_template").agg(F.min(F.when(F.col("fits"), F.struct("declared", "symbol_id"))).alias("x"))
+    return best.select("http_method", "route_template", "file_id", "line", F.col("x.symbol_id").alias("symbol_id"))

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from skein.operators.offsets import partitions_for
 from skein.plans.session import cut_lineage
 
+LINKS_A_FOREST = 200_000  # links whose forest one task holds in memory
+
 
 def links_of(edges: DataFrame, kind: str = "inherits") -> DataFrame:
     """node, parent, parents: one link a child."""
@@ -138,7 +140,7 @@ def split_circles(lost: DataFrame, links: DataFrame) -> DataFrame:
 def hierarchy(edges: DataFrame, kind: str = "inherits") -> DataFrame:
     """One row for each node: symbol_id, place (root, inner, on_cycle, below_cycle), root, depth, path (ids from the root to the node), parents. Root, depth and path are null for nodes that reach no root."""
     links = cut_lineage(links_of(edges, kind))
-    spread = partitions_for(links.count(), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = partitions_for(links.count(), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), LINKS_A_FOREST)
     closed, lost = merge_forests(local_forests(links, spread))
     lost = cut_lineage(lost)
     inner = closed.select(F.col("node").alias("symbol_id"), F.lit("inner").alias("place"), F.col("anc").alias("root"), F.col("off").alias("depth"), F.concat(F.array("anc"), F.reverse("way")).alias("path"))

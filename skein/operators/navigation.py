@@ -32,7 +32,7 @@ def references(g: CodeGraph, query: str, kinds: tuple[str, ...] | None = None) -
     e = g.edges if kinds is None else g.edges.filter(F.col("kind").isin(*kinds))
     s = g.symbols.select(F.col("id").alias("source_id"), F.col("qualified_name").alias("source"), F.col("kind").alias("source_kind"), "file_id")
     f = g.files.select(F.col("id").alias("file_id"), "path")
-    return e.join(F.broadcast(targets), "target_id", "left_semi").join(s, "source_id").join(f, "file_id").select("source", "source_kind", "path", "kind", "source_line", "confidence", "target_id")
+    return e.join(targets, "target_id", "left_semi").join(s, "source_id").join(f, "file_id").select("source", "source_kind", "path", "kind", "source_line", "confidence", "target_id")
 
 
 def incoming_calls(g: CodeGraph, query: str) -> DataFrame:
@@ -44,7 +44,7 @@ def outgoing_calls(g: CodeGraph, query: str) -> DataFrame:
     sources = by_name(g.symbols, query).select(F.col("id").alias("source_id"))
     t = g.every_symbol.select(F.col("id").alias("target_id"), F.col("qualified_name").alias("target"), F.col("kind").alias("target_kind"), "file_id")
     f = g.files.select(F.col("id").alias("file_id"), "path")
-    out = g.edges.filter(F.col("kind").isin(*CALL_KINDS)).join(F.broadcast(sources), "source_id", "left_semi").join(t, "target_id").join(f, "file_id", "left")
+    out = g.edges.filter(F.col("kind").isin(*CALL_KINDS)).join(sources, "source_id", "left_semi").join(t, "target_id").join(f, "file_id", "left")
     return out.select("source_id", "target", "target_kind", "path", "kind", "source_line", "confidence")
 
 
@@ -66,7 +66,7 @@ def file_outline(g: CodeGraph, path: str, mode: str = "outline") -> DataFrame:
     """The symbols of a file; mode names, outline or full says how much of each."""
     cols = {"names": ["name", "line"], "outline": ["name", "kind", "line", "signature"], "full": ["name", "qualified_name", "kind", "line", "end_line", "scope_path", "signature", "doc_comment", "visibility"]}[mode]
     f = g.files.filter(F.col("path") == path).select(F.col("id").alias("file_id"))
-    return g.symbols.join(F.broadcast(f), "file_id", "left_semi").select(*cols)
+    return g.symbols.join(f, "file_id", "left_semi").select(*cols)
 
 
 def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def completion(g: CodeGraph, file_id: int, scope: str | None, prefix: str, limit
     parent = scope.rsplit(".", 1)[0] if scope and "." in scope else None
     near = g.symbols.filter(fits & (F.col("file_id") == file_id) & F.col("scope_path").eqNullSafe(scope)).select(*cols, F.lit(0).alias("distance"))
     names = g.imports.filter(F.col("file_id") == file_id).select(F.col("imported_name").alias("name")).distinct()
-    known = g.every_symbol.filter(fits).join(F.broadcast(names), "name", "left_semi").select(*cols, F.lit(1).alias("distance"))
+    known = g.every_symbol.filter(fits).join(names, "name", "left_semi").select(*cols, F.lit(1).alias("distance"))
     peers = g.symbols.filter(fits & F.col("scope_path").eqNullSafe(parent) & F.lit(parent is not None)).select(*cols, F.lit(2).alias("distance"))
     score = F.when(F.col("name") == prefix, 100).otherwise(F.lit(100) - F.length("name") + len(prefix))
     tier = Window.partitionBy("distance").orderBy(F.desc("score"), "qualified_name", "id")

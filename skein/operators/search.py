@@ -171,6 +171,31 @@ def embed(texts: DataFrame, dims: int = 64) -> DataFrame:
     return sums.select("id", F.transform(raw, lambda x: F.when(norm > 1e-9, x / norm).otherwise(x)).alias("embedding"))
 
 
+def rerank(refs: DataFrame, vectors: DataFrame, context: list[float] | None) -> DataFrame:
+    """References (chunk_id, ...) with their chunk's likeness to a definition's context, most alike first in rank; without a context all are alike."""
+    if context is None:
+        return refs.withColumn("similarity", F.lit(None).cast("double"))
+    q = F.array(*[F.lit(float(x)) for x in context])
+    v = vectors.select(F.col("vec_id").alias("chunk_id"), F.round(cosine("embedding", q), 6).alias("similarity"))
+    return refs.join(v, "chunk_id", "left")
+
+
+def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The chunks (id, content) that have no vector yet."""
+    return chunks.select("id", F.col("content").alias("text")).join(vectors.select(F.col("vec_id").alias("id")), "id", "left_anti")
+
+
+def pack_vector(column: str = "embedding"):
+    """Little-endian bytes of float vectors and back, a column function each; bytes that are no whole numbers of floats make an empty vector."""
+    import struct
+
+    from pyspark.sql.functions import udf
+
+    pack = udf(lambda v: None if v is None else struct.pack(f"<{len(v)}f", *v), "binary", useArrow=True)
+    unpack = udf(lambda b: None if b is None else list(struct.unpack(f"<{len(b) // 4}f", b)) if len(b) % 4 == 0 else [], "array<float>", useArrow=True)
+    return pack, unpack
+
+
 # -- history --------------------------------------------------------------------------
 def history(log: DataFrame) -> DataFrame:
     """query, query_type, use_count, last_used_at, is_saved of an append-only log (query, query_type, at, saved)."""

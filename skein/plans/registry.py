@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions import scalars as sc
 from skein.operators import aggregates, concepts, connectors, extract, graph, maintain, navigation, search
 from skein.operators.graphmodel import CodeGraph, with_views
+from skein.operators.reindex import reindex
 from skein.operators.resolve import resolve, unresolved
 from skein.sources import walker
 
@@ -622,3 +623,91 @@ def win_budget(g):
     cost = F.coalesce(F.create_map(*[F.lit(x) for kv in concepts.TOKENS.items() for x in kv])[F.col("kind")], F.lit(concepts.OTHER_TOKENS))
     top = n.join(g.symbols.select("id", "kind"), "id").orderBy(F.desc("incoming"), "id").limit(200)
     return concepts.budgeted(top.select("id", "incoming", cost.alias("tokens")), [F.desc("incoming"), "id"], 4000)
+
+
+# -- compositions ----------------------------------------------------------------------
+@query()
+def cnx_route_handlers(g):
+    return connectors.routes_with_handlers(connectors.routes(connectors.scan(g)), g.symbols)
+
+
+@query()
+def cnx_db_mappings(g):
+    return connectors.db_mappings(connectors.scan(g), g.symbols)
+
+
+@query()
+def con_stereotypes(g):
+    return connectors.stereotype_concepts(connectors.scan(g), g.symbols)
+
+
+@query(f"WITH {_CON}, {_MEM_EQ}, top AS (SELECT name FROM m GROUP BY 1 ORDER BY count(*) DESC, name LIMIT 1) SELECT s.id, s.qualified_name, s.kind FROM m JOIN symbols s ON s.id = m.symbol_id WHERE m.name = (SELECT name FROM top)")
+def con_members(g):
+    m = concepts.assign(g, concepts.discover(g))
+    name = m.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").first()[0]
+    return g.symbols.join(m.filter(F.col("name") == name).select(F.col("symbol_id").alias("id")), "id", "left_semi").select("id", "qualified_name", "kind")
+
+
+@query(f"""{with_views('e')}, {_CON}, {_MEM_EQ}, top AS (SELECT name FROM m GROUP BY 1 ORDER BY count(*) DESC, name LIMIT 1), n AS (SELECT symbol_id AS id FROM m WHERE name = (SELECT name FROM top))
+    SELECT source_id, target_id, kind, max(confidence) AS confidence FROM e WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n) GROUP BY 1, 2, 3""")
+def gra_subgraph_concept(g):
+    return graph.subgraph(g, con_members(g))
+
+
+@query(f"""{with_views('e')} SELECT s.id, min(f.project) AS concept, count(e.target_id) AS n FROM symbols s JOIN files f ON f.id = s.file_id LEFT JOIN e ON e.source_id = s.id GROUP BY 1""")
+def agg_first_concept(g):
+    out = g.edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"))
+    s = g.symbols.select("id", "file_id").join(g.files.select(F.col("id").alias("file_id"), F.col("project").alias("concept")), "file_id")
+    return s.join(out, "id", "left").groupBy("id").agg(F.min("concept").alias("concept"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+@query()
+def gra_export_json(g):
+    nodes = g.symbols.filter("kind = 'interface'").select("id", "name", "kind")
+    return graph.export_json(nodes, graph.subgraph(g, nodes))
+
+
+@query(f"""{with_views('sym', 'e')}, {HOT}, {_Q}, p AS (SELECT DISTINCT s.file_id, e.source_line AS line, e.source_id FROM e JOIN symbols s ON s.id = e.source_id WHERE e.target_id = (SELECT id FROM hot) AND e.source_line IS NOT NULL),
+    m AS (SELECT p.file_id, p.line, c.id AS chunk_id, row_number() OVER (PARTITION BY p.file_id, p.line ORDER BY c.end_line - c.start_line, c.id) AS k FROM (SELECT DISTINCT file_id, line FROM p) p JOIN code_chunks c ON c.file_id = p.file_id AND p.line BETWEEN c.start_line AND c.end_line),
+    v AS (SELECT vec_id, {_COS} AS similarity FROM embeddings, q) SELECT p.file_id, p.line, p.source_id, m.chunk_id, v.similarity FROM p JOIN m ON m.file_id = p.file_id AND m.line = p.line AND m.k = 1 LEFT JOIN v ON v.vec_id = m.chunk_id""")
+def sea_rerank(g):
+    s = g.symbols.select(F.col("id").alias("source_id"), "file_id")
+    refs = g.edges.filter((F.col("target_id") == _hot(g)[0]) & F.col("source_line").isNotNull()).join(s, "source_id").select("file_id", F.col("source_line").alias("line"), "source_id").distinct()
+    at = navigation.chunk_at(refs.select("file_id", "line").distinct(), g.read("code_chunks"))
+    return search.rerank(refs.join(at, ["file_id", "line"]), g.read("embeddings"), _vector(g)).select("file_id", "line", "source_id", "chunk_id", "similarity")
+
+
+@query("SELECT id FROM code_chunks WHERE id NOT IN (SELECT vec_id FROM embeddings)")
+def sea_embed_missing(g):
+    return search.missing_vectors(g.read("code_chunks"), g.read("embeddings")).select("id")
+
+
+@query("SELECT vec_id, embedding FROM embeddings")
+def sca_vector_bytes(g):
+    pack, unpack = search.pack_vector()
+    return g.read("embeddings").select("vec_id", unpack(pack("embedding")).alias("embedding"))
+
+
+@query(f"{with_views('e')}, n AS (SELECT source_id, target_id, kind, source_line FROM e WHERE kind = 'lsp_resolved') SELECT e.source_id, e.target_id, e.kind, e.source_line, CASE WHEN e.kind = 'lsp_resolved' THEN 1.0 ELSE e.confidence END AS confidence FROM e")
+def brg_persist(g):
+    return maintain.persist_edges(g.edges, g.edges.filter("kind = 'lsp_resolved'"))
+
+
+def _reindexed(g):
+    changed = maintain.detect_changes(g.files.select("path", "hash"), maintain.hashed(g.read("source_files")).select("path", "hash")).filter("change <> 'unchanged'")
+    return reindex(g, changed, g.read("source_files").select("path", "content"), unresolved(g))
+
+
+@query()
+def inc_reindex_symbols(g):
+    return _reindexed(g)["symbols"]
+
+
+@query()
+def inc_reindex_edges(g):
+    return _reindexed(g)["edges"]
+
+
+@query()
+def inc_reindex_touched(g):
+    return _reindexed(g)["touched"]

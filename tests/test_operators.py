@@ -246,3 +246,66 @@ def test_bursts_are_session_windows(spark, tmp_path):
     q = watch.bursts(events).writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.events for r in spark.table("bursts").collect()) == [1, 2]
+
+
+def test_reindex_touches_what_changes_reach(spark, tmp_path):
+    from skein.operators.reindex import reindex
+
+    files = [(1, "p", "p/a.py", "h", "python", 0), (2, "p", "p/b.py", "h", "python", 0), (3, "p", "p/c.py", "h", "python", 0), (4, "p", "p/d.py", "h", "python", 0)]
+    symbols = [sym(10, 1, "keep", "keep", "function", 0, 1), sym(11, 1, "drop", "drop", "function", 3, 4), sym(20, 2, "user", "user", "function", 0, 9), sym(30, 3, "gone", "gone", "function", 0, 1), sym(40, 4, "late", "late", "function", 0, 3)]
+    edges = [(20, 10, "calls", 1, 0.9), (20, 11, "calls", 2, 0.9), (20, 30, "calls", 3, 0.9), (10, 20, "calls", 1, 0.9), (40, 20, "calls", 2, 0.9)]
+    g = tables(spark, tmp_path, files=files, symbols=symbols, edges=edges)
+    changes = spark.createDataFrame([("p/a.py", "modified"), ("p/c.py", "deleted"), ("p/new.py", "created")], "path string, change string")
+    present = spark.createDataFrame([("p/a.py", "def keep():\n    user(1)\n"), ("p/new.py", "def fresh():\n    keep(2)\n"), ("p/b.py", "x")], "path string, content string")
+    open_ = spark.createDataFrame([(40, 4, "fresh", "calls", 1), (40, 4, "never", "calls", 2)], "source_id long, file_id long, target_name string, kind string, line int")
+    out = reindex(g, changes, present, open_)
+    names = {r.name: r.id for r in out["symbols"].collect()}
+    assert set(names) == {"keep", "user", "late", "fresh"}
+    e = {(r.source_id, r.target_id, r.kind) for r in out["edges"].collect()}
+    assert e == {(20, names["keep"], "calls"), (names["keep"], 20, "calls"), (names["fresh"], names["keep"], "calls"), (40, 20, "calls"), (40, names["fresh"], "calls")}
+    assert {(r.source_id, r.target_name) for r in out["unresolved"].collect()} == {(20, "drop"), (20, "gone"), (40, "never")}
+    why = {r.file_id: r.why for r in out["touched"].collect()}
+    assert why[1] == "changed" and why[2] == "dependent" and why[4] == "waiting" and len(why) == 4
+    assert {r.path for r in out["files"].collect()} == {"p/a.py", "p/b.py", "p/d.py", "p/new.py"}
+    again = {r.name: r.id for r in reindex(g, changes, present, open_)["symbols"].collect()}
+    assert again == names
+
+
+def test_mappings_stereotypes_and_handlers(spark, tmp_path):
+    cs = "class Ctx {\n  DbSet<Order> Orders { get; }\n}\n[HttpGet(\"x\")]\npublic int Get()\n"
+    java = "@Service\npublic class Pay {\n}\n"
+    files = [(1, "p", "p/a.cs", "h", "csharp", 0), (2, "p", "p/b.java", "h", "java", 0)]
+    symbols = [sym(1, 1, "Order", "Order", "class", 50), sym(2, 2, "Pay", "Pay", "class", 1), sym(3, 1, "Get", "Get", "method", 4)]
+    g = tables(spark, tmp_path, files=files, symbols=symbols, source_files=[(1, "p/a.cs", cs), (2, "p/b.java", java)])
+    facts = connectors.scan(g)
+    assert [(r.symbol_id, r.table_name) for r in connectors.db_mappings(facts, g.symbols).collect()] == [(1, "Orders")]
+    assert [(r.name, r.symbol_id) for r in connectors.stereotype_concepts(facts, g.symbols).collect()] == [("spring-service", 2)]
+    assert [(r.http_method, r.symbol_id) for r in connectors.routes_with_handlers(connectors.routes(facts), g.symbols).collect()] == [("GET", 3)]
+    pairs = spark.createDataFrame([(1, "produce", 3, "t", "kafka", None), (2, "consume", 4, "t", "kafka", None), (2, "consume", 5, "t", "nats", None)], "file_id long, kind string, line int, a string, b string, c string")
+    assert [(r.source_file_id, r.target_line, r.edge_type, r.confidence) for r in connectors.flow_facts(pairs).collect()] == [(1, 4, "message_queue", 0.85)]
+
+
+def test_resolution_ladder_takes_the_first_step(spark, tmp_path):
+    from skein.operators.resolve import resolve
+
+    files = [(1, "p", "p/main.py", "h", "python", 0), (2, "p", "p/util/io.py", "h", "python", 0)]
+    symbols = [sym(1, 1, "run", "app.run", scope="app"), sym(2, 2, "read", "util.io.read"), sym(3, 2, "Box", "util.io.Box", "class"), sym(4, 2, "read", "other.read"), sym(5, 1, "near", "app.near", scope="app"), sym(6, 2, "Thing", "a.Thing", "function"), sym(7, 2, "Thing", "b.Thing", "class")]
+    edges = [(1, 2, "imports", 0, 1.0)]
+    g = tables(spark, tmp_path, files=files, symbols=symbols, edges=edges)
+    refs = spark.createDataFrame([(1, n, k, 1) for n, k in (("read", "calls"), ("Box", "instantiates"), ("util.io.Box", "type_ref"), ("near", "calls"), ("Thing", "instantiates"), ("Nope", "calls"))], "source_id long, target_name string, kind string, file_id long")
+    got = {r.target_name: (r.step, r.target_id) for r in resolve(g, refs).collect()}
+    assert got == {"read": (1, 2), "Box": (2, 3), "util.io.Box": (3, 3), "near": (4, 5), "Thing": (6, 7)}
+
+
+def test_smart_context_stays_within_budget(spark, tmp_path):
+    g = chain(spark, tmp_path)
+    rows = concepts.smart_context(g, "def", budget=250, depth=1).collect()
+    assert rows and rows[-1].total <= 250 and len({r.qualified_name for r in rows}) == len(rows)
+    assert concepts.smart_context(g, "def", budget=1, depth=1).count() == 1
+
+
+def test_vector_bytes(spark):
+    pack, unpack = search.pack_vector()
+    df = spark.createDataFrame([([1.0, -2.5],), (None,)], "embedding array<float>")
+    assert [r[0] for r in df.select(unpack(pack("embedding"))).collect()] == [[1.0, -2.5], None]
+    assert spark.range(1).select(unpack(F.lit(bytearray(b"abc")))).first()[0] == []
