@@ -56,6 +56,27 @@ def plan_runs(files: DataFrame, versions: DataFrame, runs: DataFrame) -> DataFra
     return seen.filter(~h0.eqNullSafe(h1)).select("run_id", "file_id", action.alias("action"), h1.alias("hash"), h0.alias("hash_before"))
 
 
+def plan_next(files: DataFrame, versions: DataFrame, runs: DataFrame) -> DataFrame:
+    """The items of the running runs from the state kept in ``files`` (hash as of each project's last success): run_id, file_id, action, hash, hash_before.
+
+    Only files with a version that arrived since then are looked at; of these all versions
+    count, since one that came late may be older than what is indexed. A file that was
+    never indexed has a null hash or is known by its versions alone."""
+    windows = run_windows(runs).filter("not ok")
+    if windows.count() <= BROADCAST_RUNS:
+        windows = F.broadcast(windows)
+    f = files.select(F.col("id").alias("file_id"), "project", F.lower("hash").alias("kept")).dropDuplicates(["file_id"])
+    v = versions.filter("file_id is not null and changed_at is not null and arrived_at is not null")
+    known = f.join(windows, "project")
+    new = v.select("file_id", "arrived_at").join(known, "file_id").filter((F.col("arrived_at") <= F.col("started_at")) & (F.col("after").isNull() | (F.col("arrived_at") > F.col("after"))))
+    asked = new.groupBy("file_id", "run_id").agg(F.first("started_at").alias("started_at"), F.first("kept").alias("kept"))
+    best = F.max(F.struct(F.col("changed_at").alias("at"), F.coalesce("version_id", F.lit(-(2**63) + 1)).alias("id"), F.lower("hash").alias("hash")))
+    seen = v.join(asked, "file_id").filter(F.col("arrived_at") <= F.col("started_at")).groupBy("run_id", "file_id").agg(best.alias("b"), F.first("kept").alias("hash_before"))
+    h0, h1 = F.col("hash_before"), F.col("b.hash")
+    action = F.when(h0.isNull(), "added").when(h1.isNull(), "removed").otherwise("changed")
+    return seen.filter(~h0.eqNullSafe(h1)).select("run_id", "file_id", action.alias("action"), h1.alias("hash"), "hash_before")
+
+
 def state_after(files: DataFrame, versions: DataFrame, runs: DataFrame) -> DataFrame:
     """file_id, hash and last_indexed (epoch second) as they stand after each project's last succeeded run."""
     plan = plan_runs(files, versions, runs.filter("status = 'succeeded'"))

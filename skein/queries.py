@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from skein.operators.hierarchy import descendants, hierarchy
 from skein.operators.keychunks import hot_keys, key_totals
-from skein.operators.workledger import replay, state_after
+from skein.operators.workledger import plan_next, replay, state_after
 from skein.sources.tables import table
 
 
@@ -20,6 +20,10 @@ def p1_state(spark, d):
     return state_after(table(spark, d, "files"), table(spark, d, "file_versions"), table(spark, d, "index_runs"))
 
 
+def p1_next(spark, d):
+    return plan_next(table(spark, d, "files"), table(spark, d, "file_versions"), table(spark, d, "index_runs")).select("run_id", "file_id", "action", "hash")
+
+
 def p6_found(spark, d):
     return hot_keys(key_totals(table(spark, d, "edges"))).select("target_id", "kind")
 
@@ -41,7 +45,7 @@ def p7_descendants(spark, d):
     return descendants(hierarchy(table(spark, d, "edges")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_state, p6_found, p6_totals, p7_found, p7_paths, p7_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_state, p1_next, p6_found, p6_totals, p7_found, p7_paths, p7_descendants)}
 
 _RUNS = """r AS (SELECT run_id, project, started_at, status,
   max(CASE WHEN status = 'succeeded' THEN started_at END) OVER (PARTITION BY project ORDER BY started_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
@@ -69,6 +73,7 @@ SQL = {
     "p1_state": f"""WITH {_RUNS}, last AS (SELECT i.file_id, i.hash, r.started_at, row_number() OVER (PARTITION BY i.file_id ORDER BY r.started_at DESC, r.run_id DESC) AS k
         FROM items i JOIN r ON r.run_id = i.run_id WHERE i.status = 'succeeded')
         SELECT file_id, hash, CAST(floor(epoch(started_at)) AS BIGINT) AS last_indexed FROM last WHERE k = 1""",
+    "p1_next": f"""WITH {_RUNS} SELECT run_id, file_id, CASE WHEN before IS NULL THEN 'added' WHEN hash IS NULL THEN 'removed' ELSE 'changed' END AS action, hash FROM items WHERE status = 'running'""",
     "p6_found": """WITH d AS (SELECT DISTINCT source_id, target_id, kind, source_line FROM edges)
         SELECT target_id, kind FROM d GROUP BY target_id, kind HAVING count(*) >= 0.01 * (SELECT count(*) FROM d)""",
     "p6_totals": """SELECT target_id, kind, count(*) AS refs, count(DISTINCT source_id) AS sources

@@ -8,7 +8,7 @@ import pytest
 from skein.operators.hierarchy import Forest, descendants, hierarchy
 from skein.operators.keychunks import hot_keys, key_totals
 from skein.operators.offsets import part_offsets, sorted_runs
-from skein.operators.workledger import WorkLedger, plan_runs, replay, state_after
+from skein.operators.workledger import WorkLedger, plan_next, plan_runs, replay, state_after
 
 T0 = datetime(2026, 1, 1)
 FILES = "id long, project string, note string"
@@ -49,13 +49,16 @@ def test_plan_matches_a_plain_replay(spark, seed):
     f, v, r = spark.createDataFrame(files, FILES), spark.createDataFrame(versions, VERSIONS), spark.createDataFrame(runs, RUNS)
     got = [(x.run_id, x.file_id) for x in plan_runs(f, v, r).collect()]
     assert len(got) == len(set(got)) and set(got) == expected_plan(files, versions, runs)
+    kept = {x.file_id: x.hash for x in state_after(f, v, r).collect()}
+    with_state = spark.createDataFrame([(i, p, kept.get(i)) for i, p, _ in files], "id long, project string, hash string")
+    assert {(x.run_id, x.file_id) for x in plan_next(with_state, v, r).collect()} == {x for x in got if 100 <= x[0] < 103}
     states = {x.state for x in replay(spark, f, v, r).collect()}
     assert states <= {"done", "pending"}
 
 
 def test_empty_tables_plan_nothing(spark):
     f, v, r = spark.createDataFrame([], FILES), spark.createDataFrame([], VERSIONS), spark.createDataFrame([], RUNS)
-    assert plan_runs(f, v, r).count() == 0 and state_after(f, v, r).count() == 0
+    assert plan_runs(f, v, r).count() == 0 and plan_next(f.withColumn("hash", f["note"]), v, r).count() == 0 and state_after(f, v, r).count() == 0
 
 
 def test_ledger_survives_lost_workers_and_stale_writers(spark, tmp_path):
