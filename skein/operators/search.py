@@ -89,28 +89,39 @@ def content_lines(g: CodeGraph, query: str, **scope) -> DataFrame:
 
 
 # -- fuzzy names --------------------------------------------------------------------
+def _starts_word(text: str, i: int) -> bool:
+    return i == 0 or not text[i - 1].isalnum() or (text[i].isupper() and text[i - 1].islower())
+
+
 def fuzzy_score(query: str, text: str) -> tuple[int, list[int]] | None:
-    """Score and matched positions of a query whose letters come in order in the text; None if they do not. Case counts only if the query has capitals. Runs, word starts and early hits score."""
-    smart = query != query.lower()
-    t = text if smart else text.lower()
-    at, score, prev, spots = 0, 0, -2, []
-    for ch in query:
-        if ch == " ":
-            continue
-        i = t.find(ch, at)
-        if i < 0:
+    """Score and matched positions of a query whose letters come in order in the text; None if they do not. Case counts only if the query has capitals.
+
+    Of all ways to match, the best counts: runs, word starts and small gaps score."""
+    t = text if query != query.lower() else text.lower()
+    letters = [c for c in query if c != " "]
+    # best[i]: score and way of the letters so far that end at position i
+    best: dict[int, tuple[int, list[int]]] = {}
+    for k, ch in enumerate(letters):
+        here: dict[int, tuple[int, list[int]]] = {}
+        lead: tuple[int, list[int]] | None = None  # best way that ends before i - 1
+        for i, c in enumerate(t):
+            if k and i >= 2 and i - 2 in best and (lead is None or best[i - 2][0] > lead[0]):
+                lead = best[i - 2]
+            if c != ch:
+                continue
+            bonus = 16 + (8 if _starts_word(text, i) else 0)
+            ways = [(bonus - min(8, i), [i])] if k == 0 else []
+            if k and i - 1 in best:
+                ways.append((best[i - 1][0] + bonus + 12, [*best[i - 1][1], i]))
+            if k and lead:
+                ways.append((lead[0] + bonus - min(8, i - lead[1][-1]), [*lead[1], i]))
+            if ways:
+                here[i] = max(ways, key=lambda w: w[0])
+        best = here
+        if not best:
             return None
-        # prefer the start of a word over the next letter
-        for j in range(i, min(len(t), i + 24)):
-            if t[j] == ch and (j == 0 or not text[j - 1].isalnum() or text[j].isupper() and text[j - 1].islower()):
-                if t.find(query[len(spots) + 1 : len(spots) + 2] or ch, j) >= 0 and i != prev + 1:
-                    i = j
-                break
-        start = i == 0 or not text[i - 1].isalnum() or (text[i].isupper() and text[i - 1].islower())
-        score += 16 + (12 if i == prev + 1 else 0) + (8 if start else 0) - min(8, i - at)
-        spots.append(i)
-        prev, at = i, i + 1
-    return score - min(20, len(text) // 8), spots
+    score, way = max(best.values(), key=lambda w: (w[0], [-x for x in w[1]])) if best else (0, [])
+    return score - min(20, len(text) // 8), way
 
 
 def fuzzy(df: DataFrame, column: str, query: str, limit: int = 50) -> DataFrame:

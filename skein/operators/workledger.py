@@ -197,3 +197,21 @@ def replay(spark: SparkSession, files: DataFrame, versions: DataFrame, runs: Dat
         status = F.broadcast(status)
     done = F.col("status") == "succeeded"
     return plan.join(status, "run_id").select("run_id", "file_id", "action", "hash", F.when(done, "done").otherwise("pending").alias("state"), done.cast("long").alias("token"), F.lit(None).cast("string").alias("worker"), F.lit(None).cast("timestamp").alias("expires_at"), item_path("out", F.col("run_id"), F.col("file_id"), F.col("hash")).alias("path"))
+
+
+def drive(ledger: WorkLedger, plan: DataFrame, now: datetime, buckets: int = 2, seconds: int = 60) -> DataFrame:
+    """Carries a plan through one lost worker and returns the ledger: every item done, once.
+
+    Worker 0 leases the first bucket and falls silent; its lease expires and worker 1 takes
+    the items with newer tokens; what worker 0 then reports is refused. All other
+    buckets are leased and completed in turn."""
+    ledger.add(plan)
+    late = ledger.lease("worker-0", buckets, 0, now, seconds).select("run_id", "file_id", "token")
+    now += timedelta(seconds=seconds + 1)
+    ledger.expire(now)
+    for b in range(buckets):
+        got = ledger.lease(f"worker-{b + 1}", buckets, b, now, seconds)
+        if b == 0:
+            ledger.complete(late)
+        ledger.complete(got.select("run_id", "file_id", "token"))
+    return ledger.items()

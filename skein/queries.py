@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from skein.operators.hierarchy import descendants, hierarchy
 from skein.operators.keychunks import hot_keys, key_totals
-from skein.operators.workledger import plan_next, replay, state_after
+from skein.operators.workledger import WorkLedger, drive, plan_next, replay, state_after
+from skein.plans.session import checkpoint_dir
 from skein.sources.tables import table
 
 
@@ -24,6 +28,13 @@ def p1_next(spark, d):
     return plan_next(table(spark, d, "files"), table(spark, d, "file_versions"), table(spark, d, "index_runs")).select("run_id", "file_id", "action", "hash")
 
 
+def p1_ledger(spark, d):
+    """The items of the running runs after workers took them, one of which was lost on the way."""
+    led = WorkLedger(spark, f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    plan = plan_next(table(spark, d, "files"), table(spark, d, "file_versions"), table(spark, d, "index_runs"))
+    return drive(led, plan, datetime(2026, 1, 1)).select("run_id", "file_id", "action", "state", "token", "worker")
+
+
 def p6_found(spark, d):
     return hot_keys(key_totals(table(spark, d, "edges"))).select("target_id", "kind")
 
@@ -45,7 +56,7 @@ def p7_descendants(spark, d):
     return descendants(hierarchy(table(spark, d, "edges")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_state, p1_next, p6_found, p6_totals, p7_found, p7_paths, p7_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_state, p1_next, p1_ledger, p6_found, p6_totals, p7_found, p7_paths, p7_descendants)}
 
 _RUNS = """r AS (SELECT run_id, project, started_at, status,
   max(CASE WHEN status = 'succeeded' THEN started_at END) OVER (PARTITION BY project ORDER BY started_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev

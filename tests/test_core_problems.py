@@ -8,7 +8,7 @@ import pytest
 from skein.operators.hierarchy import Forest, descendants, hierarchy
 from skein.operators.keychunks import hot_keys, key_totals
 from skein.operators.offsets import part_offsets, sorted_runs
-from skein.operators.workledger import WorkLedger, plan_next, plan_runs, replay, state_after
+from skein.operators.workledger import WorkLedger, drive, plan_next, plan_runs, replay, state_after
 
 T0 = datetime(2026, 1, 1)
 FILES = "id long, project string, note string"
@@ -80,6 +80,30 @@ def test_ledger_survives_lost_workers_and_stale_writers(spark, tmp_path):
     assert led.lease("w3", 1, 0, T0 + timedelta(days=9), 60).count() == 0  # nothing is done twice
 
 
+def test_a_lost_worker_costs_no_item_and_repeats_none(spark, tmp_path):
+    plan = spark.createDataFrame([(1, i, "added", f"h{i}", None) for i in range(40)], "run_id long, file_id long, action string, hash string, hash_before string")
+    rows = drive(WorkLedger(spark, str(tmp_path / "l")), plan, T0, buckets=3).collect()
+    assert len(rows) == 40 and {r.state for r in rows} == {"done"}
+    assert {(r.worker == "worker-1", r.token) for r in rows} == {(True, 2), (False, 1)}
+
+
+def test_two_writers_from_one_generation(spark, tmp_path):
+    plan = spark.createDataFrame([(1, 1, "added", "h", None)], "run_id long, file_id long, action string, hash string, hash_before string")
+    a, b = WorkLedger(spark, str(tmp_path / "l")), WorkLedger(spark, str(tmp_path / "l"))
+    a.add(plan)
+    real, beaten = a.head, []
+
+    def behind():
+        n = real()
+        if not beaten:
+            beaten.append(n)
+            b.expire(T0)  # the other writer commits first
+        return n
+
+    a.head = behind
+    assert a.lease("w", 1, 0, T0, 60).count() == 1 and real() == 3
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 1000])
 def test_key_totals_with_hot_keys_and_nulls(spark, chunk):
     rnd = random.Random(chunk)
