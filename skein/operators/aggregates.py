@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.graphmodel import CodeGraph
+from skein.operators.offsets import part_offsets, sorted_runs
 
 ENTRY_KINDS = ("class", "interface", "function", "struct")
 
@@ -68,13 +69,17 @@ def project_metrics(g: CodeGraph) -> DataFrame:
     return a.unionByName(b.select("project", F.explode(F.create_map(F.lit("symbols"), F.col("symbols"), F.lit("edges"), F.col("edges"))).alias("metric", "value")))
 
 
-def percentiles(df: DataFrame, key: str, value: str) -> DataFrame:
-    """p50, p95, p99 and max of each key by the sorted position floor(p * (n - 1)), exactly. Equal values are counted first, so the running count sees each value once."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(key).orderBy(value)
-    run = counts.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy(key)))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("n") - 1)), F.col(value)))
-    return run.groupBy(key).agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(value).alias("max"))
+def percentiles(df: DataFrame, key: str, value: str, partitions: int | None = None) -> DataFrame:
+    """n, p50, p95, p99 and max of each key by the sorted position floor(p * (n - 1)), exactly. Positions come from exact offsets (see ``offsets``), so that a key with most rows is spread over many tasks."""
+    rows = df.filter(F.col(value).isNotNull()).select(key, value)
+    runs = sorted_runs(rows, [key], [value], partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    offsets = part_offsets(runs, [key]).select(F.col("part").alias("p"), F.col(key).alias("k"), "offset")
+    counts = runs.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), F.max(value).alias("max"))
+    here = F.row_number().over(Window.partitionBy("part", key).orderBy(value)) - 1  # a part is bounded
+    at = runs.withColumn("here", here).join(F.broadcast(offsets), (F.col("part") == F.col("p")) & F.col(key).eqNullSafe(F.col("k")), "left").select(key, value, (F.col("here") + F.coalesce("offset", F.lit(0))).alias("at"))
+    want = counts.select("k", "n", "max", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.lit(p) * (F.col("n") - 1)).alias("want")) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])).alias("w")).select("k", "n", "max", "w.*")
+    hit = at.join(want, F.col(key).eqNullSafe(F.col("k")) & (F.col("at") == F.col("want")))
+    return hit.groupBy(key).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == p, F.col(value))).alias(p) for p in ("p50", "p95", "p99")], F.max("max").alias("max"))
 
 
 def answer_scores(df: DataFrame) -> DataFrame:

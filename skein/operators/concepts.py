@@ -10,7 +10,7 @@ from skein.operators.navigation import degrees
 from skein.operators.search import bm25, words
 from skein.plans.session import cut_lineage
 
-#: Tokens that a symbol of a kind takes in a context; others take OTHER_TOKENS.
+#: Tokens that a symbol of a kind takes in a context; others take OTHER_TOKENS.
 TOKENS = {"class": 200, "struct": 200, "method": 100, "function": 100, "interface": 80, "trait": 80, "enum": 50, "property": 20, "field": 20, "constant": 20}
 OTHER_TOKENS = 60
 

@@ -214,16 +214,24 @@ def routes(facts: DataFrame) -> DataFrame:
 
 
 def match_routes(calls: DataFrame, routes_: DataFrame) -> DataFrame:
-    """Calls (call_id, method, url) and routes (route_id, method, template) that fit: call_id, route_id, confidence (1.0 exact, 0.8 by wildcard). They meet by method and number of segments; a call's first segment must be the route's or either a wildcard."""
-    c = calls.select("call_id", F.upper("method").alias("method"), normal_route(url_pattern("url")).alias("url")).withColumn("n", F.size(F.split("url", "/")))
-    r = routes_.select("route_id", F.upper("method").alias("method"), normal_route("template").alias("template")).withColumn("n", F.size(F.split("template", "/")))
-    exact = c.join(r, (c["method"] == r["method"]) & (c["url"] == r["template"])).select("call_id", "route_id", F.lit(1.0).alias("confidence"))
-    wild = r.filter(F.contains("template", F.lit("{*}"))).withColumn("head", F.substring_index("template", "/", 1))
-    asked = c.withColumn("head", F.substring_index("url", "/", 1))
-    loose = asked.join(wild.filter("head <> '{*}'"), ["method", "n", "head"])
-    any_ = asked.join(wild.filter("head = '{*}'").drop("head"), ["method", "n"])
-    fit = lambda d: d.filter(routes_match("url", "template") & (F.col("url") != F.col("template"))).select("call_id", "route_id", F.lit(0.8).alias("confidence"))
-    return exact.unionByName(fit(loose)).unionByName(fit(any_))
+    """Calls (call_id, method, url) and routes (route_id, method, template) that fit: call_id, route_id, confidence (1.0 exact, 0.8 by wildcard).
+
+    A route with wildcards is filed under its literal segments and where they stand. A call
+    asks once for each such pattern of places that routes of its length have, so that
+    calls and routes meet by equality and only where they fit. Calls with holes of their
+    own are few and are compared with the routes of their method and length."""
+    c = calls.select("call_id", F.upper("method").alias("method"), F.split(normal_route(url_pattern("url")), "/").alias("cs")).withColumn("n", F.size("cs"))
+    r = routes_.select("route_id", F.upper("method").alias("method"), F.split(normal_route("template"), "/").alias("rs")).withColumn("n", F.size("rs"))
+    exact = c.join(r, (c["method"] == r["method"]) & (c["cs"] == r["rs"])).select("call_id", "route_id", F.lit(1.0).alias("confidence"))
+    places = F.expr("filter(transform(rs, (x, i) -> IF(x = '{*}', -1, i)), i -> i >= 0)")
+    wild = r.filter(F.array_contains("rs", "{*}")).withColumn("places", places).withColumn("key", F.filter("rs", lambda x: x != "{*}"))
+    patterns = wild.select("method", "n", "places").distinct()
+    whole, holed = c.filter(~F.array_contains("cs", "{*}")), c.filter(F.array_contains("cs", "{*}"))
+    asked = whole.join(patterns, ["method", "n"]).withColumn("key", F.expr("transform(places, i -> cs[i])"))
+    loose = asked.join(wild.select("route_id", "method", "n", "places", "key"), ["method", "n", "places", "key"]).select("call_id", "route_id", F.lit(0.8).alias("confidence"))
+    text = lambda x: F.array_join(x, "/")
+    odd = holed.join(r, ["method", "n"]).filter(routes_match(text("cs"), text("rs")) & (F.col("cs") != F.col("rs"))).select("call_id", "route_id", F.lit(0.8).alias("confidence"))
+    return exact.unionByName(loose).unionByName(odd)
 
 
 def pair_facts(facts: DataFrame, left: str, right: str, edge_type: str, confidence: float, keys: tuple[str, ...] = ("a",)) -> DataFrame:

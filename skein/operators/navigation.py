@@ -69,20 +69,37 @@ def file_outline(g: CodeGraph, path: str, mode: str = "outline") -> DataFrame:
     return g.symbols.join(f, "file_id", "left_semi").select(*cols)
 
 
+LEVELS = 13  # sizes of blocks of lines: 1, 4, 16, ... so that the largest holds any file
+
+
+def covering(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """points (file_id, line) with the spans (file_id, first, last, ...) that hold them.
+
+    A span is filed under the one or two blocks of its own size that it touches, a point
+    under its block of every size. They meet by file, size and block, all equalities, so
+    that a file with very many spans makes no more pairs than spans truly nest."""
+    # the smallest k with 4^k lines or more
+    size = F.least(F.lit(LEVELS - 1), F.ceil(F.round(F.log2((F.col("last") - F.col("first") + 1).cast("double")) / 2, 9)).cast("int"))
+    s = spans.filter("first is not null and last >= first").withColumn("size", size)
+    width = F.pow(F.lit(4.0), F.col("size"))
+    s = s.withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("first") / width), F.floor(F.col("last") / width)))))
+    p = points.select("file_id", "line", F.posexplode(F.array(*[F.floor(F.col("line") / float(4**k)) for k in range(LEVELS)])).alias("size", "block"))
+    met = p.join(s, ["file_id", "size", "block"])
+    return met.filter((F.col("line") >= F.col("first")) & (F.col("line") <= F.col("last"))).drop("size", "block")
+
+
 def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The narrowest symbol around each point (file_id, line): ties go to the later start, then the smaller id. Meets by file, which bounds the range join."""
+    """The narrowest symbol around each point (file_id, line): ties go to the later start, then the smaller id."""
     s = symbols.filter("line is not null").select("file_id", F.col("id").alias("symbol_id"), F.col("line").alias("first"), F.coalesce("end_line", "line").alias("last"))
-    met = points.join(s, "file_id").filter((F.col("line") >= F.col("first")) & (F.col("line") <= F.col("last")))
     best = F.min(F.struct((F.col("last") - F.col("first")).alias("span"), (-F.col("first")).alias("start"), "symbol_id")).alias("b")
-    return met.groupBy("file_id", "line").agg(best).select("file_id", "line", F.col("b.symbol_id").alias("symbol_id"), F.col("b.span").alias("span"))
+    return covering(points, s).groupBy("file_id", "line").agg(best).select("file_id", "line", F.col("b.symbol_id").alias("symbol_id"), F.col("b.span").alias("span"))
 
 
 def chunk_at(points: DataFrame, chunks: DataFrame) -> DataFrame:
     """The narrowest chunk over each point (file_id, line)."""
-    c = chunks.select("file_id", F.col("id").alias("chunk_id"), "start_line", "end_line")
-    met = points.join(c, "file_id").filter((F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line")))
-    best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "chunk_id")).alias("b")
-    return met.groupBy("file_id", "line").agg(best).select("file_id", "line", F.col("b.chunk_id").alias("chunk_id"))
+    c = chunks.select("file_id", F.col("id").alias("chunk_id"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+    best = F.min(F.struct((F.col("last") - F.col("first")).alias("span"), "chunk_id")).alias("b")
+    return covering(points, c).groupBy("file_id", "line").agg(best).select("file_id", "line", F.col("b.chunk_id").alias("chunk_id"))
 
 
 def diagnostics(g: CodeGraph, unresolved: DataFrame, threshold: float = LOW_CONFIDENCE) -> DataFrame:

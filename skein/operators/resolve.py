@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from skein.functions.scalars import module_fits
 from skein.operators.graphmodel import CodeGraph
 
+#: Confidence of each step.
 STEPS = {1: 0.95, 2: 0.92, 3: 0.90, 4: 0.85, 5: 0.80, 6: 0.50}
-#: Which kinds of symbols an edge kind fits.
+#: Which kinds of symbols an edge kind fits.
 FITS = {"calls": ("function", "method", "constructor", "test"), "inherits": ("class", "struct", "interface"), "implements": ("interface", "class"), "type_ref": ("class", "struct", "interface", "enum", "type_alias"), "instantiates": ("class", "struct")}
 
 

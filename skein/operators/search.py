@@ -11,6 +11,7 @@ from skein.functions.batches import map_columns
 from skein.functions.scalars import cosine, escape, in_scope, l2_distance, match_words
 from skein.operators.graphmodel import CodeGraph
 
+#: The ranking function's usual parameters and the fusion constant.
 K1, B = 1.2, 0.75
 RRF = 60
 

@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs, mirroring what a code-graph tool must get right."""
 
 import json
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -149,9 +150,9 @@ def test_connectors():
 
 
 def test_route_matching(spark):
-    calls = spark.createDataFrame([(1, "get", "/api/users/7?x=1"), (2, "get", "/api/users"), (3, "post", "/api/users/7")], "call_id long, method string, url string")
-    routes = spark.createDataFrame([(10, "GET", "/users/{id}"), (11, "GET", "users"), (12, "GET", "{a}/{b}")], "route_id long, method string, template string")
-    assert {(r.call_id, r.route_id, r.confidence) for r in connectors.match_routes(calls, routes).collect()} == {(1, 10, 0.8), (1, 12, 0.8), (2, 11, 1.0)}
+    calls = spark.createDataFrame([(1, "get", "/api/users/7?x=1"), (2, "get", "/api/users"), (3, "post", "/api/users/7"), (4, "get", "/api/users/${id}")], "call_id long, method string, url string")
+    routes = spark.createDataFrame([(10, "GET", "/users/{id}"), (11, "GET", "users"), (12, "GET", "{a}/{b}"), (13, "GET", "/users/8"), (14, "GET", "/teams/{id}")], "route_id long, method string, template string")
+    assert {(r.call_id, r.route_id, r.confidence) for r in connectors.match_routes(calls, routes).collect()} == {(1, 10, 0.8), (1, 12, 0.8), (2, 11, 1.0), (4, 10, 1.0), (4, 12, 0.8), (4, 13, 0.8)}
 
 
 def test_extraction():
@@ -178,6 +179,16 @@ def test_chunks_cover_a_file(spark, tmp_path):
     assert got == {(1, 5, 2, 3, "def f():\n  x"), (1, None, 0, 1, "import a\n"), (1, None, 4, 6, "\nrest\n"), (2, None, 0, 1, "only\ngap")}
 
 
+def test_covering_finds_all_spans_and_no_others(spark):
+    rnd = random.Random(8)
+    spans = [(rnd.randrange(2), i, a, a + rnd.choice([0, 1, 3, 4, 15, 16, 63, 200, 5000])) for i in range(150) for a in [rnd.randrange(3000)]] + [(0, 900, None, 4), (0, 901, 9, 3)]
+    points = sorted({(rnd.randrange(2), rnd.randrange(6000)) for _ in range(300)})
+    got = navigation.covering(spark.createDataFrame(points, "file_id long, line int"), spark.createDataFrame(spans, "file_id long, id long, first int, last int"))
+    rows = [(r.file_id, r.line, r.id) for r in got.collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == {(f, p, i) for f, p in points for g, i, a, b in spans if f == g and a is not None and a <= p <= b}
+
+
 def test_maintenance(spark, tmp_path):
     known = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, hash string")
     now = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, hash string")
@@ -309,3 +320,14 @@ def test_vector_bytes(spark):
     df = spark.createDataFrame([([1.0, -2.5],), (None,)], "embedding array<float>")
     assert [r[0] for r in df.select(unpack(pack("embedding"))).collect()] == [[1.0, -2.5], None]
     assert spark.range(1).select(unpack(F.lit(bytearray(b"abc")))).first()[0] == []
+
+
+def test_percentiles_are_exact_for_a_hot_key(spark):
+    rnd = random.Random(6)
+    rows = [("hot", float(rnd.randrange(50))) for _ in range(900)] + [("cold", 1.0), ("cold", 2.0), (None, 3.0), ("none", None)]
+    got = {r.k: r for r in aggregates.percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", partitions=7).collect()}
+    for k in ("hot", "cold", None):
+        v = sorted(x for a, x in rows if a == k)
+        assert (got[k].n, got[k].max) == (len(v), v[-1])
+        assert [got[k][p] for p in ("p50", "p95", "p99")] == [v[int(q * (len(v) - 1))] for q in (0.5, 0.95, 0.99)]
+    assert len(got) == 3
