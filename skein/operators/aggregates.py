@@ -71,15 +71,16 @@ def project_metrics(g: CodeGraph) -> DataFrame:
 
 def percentiles(df: DataFrame, key: str, value: str, partitions: int | None = None) -> DataFrame:
     """n, p50, p95, p99 and max of each key by the sorted position floor(p * (n - 1)), exactly. Positions come from exact offsets (see ``offsets``), so that a key with most rows is spread over many tasks."""
-    rows = df.filter(F.col(value).isNotNull()).select(key, value)
-    runs = sorted_runs(rows, [key], [value], partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    offsets = part_offsets(runs, [key]).select(F.col("part").alias("p"), F.col(key).alias("k"), "offset")
-    counts = runs.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), F.max(value).alias("max"))
-    here = F.row_number().over(Window.partitionBy("part", key).orderBy(value)) - 1  # a part is bounded
-    at = runs.withColumn("here", here).join(F.broadcast(offsets), (F.col("part") == F.col("p")) & F.col(key).eqNullSafe(F.col("k")), "left").select(key, value, (F.col("here") + F.coalesce("offset", F.lit(0))).alias("at"))
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    runs = sorted_runs(rows, ["_key"], ["_value"], partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    offsets = part_offsets(runs, ["_key"]).select(F.col("part").alias("p"), F.col("_key").alias("k"), "offset")
+    counts = runs.groupBy(F.col("_key").alias("k")).agg(F.count("*").alias("n"), F.max("_value").alias("max"))
+    here = F.row_number().over(Window.partitionBy("part", "_key").orderBy("_value")) - 1  # a part is bounded
+    at = runs.withColumn("here", here).join(F.broadcast(offsets), (F.col("part") == F.col("p")) & F.col("_key").eqNullSafe(F.col("k")), "left").select("_key", "_value", (F.col("here") + F.coalesce("offset", F.lit(0))).alias("at"))
     want = counts.select("k", "n", "max", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.lit(p) * (F.col("n") - 1)).alias("want")) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])).alias("w")).select("k", "n", "max", "w.*")
-    hit = at.join(want, F.col(key).eqNullSafe(F.col("k")) & (F.col("at") == F.col("want")))
-    return hit.groupBy(key).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == p, F.col(value))).alias(p) for p in ("p50", "p95", "p99")], F.max("max").alias("max"))
+    hit = at.join(want, F.col("_key").eqNullSafe(F.col("k")) & (F.col("at") == F.col("want")))
+    out = hit.groupBy("_key").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == p, F.col("_value"))).alias(p) for p in ("p50", "p95", "p99")], F.max("max").alias("max"))
+    return out.withColumnRenamed("_key", key)
 
 
 def answer_scores(df: DataFrame) -> DataFrame:
