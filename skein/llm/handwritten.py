@@ -62,7 +62,7 @@ _ORIGIN = [
         r"(?m)^[\s/*#]*!\s*(?P<o>[\w.-]+) v?\d+\.\d+(?:\.\d+)?",
     )
 ]
-_MEMBER = re.compile(r"\b(?:[a-z]\w*?|[A-Z]\w*?)?([A-Z]?[a-z]+)_?(\d+)[ \t]*\(")
+_MEMBER = re.compile(r"\b(?:[A-Za-z]\w{0,60}?)?([A-Z]?[a-z]{1,40})_?(\d{1,6})[ \t]*\(")  # bounded, so that very long words cost no more
 _WORD = re.compile(r"[^\W\d]\w*")
 _FLOW = re.compile(r"\b(?:if|for|foreach|while|return|switch|match|try|catch|throw|raise|yield|await|def|func|fn|function|lambda)\b|=>|^\s*(?:import|from|use|using|require|export\s*[*{])\b", re.M)
 _NUMBER = re.compile(r"[-+]?\b(?:0[xX][\da-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?)\w*")

@@ -34,6 +34,7 @@ AROUND = 20  # lengths on either side that a spike is held against
 DIVERSITY = 0.5  # different last words in a spike, at least, as a share of its texts, ...
 ENOUGH = 12  # ... or this many
 SEEN = 100  # occurrences from which on a word's or pair's shares are believed
+WORD = 64  # letters of the longest word that others may be fragments of
 RARE = 8  # occurrences inside texts below which a word may be a fragment
 ENDS = 0.01  # share of occurrences that end a line or sentence, up to which a word goes on
 LAST = 0.01  # the same for occurrences that end a text openly, where cut texts count too
@@ -160,11 +161,11 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     pair = known.filter("w1 <> ''").select("w1", "w2", "n", (F.col("n") - F.col("last")).alias("beside"), goes_on.alias("on2"))
     # a fragment hardly stands inside a text and begins a word that often does: all beginnings of common words, asked for the rare last words only
     rare = single.filter(f"inside < {RARE}").select("w2")
-    starts = counts.filter(f"w1 = '' and n - last >= {4 * RARE} and length(w2) > 1").select(F.explode(F.expr("transform(sequence(1, length(w2) - 1), i -> substring(w2, 1, i))")).alias("w2"))
+    starts = counts.filter(f"w1 = '' and n - last >= {4 * RARE} and length(w2) BETWEEN 2 AND {WORD}").select(F.explode(F.expr("transform(sequence(1, length(w2) - 1), i -> substring(w2, 1, i))")).alias("w2"))
     fragment = rare.join(starts, "w2", "left_semi").distinct().withColumn("fragment", F.lit(True))
     # the same in company: a word that hardly follows the one before it, but begins one that often does
     begun = F.explode(F.expr("transform(sequence(1, length(w2) - 1), i -> substring(w2, 1, i))"))
-    pair_starts = counts.filter(f"w1 <> '' and n - last >= {4 * RARE} and length(w2) > 1").select("w1", begun.alias("w2"))
+    pair_starts = counts.filter(f"w1 <> '' and n - last >= {4 * RARE} and length(w2) BETWEEN 2 AND {WORD}").select("w1", begun.alias("w2"))
     odd = known.filter(f"w1 <> '' and n - last < {RARE}").select("w1", "w2").join(pair_starts, ["w1", "w2"], "left_semi").withColumn("odd", F.lit(True))
     seen = at.join(single, "w2", "left").join(pair, ["w1", "w2"], "left").join(fragment, "w2", "left").join(odd, ["w1", "w2"], "left")
     on = F.when(F.col("n") >= SEEN, F.col("on2")).otherwise(F.coalesce("on1", F.lit(False)))
