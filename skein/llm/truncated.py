@@ -8,7 +8,9 @@ without terminal punctuation was cut. A limit explains no text that was lost on
 at any length, so *tails* are tested too: a broken last character, an open code block,
 bracket or code span, and last words that the whole corpus never ends with: word
 fragments (unknown words that begin a common one), and words or pairs of words that are
-common but close next to no sentence or line. Both counts are over all documents.
+common but close next to no sentence or line. Both counts are over all documents, each
+different text once; every row is judged. Copies excuse nothing but a line of up to three
+words that is said again and again ("ok"), and only that line itself.
 
 A complete heading, list entry, code block, log line, short line, link or signature is
 closed by words that do end lines elsewhere, so it is no case. Odd input: null, empty and
@@ -37,6 +39,7 @@ SEEN = 100  # occurrences from which on a word's or pair's shares are believed
 WORD = 64  # letters of the longest word that others may be fragments of
 RARE = 8  # occurrences inside texts below which a word may be a fragment
 ENDS = 0.01  # share of occurrences that end a line or sentence, up to which a word goes on
+SHORT = 3  # words of the longest line that copies of itself make a whole one
 LAST = 0.01  # the same for occurrences that end a text openly, where cut texts count too
 
 _MARK = re.compile(r"\s*(?:\.\.\.|…|[\[(<]\s*(?:\.\.\.|…|more|read more|truncated|cut|cut off|snip|snipped|clipped|continued|message (?:clipped|truncated))[^\])>\n]{0,20}[\])>])\s*$", re.I)
@@ -80,14 +83,14 @@ def tail(text: str) -> dict:
     # an ellipsis after a capitalised phrase of up to three words is a manner of speaking
     spoken = "…" in mark[:4] and not mark.strip().endswith(("]", ")", ">")) or mark.strip() == "..."
     spoken = spoken and re.search(r"(?:^|\s)[A-ZÀ-ÖØ-Þ][\w'’]*(?:\s[\w'’]+){0,2}$", shown) is not None
-    return {"mark": mark, "chars": len(body), "bytes": len(body.encode("utf-8", "surrogatepass")), "raw_chars": len(text), "raw_bytes": len(text.encode("utf-8", "surrogatepass")), "state": state, "w1": w1, "w2": w2, "spoken": spoken, "stated": mark.strip()[-1:] in ("]", ")", ">") and bool(mark), "word": re.search(r"[^\W_]\Z", shown) is not None}
+    return {"mark": mark, "chars": len(body), "bytes": len(body.encode("utf-8", "surrogatepass")), "raw_chars": len(text), "raw_bytes": len(text.encode("utf-8", "surrogatepass")), "state": state, "w1": w1, "w2": w2, "spoken": spoken, "stated": mark.strip()[-1:] in ("]", ")", ">") and bool(mark), "word": re.search(r"[^\W_]\Z", shown) is not None, "short": "\n" not in shown and len(units) <= SHORT}
 
 
 def _tails(cols):
-    out: dict[str, list] = {k: [] for k in ("doc_id", "source", "state", "stated", "chars", "bytes", "raw_chars", "raw_bytes", "w1", "w2", "spoken", "word")}
+    out: dict[str, list] = {k: [] for k in ("doc_id", "source", "state", "stated", "chars", "bytes", "raw_chars", "raw_bytes", "w1", "w2", "spoken", "word", "short")}
     for d, s, text in zip(cols["doc_id"], cols["source"], cols["text"]):
         t = tail(text or "")
-        for k, v in (("doc_id", d), ("source", s), ("state", t["state"] if text is not None else "closed"), ("stated", t["stated"]), ("chars", t["chars"]), ("bytes", t["bytes"]), ("raw_chars", t["raw_chars"]), ("raw_bytes", t["raw_bytes"]), ("w1", t["w1"]), ("w2", t["w2"]), ("spoken", t["spoken"]), ("word", t["word"])):
+        for k, v in (("doc_id", d), ("source", s), ("state", t["state"] if text is not None else "closed"), ("stated", t["stated"]), ("chars", t["chars"]), ("bytes", t["bytes"]), ("raw_chars", t["raw_chars"]), ("raw_bytes", t["raw_bytes"]), ("w1", t["w1"]), ("w2", t["w2"]), ("spoken", t["spoken"]), ("word", t["word"]), ("short", t["short"])):
             out[k].append(v)
     return out
 
@@ -119,8 +122,8 @@ def _ngrams(cols):
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
-    """How often each word (w1 empty) and pair of words occurs and how often it closes a line or sentence (ends) or, openly, a text (last), over all documents. Counted inside each batch before anything moves."""
-    parts = map_columns(documents.select("text"), _ngrams, "w1 string, w2 string, n long, ends long, last long")
+    """How often each word (w1 empty) and pair of words occurs and how often it closes a line or sentence (ends) or, openly, a text (last), once for each different text of all documents: copies of a cut text are no proof that its last words close texts, and copies of a whole one none that its words go on. Copies are dropped where they lie before texts move, words are counted inside each batch."""
+    parts = map_columns(documents.select("text").distinct(), _ngrams, "w1 string, w2 string, n long, ends long, last long")
     return parts.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("last").alias("last"))
 
 
@@ -140,7 +143,7 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     """doc_id, source, cut, why (tail, limit, mark, word or null) of each document."""
     read = documents.select("doc_id", "source", "text")
     prints = read.withColumn("print", F.xxhash64("text"))
-    tails = map_columns(prints.select("doc_id", "source", "text", "print"), lambda c: _tails(c) | {"print": c["print"]}, "doc_id long, source string, state string, stated boolean, chars int, bytes int, raw_chars int, raw_bytes int, w1 string, w2 string, spoken boolean, word boolean, print long")
+    tails = map_columns(prints.select("doc_id", "source", "text", "print"), lambda c: _tails(c) | {"print": c["print"]}, "doc_id long, source string, state string, stated boolean, chars int, bytes int, raw_chars int, raw_bytes int, w1 string, w2 string, spoken boolean, word boolean, short boolean, print long")
     tails = cut_lineage(tails)
     limits = length_spikes(tails)
     open_ = tails.filter("state <> 'closed'")
@@ -157,7 +160,7 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     known = cut_lineage(counts.join(keys, ["w1", "w2"], "left_semi"))
     # what closes other texts just as openly, again and again, is no accident
     goes_on = (F.col("n") >= SEEN) & (F.col("ends") <= ENDS * F.col("n")) & (F.col("last") <= LAST * F.col("n"))
-    single = known.filter("w1 = ''").select("w2", goes_on.alias("on1"), (F.col("n") - F.col("last")).alias("inside"))
+    single = known.filter("w1 = ''").select("w2", goes_on.alias("on1"), F.col("n").alias("n1"), (F.col("n") - F.col("last")).alias("inside"))
     pair = known.filter("w1 <> ''").select("w1", "w2", "n", (F.col("n") - F.col("last")).alias("beside"), goes_on.alias("on2"))
     # a fragment hardly stands inside a text and begins a word that often does: all beginnings of common words, asked for the rare last words only
     rare = single.filter(f"inside < {RARE}").select("w2")
@@ -167,10 +170,13 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     begun = F.explode(F.expr("transform(sequence(1, length(w2) - 1), i -> substring(w2, 1, i))"))
     pair_starts = counts.filter(f"w1 <> '' and n - last >= {4 * RARE} and length(w2) BETWEEN 2 AND {WORD}").select("w1", begun.alias("w2"))
     odd = known.filter(f"w1 <> '' and n - last < {RARE}").select("w1", "w2").join(pair_starts, ["w1", "w2"], "left_semi").withColumn("odd", F.lit(True))
-    seen = at.join(single, "w2", "left").join(pair, ["w1", "w2"], "left").join(fragment, "w2", "left").join(odd, ["w1", "w2"], "left")
+    # a short line is whole where its copies alone close more than the share that cut texts may
+    stock = open_.filter("short").groupBy("print").agg(F.count("*").alias("copies")).filter("copies > 1")
+    seen = at.join(stock, "print", "left").join(single, "w2", "left").join(pair, ["w1", "w2"], "left").join(fragment, "w2", "left").join(odd, ["w1", "w2"], "left")
     on = F.when(F.col("n") >= SEEN, F.col("on2")).otherwise(F.coalesce("on1", F.lit(False)))
     letter = (F.length("w2") == 1) & F.col("w2").rlike(r"\p{L}") & ~F.col("w2").isin("a", "i", "y", "o", "e", "u", "à") & (F.coalesce("beside", F.lit(0)) < RARE)
-    by_word = F.col("word") & ~F.col("spoken") & (F.col("fragment").isNotNull() | F.col("odd").isNotNull() | letter | on)
+    whole = F.coalesce(F.col("copies") > LAST * F.col("n1"), F.lit(False))
+    by_word = F.col("word") & ~F.col("spoken") & (F.col("fragment").isNotNull() | F.col("odd").isNotNull() | letter | (on & ~whole))
     why = F.when(F.col("state") == "cut", "tail").when(F.col("at_limit"), "limit").when(F.col("stated"), "mark").when(by_word, "word")
     judged = seen.select("doc_id", "source", why.alias("why"))
     closed = tails.filter("state = 'closed'").select("doc_id", "source", F.lit(None).cast("string").alias("why"))

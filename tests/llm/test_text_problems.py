@@ -335,6 +335,19 @@ def test_cut_texts_are_found(spark):
     assert truncated.find_truncated(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_cut_text_do_not_acquit_it(spark):
+    rows, _ = corpus()
+    copy, other = "Every carrier that drains the ledger before the", "Nobody reads the parcel before the"
+    rows += [(7000 + i, copy, "mail", 0) for i in range(500)] + [(8000, other, "mail", 0)]
+    rows += [(10000 + i, f"The crew now drains ledger {i}.", "mail", 0) for i in range(150)]
+    rows += [(20000 + i, "merging now", "mail", 0) for i in range(500)]  # a short line said again and again is whole
+    got = truncated.find_truncated(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows)
+    found = {r.doc_id for r in got if r.cut}
+    assert {7000 + i for i in range(500)} | {8000} <= found
+    assert not {i for i in found if i >= 10000}
+
+
 def _tails(spark, df):
     from pyspark.sql import functions as F
 
