@@ -19,6 +19,8 @@ from skein.plans.session import cut_lineage
 
 TRACE_KINDS = ("calls", "type_ref", "instantiates")
 ENTRY_KINDS = ("class", "struct", "method", "function")
+CONTAINERS = ("class", "struct", "interface", "namespace")
+MEMBERS = ("method", "function", "constructor", "property")
 
 
 def reach(steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -125,6 +127,8 @@ def _dfs(depth: int):
                 if node in seen:
                     continue
                 seen.add(node)
+                if kind == "silent":
+                    continue
                 for k, v in zip(out, (root, n, node, parent, d, kind)):
                     out[k].append(v)
                 n += 1
@@ -135,26 +139,83 @@ def _dfs(depth: int):
     return walk
 
 
-def trace_trees(g: CodeGraph, roots: DataFrame, depth: int, fan: int = 20) -> DataFrame:
-    """Depth-first traces from the roots (id): root_id, ordinal, node_id, parent_id, depth, kind. A node follows at most ``fan`` edges, in the order of their lines, and stands once in a tree.
+def trace_steps(g: CodeGraph, fan: int = 20, members: int = 30, same: int = 5) -> DataFrame:
+    """at, to, kind, rank: where a trace goes from a symbol, in order of rank.
 
-    What a root can reach is found by joins, level by level, and is small by its bounds
-    (``fan`` to the power ``depth``); only the order of the visit is made in Python."""
-    steps = g.edges.filter(F.col("kind").isin(*TRACE_KINDS)).groupBy("source_id", "target_id").agg(F.min(F.struct(F.coalesce("source_line", F.lit(-1)).alias("line"), "kind")).alias("m"))
+    First from a type or namespace into at most ``members`` members by their scope (one
+    without a way on is only marked as visited: kind ``silent``), then over at most ``fan``
+    edges by their lines, then over flow edges of either direction, whose ends are met by
+    qualified or simple name, each name standing for at most ``same`` symbols. Members and
+    namesakes are cut to these numbers before they are joined."""
+    own = g.edges.filter(F.col("kind").isin(*TRACE_KINDS)).groupBy("source_id", "target_id").agg(F.min(F.struct(F.coalesce("source_line", F.lit(-1)).alias("line"), "kind")).alias("m"))
     w = Window.partitionBy("source_id").orderBy("m.line", "target_id")
-    steps = cut_lineage(steps.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= fan).select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), F.col("m.kind").alias("kind"), "rank"))
+    calls = own.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= fan).select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), F.col("m.kind").alias("kind"), F.lit(1).alias("phase"), "rank")
+    s = g.symbols.select("id", "name", "qualified_name")
+    flows = g.flow_edges.filter("target_symbol is not null").groupBy("source_symbol", "target_symbol", "edge_type").agg(F.min(F.coalesce("source_line", F.lit(-1))).alias("line"))
+    way = lambda a, b, back: flows.select(F.col(a).alias("near"), F.col(b).alias("far"), "edge_type", F.lit(back).alias("back"), "line")
+    jumps = way("source_symbol", "target_symbol", 0).unionByName(way("target_symbol", "source_symbol", 1))
+    called = s.select("id", F.col("qualified_name").alias("known"), F.lit(0).alias("simple")).unionByName(s.filter("name <> qualified_name").select("id", F.col("name").alias("known"), F.lit(1).alias("simple")))
+    v = Window.partitionBy("known").orderBy("simple", "id")
+    far = called.join(jumps.select(F.col("far").alias("known")).distinct(), "known", "left_semi").withColumn("k", F.row_number().over(v)).filter(F.col("k") <= same).select(F.col("known").alias("far"), F.col("id").alias("to"), "k")
+    near = called.withColumnRenamed("known", "near").withColumnRenamed("id", "at")
+    order = F.struct("simple", "back", "line", "far", "edge_type", "k")
+    flow = cut_lineage(near.join(jumps, "near").join(far, "far").groupBy("at", "to").agg(F.min(order).alias("o")))
+    flow = flow.select("at", "to", F.col("o.edge_type").alias("kind"), F.lit(2).alias("phase"), F.row_number().over(Window.partitionBy("at").orderBy("o", "to")).alias("rank"))
+    u = Window.partitionBy("scope_path").orderBy(F.col("line").asc_nulls_first(), "id")
+    inner = g.symbols.filter(F.col("kind").isin(*MEMBERS) & F.col("scope_path").isNotNull()).select("scope_path", "line", "id").withColumn("rank", F.row_number().over(u)).filter(F.col("rank") <= members)
+    goes_on = own.select(F.col("source_id").alias("id")).unionByName(flow.select(F.col("at").alias("id"))).distinct().withColumn("on", F.lit(True))
+    inner = inner.join(goes_on, "id", "left").select("scope_path", F.col("id").alias("to"), F.when(F.col("on"), "member").otherwise("silent").alias("kind"), F.lit(0).alias("phase"), "rank")
+    outer = g.symbols.filter(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("at"), F.col("qualified_name").alias("scope_path"))
+    into = outer.join(inner, "scope_path").select("at", "to", "kind", "phase", "rank")
+    return into.unionByName(calls).unionByName(flow).withColumn("rank", F.struct("phase", "rank")).drop("phase")
+
+
+def trace_trees(g: CodeGraph, roots: DataFrame, depth: int, fan: int = 20) -> DataFrame:
+    """Depth-first traces from the roots (id): root_id, ordinal, node_id, parent_id, depth, kind. A node goes on as in ``trace_steps`` and stands once in a tree.
+
+    What a root can reach is found by joins, level by level, each symbol of a tree being
+    opened once; only the order of the visit is made in Python."""
+    steps = cut_lineage(trace_steps(g, fan))
     frontier = roots.select(F.col("id").alias("root_id"), F.col("id").alias("at")).distinct()
-    parts = []
+    opened, parts = frontier, []
     for _ in range(depth):
         level = cut_lineage(frontier.join(steps, "at").select("root_id", "at", "to", "kind", "rank"))
         parts.append(level)
-        frontier = level.select("root_id", F.col("to").alias("at")).distinct()
-    seen = reduce(DataFrame.unionByName, parts).distinct()
-    trees = seen.groupBy("root_id").agg(F.collect_list(F.struct("at", "to", "kind", "rank")).alias("steps"))
+        frontier = cut_lineage(level.filter("kind <> 'silent'").select("root_id", F.col("to").alias("at")).distinct().join(opened, ["root_id", "at"], "left_anti"))
+        opened = opened.unionByName(frontier)
+    seen = reduce(DataFrame.unionByName, parts)
+    trees = seen.groupBy("root_id").agg(F.collect_list(F.struct("at", "to", "kind", (F.col("rank.phase").cast("long") * 2**32 + F.col("rank.rank")).alias("rank"))).alias("steps"))
     every = roots.select(F.col("id").alias("root_id")).distinct().join(trees, "root_id", "left")
     return map_columns(every, _dfs(depth), _TRACE)
 
 
+def entry_traces(g: CodeGraph, most: int, depth: int) -> DataFrame:
+    """Traces from at most ``most`` entry points, as from ``trace_trees``.
+
+    Roots are, in order, the first 4 * ``most`` symbols that go on (those that nothing calls
+    first, then those with most edges) and the first 2 * ``most`` targets of flow edges. One
+    that stands in the trace of an earlier root or has a trace of one node is passed over."""
+    e = g.edges.filter(F.col("kind").isin(*TRACE_KINDS))
+    out = e.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("outgoing"))
+    called = e.filter("kind = 'calls'").select(F.col("target_id").alias("id")).distinct().withColumn("called", F.lit(1))
+    first = g.symbols.filter(F.col("kind").isin(*ENTRY_KINDS)).select("id").join(out, "id").join(called, "id", "left").orderBy(F.coalesce("called", F.lit(0)), F.desc("outgoing"), "id").limit(4 * most)
+    then = g.flow_edges.filter("target_symbol is not null").select(F.col("target_id").alias("id")).distinct().orderBy("id").limit(2 * most)
+    order = list(dict.fromkeys(r.id for part in (first, then) for r in part.select("id").collect()))
+    roots = g.spark.createDataFrame([(i,) for i in order], "id long")
+    trees = cut_lineage(trace_trees(g, roots, depth))
+    # at most 6 * most roots, and of their trees only where they meet other roots
+    met: dict[int, set] = {}
+    for r in trees.join(F.broadcast(roots.withColumnRenamed("id", "node_id")), "node_id", "left_semi").select("root_id", "node_id").collect():
+        met.setdefault(r.root_id, set()).add(r.node_id)
+    long = {r.root_id for r in trees.filter("ordinal = 1").select("root_id").collect()}
+    taken, visited = [], set()
+    for i in order:
+        if len(taken) < most and i in long and i not in visited:
+            taken.append(i)
+            visited |= met[i]
+    return trees.filter(F.col("root_id").isin(taken))
+
+
 def entry_roots(g: CodeGraph, limit: int) -> DataFrame:
     """Symbols that call and are least called, then those that call most (a top-k report): id."""
     d = degrees(g)

@@ -285,7 +285,7 @@ def gra_full_trace(g):
 
 @query()
 def gra_entry_traces(g):
-    return graph.trace_trees(g, graph.entry_roots(g, 40), 3)
+    return graph.entry_traces(g, 40, 3)
 
 
 @query(f"""{with_views('e')}, o AS (SELECT source_id AS id, count(*) AS outgoing FROM e GROUP BY 1), i AS (SELECT target_id AS id, count(*) AS incoming FROM e GROUP BY 1)

@@ -54,6 +54,17 @@ def test_traces_visit_each_symbol_once_in_order(spark, tmp_path):
     assert graph.trace_trees(g, spark.createDataFrame([(99,)], "id long"), 2).collect()[0].node_id == 99
 
 
+def test_traces_go_into_members_and_over_flows(spark, tmp_path):
+    files = [(1, "p", "p/a.ts", "h", "typescript", 0), (2, "p", "p/b.cs", "h", "csharp", 0)]
+    symbols = [sym(1, 1, "K", "N.K", "class"), sym(2, 1, "send", "N.K.send", line=2, scope="N.K"), sym(3, 1, "idle", "N.K.idle", line=3, scope="N.K"), sym(4, 2, "Get", "S.Get"), sym(5, 2, "Db", "S.Db")]
+    g = tables(spark, tmp_path, files=files, symbols=symbols, edges=[(2, 4, "http_call", 2, 0.9), (4, 5, "calls", 1, 1.0), (1, 3, "type_ref", 9, 1.0)])
+    walk = lambda i: [(r.node_id, r.kind, r.depth) for r in sorted(graph.trace_trees(g, spark.createDataFrame([(i,)], "id long"), 4).collect(), key=lambda r: r.ordinal)]
+    assert walk(1) == [(1, "root", 0), (2, "member", 1), (4, "http_call", 2), (5, "calls", 3)]  # idle is visited, but silent
+    assert walk(4) == [(4, "root", 0), (5, "calls", 1), (2, "http_call", 1)]
+    assert {r.root_id for r in graph.entry_traces(g, 5, 4).collect()} == {1}  # 4 stands in the trace of 1
+    assert {r.root_id for r in graph.entry_traces(g, 5, 1).collect()} == {1, 4}
+
+
 def test_flows_cross_files(spark, tmp_path):
     g = chain(spark, tmp_path)
     got = {(r.depth, r.path) for r in graph.trace_flow(g, 2, 2).collect()}
