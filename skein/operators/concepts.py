@@ -54,7 +54,7 @@ def smart_context(g: CodeGraph, task: str, budget: int = 4000, depth: int = 1, s
     """qualified_name, kind, hop, score, tokens, total: symbols that help with a task, best first, within a budget.
 
     Seeds are found by words, neighbours within ``depth`` edges in both directions
-    (``fan`` each), and both are ranked by meaning, nearness, use and concept."""
+    (``fan`` a symbol in each), and both are ranked by meaning, nearness, use and concept."""
     terms = [t for t in task.lower().split() if len(t) > 2]
     docs = g.symbols.select("id", words("name", "qualified_name", "signature", "doc_comment").alias("words"))
     hits = None
@@ -65,12 +65,12 @@ def smart_context(g: CodeGraph, task: str, budget: int = 4000, depth: int = 1, s
     top = cut_lineage(top)
     most = max(top.agg(F.max("meaning")).first()[0] or 0.0, 1.0)
     pairs = g.edges.select("source_id", "target_id").distinct()
-    both = pairs.select(F.col("source_id").alias("at"), F.col("target_id").alias("to")).unionByName(pairs.select(F.col("target_id").alias("at"), F.col("source_id").alias("to")))
+    both = pairs.select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), F.lit("out").alias("way")).unionByName(pairs.select(F.col("target_id").alias("at"), F.col("source_id").alias("to"), F.lit("in").alias("way")))
     seen = top.select("id", F.lit(0).alias("hop"))
     frontier = top.select(F.col("id").alias("at"))
     for h in range(1, depth + 1):
         step = both.join(frontier, "at")
-        w = Window.partitionBy("at").orderBy("to")
+        w = Window.partitionBy("at", "way").orderBy("to")
         new = step.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= fan).select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti")
         new = cut_lineage(new)
         seen = seen.unionByName(new.select("id", F.lit(h).alias("hop")))

@@ -65,6 +65,13 @@ def test_traces_go_into_members_and_over_flows(spark, tmp_path):
     assert {r.root_id for r in graph.entry_traces(g, 5, 1).collect()} == {1, 4}
 
 
+def test_context_caps_each_direction(spark, tmp_path):
+    symbols = [sym(100, 1, "drain", "N.drain")] + [sym(i, 1, f"m{i}", f"N.m{i}") for i in range(1, 26)] + [sym(200, 1, "late", "N.late")]
+    g = tables(spark, tmp_path, files=[(1, "p", "p/a.cs", "h", "csharp", 0)], symbols=symbols, edges=[(i, 100, "calls", i, 1.0) for i in range(1, 26)] + [(100, 200, "calls", 1, 1.0)])
+    got = {r.qualified_name for r in concepts.smart_context(g, "drain", budget=100000).collect()}
+    assert "N.late" in got and len(got) == 22  # the seed, 20 that come in, 1 that goes out
+
+
 def test_flows_cross_files(spark, tmp_path):
     g = chain(spark, tmp_path)
     got = {(r.depth, r.path) for r in graph.trace_flow(g, 2, 2).collect()}
