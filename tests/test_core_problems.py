@@ -1,6 +1,9 @@
 """Problems 1, 6 and 7: against plain Python on random small tables, with nulls, ties and repeated rows."""
 
+import json
 import random
+import shutil
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -35,7 +38,7 @@ def expected_plan(files, versions, runs):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_plan_matches_a_plain_replay(spark, seed):
+def test_plan_matches_a_plain_replay(spark, tmp_path, seed):
     rnd = random.Random(seed)
     files = [(i, f"p{i % 3}", "x") for i in range(12)]
     day = lambda: T0 + timedelta(hours=rnd.randrange(200))
@@ -52,56 +55,112 @@ def test_plan_matches_a_plain_replay(spark, seed):
     kept = {x.file_id: x.hash for x in state_after(f, v, r).collect()}
     with_state = spark.createDataFrame([(i, p, kept.get(i)) for i, p, _ in files], "id long, project string, hash string")
     assert {(x.run_id, x.file_id) for x in plan_next(with_state, v, r).collect()} == {x for x in got if 100 <= x[0] < 103}
-    states = {x.state for x in replay(spark, f, v, r).collect()}
-    assert states <= {"done", "pending"}
+    items = replay(spark, str(tmp_path / "ledger"), f, v, r).items().collect()
+    assert {(x.run_id, x.file_id) for x in items} == set(got)
+    tries = expected_tries(versions, runs, got)
+    status = {x[0]: x[4] for x in runs}
+    for x in items:
+        ok = status[x.run_id] == "succeeded"
+        assert (x.state, x.token) == ("done" if ok else "pending", tries[x.run_id, x.file_id] + ok), x
+        assert x.worker == (f"run-{x.run_id}" if ok else None)
+
+
+def expected_tries(versions, runs, items):
+    """Failed runs between the last success and a run that knew of an item of it."""
+    project, out = {r[0]: r[1] for r in runs}, {}
+    counted = sorted((r for r in runs if r[1] and r[2]), key=lambda r: (r[2], r[0]))
+    for run, f in items:
+        mine = [r for r in counted if r[1] == project[run]]
+        k = [r[0] for r in mine].index(run)
+        last = max((j for j in range(k) if mine[j][4] == "succeeded"), default=-1)
+        after = mine[last][2] if last >= 0 else datetime.min
+        since = min(v[5] for v in versions if v[1] == f and v[4] and v[5] and after < v[5] <= mine[k][2])
+        out[run, f] = sum(r[4] in ("failed", "aborted") and r[2] >= since for r in mine[last + 1 : k])
+    return out
 
 
-def test_empty_tables_plan_nothing(spark):
+def test_empty_tables_plan_nothing(spark, tmp_path):
     f, v, r = spark.createDataFrame([], FILES), spark.createDataFrame([], VERSIONS), spark.createDataFrame([], RUNS)
     assert plan_runs(f, v, r).count() == 0 and plan_next(f.withColumn("hash", f["note"]), v, r).count() == 0 and state_after(f, v, r).count() == 0
+    assert replay(spark, str(tmp_path / "ledger"), f, v, r).items().count() == 0
+
+
+PLAN = "run_id long, file_id long, action string, hash string, hash_before string"
+TOKENS = "run_id long, file_id long, token long"
 
 
 def test_ledger_survives_lost_workers_and_stale_writers(spark, tmp_path):
-    plan = spark.createDataFrame([(1, i, "added", f"h{i}", None) for i in range(8)], "run_id long, file_id long, action string, hash string, hash_before string")
-    led = WorkLedger(spark, str(tmp_path / "ledger"))
-    assert led.add(plan).count() == 8 and led.add(plan).count() == 8  # planning twice changes nothing
-    first = led.lease("w1", 1, 0, T0, 60).collect()
+    plan = spark.createDataFrame([(1, i, "added", f"h{i}", None) for i in range(8)], PLAN)
+    led = WorkLedger(spark, str(tmp_path / "ledger"), buckets=1)
+    assert led.add(plan).count() == 8 and led.add(plan).count() == 0  # planning twice changes nothing
+    first = led.lease("w1", 0, T0, 60).collect()
     assert len(first) == 8 and {x.token for x in first} == {1}
-    assert led.lease("w2", 1, 0, T0 + timedelta(seconds=30), 60).count() == 0  # still leased
+    assert led.lease("w2", 0, T0 + timedelta(seconds=30), 60).count() == 0  # still leased
     assert {x.state for x in led.expire(T0 + timedelta(seconds=61)).collect()} == {"pending"}
-    second = led.lease("w2", 1, 0, T0 + timedelta(seconds=62), 60).collect()
+    second = led.lease("w2", 0, T0 + timedelta(seconds=62), 60).collect()
     assert {x.token for x in second} == {2} and {x.path for x in second} == {x.path for x in first}
-    done = spark.createDataFrame([(1, i, 1 if i < 4 else 2) for i in range(8)], "run_id long, file_id long, token long")
-    now, refused = led.complete(done)
+    _, refused = led.complete(spark.createDataFrame([(1, i, 1 if i < 4 else 2) for i in range(8)], TOKENS))
     assert sorted(x.file_id for x in refused.collect()) == [0, 1, 2, 3]  # the late first worker
-    assert now.filter("state = 'done'").count() == 4
-    now, refused = led.complete(spark.createDataFrame([(1, i, 2) for i in range(4)], "run_id long, file_id long, token long"))
-    assert refused.count() == 0 and now.filter("state = 'done'").count() == 8
-    assert led.lease("w3", 1, 0, T0 + timedelta(days=9), 60).count() == 0  # nothing is done twice
+    assert led.items().filter("state = 'done'").count() == 4
+    now, refused = led.complete(spark.createDataFrame([(1, i, 2) for i in range(4)], TOKENS))
+    assert now.count() == 4 and refused.count() == 0 and led.items().filter("state = 'done'").count() == 8
+    assert led.lease("w3", 0, T0 + timedelta(days=9), 60).count() == 0  # nothing is done twice
 
 
 def test_a_lost_worker_costs_no_item_and_repeats_none(spark, tmp_path):
-    plan = spark.createDataFrame([(1, i, "added", f"h{i}", None) for i in range(40)], "run_id long, file_id long, action string, hash string, hash_before string")
-    rows = drive(WorkLedger(spark, str(tmp_path / "l")), plan, T0, buckets=3).collect()
+    plan = spark.createDataFrame([(1, i, "added", f"h{i}", None) for i in range(40)], PLAN)
+    rows = drive(WorkLedger(spark, str(tmp_path / "l"), buckets=3), plan, T0).collect()
     assert len(rows) == 40 and {r.state for r in rows} == {"done"}
     assert {(r.worker == "worker-1", r.token) for r in rows} == {(True, 2), (False, 1)}
 
 
-def test_two_writers_from_one_generation(spark, tmp_path):
-    plan = spark.createDataFrame([(1, 1, "added", "h", None)], "run_id long, file_id long, action string, hash string, hash_before string")
-    a, b = WorkLedger(spark, str(tmp_path / "l")), WorkLedger(spark, str(tmp_path / "l"))
+def test_two_writers_from_one_head(spark, tmp_path):
+    """The second of two writers that read the same head starts again from what the first left."""
+    plan = spark.createDataFrame([(1, 1, "added", "h", None)], PLAN)
+    a, b = (WorkLedger(spark, str(tmp_path / "l"), buckets=1) for _ in range(2))
     a.add(plan)
     real, beaten = a.head, []
 
-    def behind():
-        n = real()
+    def behind(bucket):
+        n = real(bucket)
         if not beaten:
             beaten.append(n)
-            b.expire(T0)  # the other writer commits first
+            assert b.lease("first", 0, T0, 60).count() == 1  # the other writer wins
         return n
 
     a.head = behind
-    assert a.lease("w", 1, 0, T0, 60).count() == 1 and real() == 3
+    assert a.lease("second", 0, T0, 60).count() == 0
+    assert [(x.worker, x.token) for x in b.items().collect()] == [("first", 1)]
+
+
+def test_heads_are_created_once_whoever_tries(spark, tmp_path):
+    led = WorkLedger(spark, str(tmp_path / "l"), buckets=1)
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: led._create("heads/0/000000000001", json.dumps([str(k)])), range(32)))
+    assert sum(won) == 1 and led.head(0)[1] == [str(won.index(True))]
+
+
+def test_a_lease_reads_and_writes_its_bucket_only(spark, tmp_path):
+    plan = spark.createDataFrame([(1, i, "added", f"h{i}", None) for i in range(40)], PLAN)
+    led = WorkLedger(spark, str(tmp_path / "l"), buckets=4)
+    led.add(plan)
+    before = [led.head(b) for b in range(4)]
+    shutil.rmtree(next((tmp_path / "l" / "data").glob("*")) / "bucket=3")  # what lies elsewhere is not even read
+    led.lease("w", 1, T0, 60)
+    after = [led.head(b) for b in range(4)]
+    assert [x == y for x, y in zip(before, after)] == [True, False, True, True]
+
+
+def test_folded_events_give_the_same_items(spark, tmp_path):
+    plan = spark.createDataFrame([(1, i, "added", f"h{i}", None) for i in range(5)], PLAN)
+    led = WorkLedger(spark, str(tmp_path / "l"), buckets=1, folders=3)
+    led.add(plan)
+    at = T0
+    for k in range(5):
+        at += timedelta(seconds=100)
+        assert {r.token for r in led.lease(f"w{k}", 0, at, 60).collect()} == {k + 1}
+    assert len(led.head(0)[1]) <= 3 and {r.worker for r in led.items().collect()} == {"w4"}
+    assert len(list((tmp_path / "l" / "data").glob("*/bucket=0"))) < 6
 
 
 @pytest.mark.parametrize("chunk", [1, 3, 1000])
