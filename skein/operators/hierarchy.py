@@ -1,12 +1,15 @@
 """Problem 7: parent-child links to full hierarchies.
 
 Every partition of links builds a weighted disjoint-set forest: each node knows the root
-of its local tree, the offset to it and the way there; a link that would close a circle
-stays open. The local roots of one partition are inner nodes of others, so forests are
-then merged hierarchically: where the root of a tree has a tree of its own, offsets add
-up and ways join, and each merge doubles the reach. While some open way still ends at a
-root, the number of open ways falls with each merge; when it no longer falls, the rest
-never reaches a root. The links are never gathered: not on the driver, not in one task.
+of its local tree and the offset to it; a link that would close a circle stays open. The
+local roots of one partition are inner nodes of others, so forests are then merged
+hierarchically: where the root of a tree has a tree of its own, offsets add up, and each
+merge doubles the reach. A row of a merge is three numbers, whatever the depth. While
+some open node still ends at a root, the number of open nodes falls with each merge; when
+it no longer falls, the rest never reaches a root. Only then, and only for nodes that
+have a root, are paths materialised: a node's way is looked up by its topmost ancestor
+and doubles until it is as long as the offset says. The links are never gathered: not on
+the driver, not in one task.
 
 Results for odd input: rows with a null end are no links; repeated rows are one link; of
 several distinct parents the smallest counts (``parents`` tells how many there were); a
@@ -24,6 +27,7 @@ from skein.operators.offsets import partitions_for
 from skein.plans.session import cut_lineage
 
 LINKS_A_FOREST = 200_000  # links whose forest one task holds in memory
+_JUMPS = "node long, anc long, off long"
 
 
 def links_of(edges: DataFrame, kind: str = "inherits") -> DataFrame:
@@ -39,11 +43,10 @@ class Forest:
     def __init__(self):
         self.up: dict[int, int] = {}
         self.off: dict[int, int] = {}
-        self.parent: dict[int, int] = {}
         self.open: dict[int, int] = {}
 
     def find(self, x: int) -> tuple[int, int]:
-        """Root of the tree and offset to it; halves no path but flattens it."""
+        """Root of the tree and offset to it; flattens the way."""
         way = []
         while x in self.up:
             way.append(x)
@@ -55,7 +58,6 @@ class Forest:
         return x, total
 
     def link(self, child: int, parent: int) -> None:
-        self.parent[child] = parent
         root, _ = self.find(parent)
         if root == child:
             self.open[child] = parent
@@ -63,24 +65,15 @@ class Forest:
             self.up[child], self.off[child] = parent, 1
 
     def rows(self):
-        """(node, ancestor, offset, way from the node up to below the ancestor); an open link is a way of one step."""
-        for node, parent in self.parent.items():
-            if node in self.open:
-                yield node, parent, 1, [node]
-                continue
-            root, n = self.find(node)
-            way, x = [], node
-            while x != root:
-                way.append(x)
-                x = self.parent[x]
-            yield node, root, n, way
-
-
-_WAYS = "node long, anc long, off long, way array<long>"
+        """(node, ancestor, offset); an open link is one step."""
+        for node in self.up:
+            yield node, *self.find(node)
+        for node, parent in self.open.items():
+            yield node, parent, 1
 
 
 def local_forests(links: DataFrame, partitions: int) -> DataFrame:
-    """node, anc, off, way: the links of each range of nodes, contracted. Ranges keep nodes that were numbered together, as related ones mostly are."""
+    """node, anc, off: the links of each range of nodes, contracted. Ranges keep nodes that were numbered together, as related ones mostly are."""
 
     def run(batches):
         forest = Forest()
@@ -90,35 +83,39 @@ def local_forests(links: DataFrame, partitions: int) -> DataFrame:
         rows = []
         for row in forest.rows():
             rows.append(row)
-            if len(rows) == 20_000:
+            if len(rows) == 50_000:
                 yield _batch(rows)
                 rows = []
         if rows:
             yield _batch(rows)
 
-    return links.select("node", "parent").repartitionByRange(partitions, "node").mapInArrow(run, _WAYS)
+    return links.select("node", "parent").repartitionByRange(partitions, "node").mapInArrow(run, _JUMPS)
 
 
 def _batch(rows):
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=["node", "anc", "off", "way"])
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows)], names=["node", "anc", "off"])
 
 
-def merge_forests(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ways that end at a root, open ways that never will)."""
-    ways = cut_lineage(ways)
-    left = None
+def merge_forests(jumps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, anc, off of nodes whose ancestor is a root; the nodes that never reach one)."""
+    jumps = cut_lineage(jumps.withColumn("go", F.lit(True)))
+    closed, left = [], None
     while True:
-        up = ways.select(F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("off").alias("o2"), F.col("way").alias("w2"))
-        met = ways.join(up, F.col("anc") == F.col("n2"), "left")
-        go = F.col("n2").isNotNull()
-        # the open ways that have not fallen in number are circles: they would only grow
-        ways2 = cut_lineage(met.select("node", F.coalesce("a2", "anc").alias("anc"), (F.col("off") + F.coalesce("o2", F.lit(0))).alias("off"), F.when(go, F.concat("way", "w2")).otherwise(F.col("way")).alias("way"), go.alias("go")))
-        still = ways2.filter("go").count()
+        up = jumps.select(F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("off").alias("o2"))
+        for done in closed:
+            up = up.unionByName(done.select(F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("off").alias("o2")))
+        met = jumps.join(up, F.col("anc") == F.col("n2"), "left")
+        met = cut_lineage(met.select("node", F.coalesce("a2", "anc").alias("anc"), (F.col("off") + F.coalesce("o2", F.lit(0))).alias("off"), F.col("n2").isNotNull().alias("go")))
+        closed.append(met.filter("not go"))
+        jumps = met.filter("go")
+        still = jumps.count()
+        # open nodes that have not fallen in number lie on circles or below them
         if not still or still == left:
-            closed = ways2.filter("not go").drop("go")
-            return closed, ways2.filter("go").select("node")
-        ways, left = ways2.drop("go"), still
+            every = closed[0]
+            for done in closed[1:]:
+                every = every.unionByName(done)
+            return every.drop("go"), jumps.select("node")
+        left = still
 
 
 def split_circles(lost: DataFrame, links: DataFrame) -> DataFrame:
@@ -137,21 +134,57 @@ def split_circles(lost: DataFrame, links: DataFrame) -> DataFrame:
     return lost.join(on, "node", "left").select("node", F.when(F.col("on"), "on_cycle").otherwise("below_cycle").alias("place"))
 
 
-def hierarchy(edges: DataFrame, kind: str = "inherits") -> DataFrame:
-    """One row for each node: symbol_id, place (root, inner, on_cycle, below_cycle), root, depth, path (ids from the root to the node), parents. Root, depth and path are null for nodes that reach no root."""
-    links = cut_lineage(links_of(edges, kind))
-    spread = partitions_for(links.count(), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), LINKS_A_FOREST)
-    closed, lost = merge_forests(local_forests(links, spread))
-    lost = cut_lineage(lost)
-    inner = closed.select(F.col("node").alias("symbol_id"), F.lit("inner").alias("place"), F.col("anc").alias("root"), F.col("off").alias("depth"), F.concat(F.array("anc"), F.reverse("way")).alias("path"))
+def levels(edges: DataFrame, kind: str = "inherits", forest: int = LINKS_A_FOREST) -> DataFrame:
+    """One row for each node: symbol_id, place (root, inner, on_cycle, below_cycle), root, depth, parents. Root and depth are null for nodes that reach no root."""
+    return _levels(cut_lineage(links_of(edges, kind)), forest)
+
+
+def _levels(links: DataFrame, forest: int) -> DataFrame:
+    closed, lost = merge_forests(local_forests(links, partitions_for(links.count(), 1, forest)))
+    inner = closed.select(F.col("node").alias("symbol_id"), F.lit("inner").alias("place"), F.col("anc").alias("root"), F.col("off").alias("depth"))
     roots = links.select(F.col("parent").alias("symbol_id")).distinct().join(links.select(F.col("node").alias("symbol_id")), "symbol_id", "left_anti")
-    roots = roots.select("symbol_id", F.lit("root").alias("place"), F.col("symbol_id").alias("root"), F.lit(0).cast("long").alias("depth"), F.array("symbol_id").alias("path"))
-    none = F.lit(None)
-    circles = split_circles(lost, links).select(F.col("node").alias("symbol_id"), "place", none.cast("long").alias("root"), none.cast("long").alias("depth"), none.cast("array<long>").alias("path"))
+    roots = roots.select("symbol_id", F.lit("root").alias("place"), F.col("symbol_id").alias("root"), F.lit(0).cast("long").alias("depth"))
+    none = F.lit(None).cast("long")
+    circles = split_circles(lost, links).select(F.col("node").alias("symbol_id"), "place", none.alias("root"), none.alias("depth"))
     every = inner.unionByName(roots).unionByName(circles)
     return every.join(links.select(F.col("node").alias("symbol_id"), "parents"), "symbol_id", "left").withColumn("parents", F.coalesce("parents", F.lit(0)))
 
 
+def lost_nodes(edges: DataFrame, kind: str = "inherits", forest: int = LINKS_A_FOREST) -> DataFrame:
+    """symbol_id, place (on_cycle, below_cycle) of the nodes that never reach a root."""
+    links = cut_lineage(links_of(edges, kind))
+    _, lost = merge_forests(local_forests(links, partitions_for(links.count(), 1, forest)))
+    return split_circles(lost, links).select(F.col("node").alias("symbol_id"), "place")
+
+
+def ways_up(links: DataFrame, depths: DataFrame) -> DataFrame:
+    """node, way (the node and all above it up to below the root) of the nodes with a root (node, depth), by looking up the way of the topmost ancestor until a way is as long as the depth. As large as the paths themselves, which for chains is the square of their length."""
+    open_ = cut_lineage(links.join(depths, "node").select("node", F.col("parent").alias("anc"), "depth", F.array("node").alias("way")))
+    done = []
+    while True:
+        done.append(open_.filter(F.size("way") == F.col("depth")))
+        going = open_.filter(F.size("way") < F.col("depth"))
+        known = open_.select(F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("way").alias("w2"))
+        for d in done[:-1]:
+            known = known.unionByName(d.select(F.col("node").alias("n2"), F.col("anc").alias("a2"), F.col("way").alias("w2")))
+        asked = going.join(known, F.col("anc") == F.col("n2"))
+        open_ = cut_lineage(asked.select("node", F.col("a2").alias("anc"), "depth", F.concat("way", "w2").alias("way")))
+        if open_.isEmpty():
+            every = done[0]
+            for d in done[1:]:
+                every = every.unionByName(d)
+            return every.select("node", "way")
+
+
+def hierarchy(edges: DataFrame, kind: str = "inherits", forest: int = LINKS_A_FOREST) -> DataFrame:
+    """``levels`` with the path (ids from the root to the node; null for nodes that reach no root)."""
+    links = cut_lineage(links_of(edges, kind))
+    nodes = cut_lineage(_levels(links, forest))
+    ways = ways_up(links, nodes.filter("place = 'inner'").select(F.col("symbol_id").alias("node"), "depth"))
+    path = F.when(F.col("root").isNotNull(), F.concat(F.array("root"), F.coalesce(F.reverse("way"), F.array().cast("array<long>"))))
+    return nodes.join(ways.withColumnRenamed("node", "symbol_id"), "symbol_id", "left").select("symbol_id", "place", "root", "depth", path.alias("path"), "parents")
+
+
 def descendants(nodes: DataFrame) -> DataFrame:
     """symbol_id, descendant, distance for all pairs of a node and a node below it: as many rows as the paths hold steps."""
     steps = nodes.filter(F.size("path") > 1).select(F.col("symbol_id").alias("descendant"), "depth", F.posexplode(F.expr("slice(path, 1, size(path) - 1)")).alias("at", "symbol_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from skein.operators.hierarchy import descendants, hierarchy
+from skein.operators.hierarchy import descendants, hierarchy, lost_nodes
 from skein.operators.keychunks import hot_keys, key_totals
 from skein.operators.workledger import WorkLedger, drive, plan_next, replay, state_after
 from skein.plans.session import checkpoint_dir
@@ -48,7 +48,7 @@ def p6_totals(spark, d):
 
 
 def p7_found(spark, d):
-    return hierarchy(table(spark, d, "edges")).filter("root is null").select("symbol_id", "place")
+    return lost_nodes(table(spark, d, "edges"))
 
 
 def p7_paths(spark, d):

@@ -8,9 +8,10 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from skein.operators.hierarchy import Forest, descendants, hierarchy
+from skein.operators.hierarchy import Forest, descendants, hierarchy, levels, lost_nodes
 from skein.operators.keychunks import hot_keys, key_totals
 from skein.operators.offsets import part_offsets, sorted_runs
+from skein.plans.session import cut_lineage
 from skein.operators.workledger import WorkLedger, drive, plan_next, plan_runs, replay, state_after
 
 T0 = datetime(2026, 1, 1)
@@ -218,14 +219,16 @@ def test_hierarchy_matches_climbing(spark, seed):
     up |= {300 + i: 301 + i for i in range(40)}  # a chain
     rows = [(c, p, "inherits", line, 0.5, "s") for c, p in up.items() for line in (1, None)]
     rows += [(1, 5, "calls", 1, 0.5, "s"), (None, 3, "inherits", 1, 0.5, "s"), (9, None, "inherits", 1, 0.5, "s")]
-    got = {r.symbol_id: r for r in hierarchy(spark.createDataFrame(rows, EDGES)).collect()}
+    whole = hierarchy(spark.createDataFrame(rows, EDGES), forest=25)
+    got = {r.symbol_id: r for r in whole.collect()}
+    assert {(r.symbol_id, r.place) for r in lost_nodes(spark.createDataFrame(rows, EDGES)).collect()} == {(n, r.place) for n, r in got.items() if r.root is None}
     assert set(got) == set(up) | set(up.values())
     for n, r in got.items():
         place, way = climb(up, n)
         assert (r.place, r.path) == (place, way), n
         if way:
             assert (r.root, r.depth) == (way[0], len(way) - 1)
-    pairs = {(r.symbol_id, r.descendant): r.distance for r in descendants(hierarchy(spark.createDataFrame(rows, EDGES))).collect()}
+    pairs = {(r.symbol_id, r.descendant): r.distance for r in descendants(whole).collect()}
     want = {}
     for n in got:
         way = climb(up, n)[1] or []
@@ -247,3 +250,26 @@ def test_forest_offsets():
         f.link(c, p)
     assert f.find(5) == (1, 4) and f.find(3) == (1, 2)
     assert len(f.open) == 1 and {r[0] for r in f.rows()} == {2, 3, 4, 5, 8, 9}
+
+
+def test_merges_move_three_numbers_a_node_whatever_the_depth(spark, monkeypatch):
+    """A deep chain with shuffled ids beside a circle: nothing that is written between merges grows with the reach."""
+    from skein.operators import hierarchy as h
+
+    written = []
+    monkeypatch.setattr(h, "cut_lineage", lambda df: written.append(df.dtypes) or cut_lineage(df))
+    ids = list(range(20_000))
+    random.Random(1).shuffle(ids)
+    rows = [(c, p, "inherits", 1, 0.5, "s") for c, p in zip(ids, ids[1:])] + [(50_000 + i, 50_000 + (i + 1) % 100, "inherits", 1, 0.5, "s") for i in range(100)]
+    edges = spark.createDataFrame(rows, EDGES)
+    assert lost_nodes(edges, forest=3_000).groupBy("place").count().collect() == [("on_cycle", 100)]
+    assert all(t in ("bigint", "int", "boolean") for cols in written for _, t in cols)
+    deepest = levels(edges, forest=3_000).agg({"depth": "max"}).first()[0]
+    assert deepest == 19_999
+
+
+def test_a_long_chain_in_one_forest():
+    f = Forest()
+    for i in range(200_000):
+        f.link(i, i + 1)
+    assert f.find(0) == (200_000, 200_000) and sum(1 for _ in f.rows()) == 200_000
