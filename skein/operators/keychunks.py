@@ -38,31 +38,51 @@ def _moves(a: pa.Array) -> np.ndarray:
 
 
 def chunk_states(runs: DataFrame, offsets: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One state for each part of a chunk that lies in one batch."""
+    """One state for each chunk of a key (for each part of it where a chunk lies in two partitions), however many batches its rows come in."""
 
     def run(batches):
-        key, n = None, 0
+        held, numbered = None, 0  # the chunk that may go on in the next batch, and the number of its key's next row
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
             part, t, k, s, off = (batch.column(i) for i in range(5))
-            moved = _moves(s)
-            starts = [*np.flatnonzero(_moves(t) | _moves(k)).tolist(), batch.num_rows]
-            rows = []
-            for a, b in zip(starts, starts[1:]):
-                here = (t[a].as_py(), k[a].as_py())
-                if here != key:
-                    key, n = here, off[a].as_py()
-                while a < b:
-                    e = min(b, a + chunk - n % chunk)
-                    f, last = s[a], s[e - 1]
-                    rows.append((*here, n // chunk, part[a].as_py(), e - a, int(moved[a + 1 : e].sum()), f.as_py(), not f.is_valid, last.as_py(), not last.is_valid))
-                    n, a = n + e - a, e
-            yield pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(zip(*rows), _TYPES)], names=_NAMES)
+            moved = _moves(s).astype(np.int64)
+            keys = np.flatnonzero(_moves(t) | _moves(k))
+            base = off.to_numpy(zero_copy_only=False)[keys].astype(np.int64)
+            goes_on = held is not None and (t[0].as_py(), k[0].as_py()) == held[:2]
+            if goes_on:
+                base[0] = numbered
+            number = np.arange(n) + np.repeat(base - keys, np.diff(np.append(keys, n)))
+            # a chunk begins with its key or at a multiple of its size
+            begins = np.zeros(n, dtype=bool)
+            begins[keys] = True
+            begins |= number % chunk == 0
+            starts = np.flatnonzero(begins)
+            ends = np.append(starts[1:], n)
+            total = np.append(0, np.cumsum(moved))
+            rows = list(zip(t.take(starts).to_pylist(), k.take(starts).to_pylist(), (number[starts] // chunk).tolist(), part.take(starts).to_pylist(), (ends - starts).tolist(), (total[ends] - total[starts + 1]).tolist(), s.take(starts).to_pylist(), s.take(ends - 1).to_pylist()))
+            numbered = int(number[-1]) + 1
+            if held is not None:
+                if goes_on and rows[0][2] == held[2]:
+                    a, z = held, rows[0]
+                    rows[0] = (*a[:4], a[4] + z[4], a[5] + z[5] + (a[7] != z[6]), a[6], z[7])
+                else:
+                    rows.insert(0, held)
+            held = rows.pop()
+            if rows:
+                yield _states(rows)
+        if held is not None:
+            yield _states([held])
 
     return _with_offsets(runs, offsets).mapInArrow(run, _STATE)
 
 
+def _states(rows: list[tuple]) -> pa.RecordBatch:
+    full = [(*r[:7], r[6] is None, r[7], r[7] is None) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(zip(*full), _TYPES)], names=_NAMES)
+
+
 def _with_offsets(runs: DataFrame, offsets: DataFrame) -> DataFrame:
     """A broadcast join keeps the order of its streamed side."""
     o = offsets.select(F.col("part").alias("p"), F.col("target_id").alias("t"), F.col("kind").alias("k"), "offset")
