@@ -2,13 +2,14 @@
 
 The documentation of a function is its ``doc_comment`` or, where that is null, a comment
 of the source. ``comment_candidates`` reads each text once, without moving it, and keeps
-its comment blocks with the line of the declaration under each (annotations may stand
-between, an empty line may not) and the strings that open Python bodies. Candidates meet
-functions in a bipartite assignment: an edge exists where file and line agree, its weight
-comes from the parameters that the comment's tags name, from the function's name in the
-comment and from the annotations in between. A link without an empty line or code between
-is possible for one declaration line only, so every component of the graph is one comment
-and the functions declared on its line, and the heaviest edge is the optimal assignment.
+its comment blocks and the strings that open Python bodies. The comments and functions of
+a file then meet in a bipartite assignment: an edge joins a comment and each function
+declared up to ``REACH`` lines below it; its weight comes from the parameters that the
+comment's tags name, from the function's name in the comment, from the lines in between
+and from whether anything but annotations stands there. ``assign`` finds the matching of
+the greatest total weight. A link whose weight is below ``LEAST`` is implausible and
+refused: its tags name other parameters than the function has. What is left is checked
+against the definition, by which documentation ends on the line above its function.
 Documentation that says nothing is dropped by ``prose_words``.
 
 Odd input: a null name or signature matches nothing; a null or negative line, or a line
@@ -20,12 +21,18 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left
+from collections import Counter, defaultdict
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.batches import map_columns
 
 MIN_WORDS = 5
+REACH = 12  # lines below a comment within which functions compete for it
+LEAST = 3.0  # weight of a plausible link, at least
 
 # -- what a comment says ----------------------------------------------------------
 _MARK = re.compile(r"^[ \t]*(?:/\*\*?!?|\*/|///?!?|//!|\*(?!\*)|#+!?(?!\[))[ \t]?", re.M)
@@ -147,7 +154,7 @@ def _docstring(content: str, start: int) -> str | None:
 
 
 def comment_blocks(content: str):
-    """(style, first line, declaration line, annotation lines between, text) of each comment that directly precedes another line; style is slash, hash or string."""
+    """(style, last line, line it is attached to, text) of each comment; style is slash, hash or string. A comment is attached to the next line that is no annotation, unless that is empty (null), a string that opens a body to its declaration."""
     lines = content.split("\n")
     i, n = 0, len(lines)
     while i < n:
@@ -173,8 +180,7 @@ def comment_blocks(content: str):
             d = last + 1
             while d < n and _ANNOTATION.match(lines[d]):
                 d += 1
-            if d < n and lines[d].strip():
-                yield style, first, d, d - last - 1, "\n".join(x.strip() for x in lines[first : last + 1])
+            yield style, last, d if d < n and lines[d].strip() else None, "\n".join(x.strip() for x in lines[first : last + 1])
     if "def " in content:
         at, line = 0, 0
         for m in _DEF.finditer(content):
@@ -182,21 +188,21 @@ def comment_blocks(content: str):
             at = m.start()
             doc = _docstring(content, m.end())
             if doc is not None:
-                yield "string", line, line, 0, doc
+                yield "string", line - 1, line, doc
 
 
 def _candidates(cols):
-    out = {"file_id": [], "style": [], "first": [], "line": [], "between": [], "comment": []}
+    out = {"file_id": [], "style": [], "line": [], "attached": [], "text": []}
     for f, content in zip(cols["file_id"], cols["content"]):
-        for style, first, line, between, text in comment_blocks(content or ""):
-            for k, v in zip(out, (f, style, first, line, between, text)):
+        for style, last, attached, text in comment_blocks(content or ""):
+            for k, v in zip(out, (f, style, last, attached, text)):
                 out[k].append(v)
     return out
 
 
 def comment_candidates(sources: DataFrame) -> DataFrame:
-    """file_id, style, first, line, between, comment: see ``comment_blocks``. The texts do not move."""
-    return map_columns(sources.select("file_id", "content"), _candidates, "file_id long, style string, first int, line int, between int, comment string")
+    """file_id, style, line (the last of the comment), attached, text: see ``comment_blocks``. The texts do not move."""
+    return map_columns(sources.select("file_id", "content"), _candidates, "file_id long, style string, line int, attached int, text string")
 
 
 # -- pairs -------------------------------------------------------------------------
@@ -204,43 +210,181 @@ _TAGGED = re.compile(r"(?:@param|:param|\\param)\s+(?:\{[^}]*\}\s*)?\[?(\w+)|<pa
 _PARAMS = re.compile(r"\((.*)\)", re.S)
 
 
-def link_weight(comment: str, name: str | None, signature: str | None, between: int) -> float:
-    """Weight of the edge between a comment and a function declared under it."""
-    tags = {a or b or c for a, b, c in _TAGGED.findall(comment)}
+def tags_of(comment: str) -> set[str]:
+    """The parameters that a comment's tags name."""
+    return {a or b or c for a, b, c in _TAGGED.findall(comment)}
+
+
+def params_of(signature: str | None) -> set[str]:
     m = _PARAMS.search(signature or "")
-    params = set(re.findall(r"\w+", m[1])) if m else set()
-    named = 1.0 if name and re.search(rf"\b{re.escape(name)}\b", comment) else 0.0
+    return set(re.findall(r"\w+", m[1])) if m else set()
+
+
+def link_weight(tags: set[str], params: set[str], named: bool, lines: int, attached: bool) -> float:
+    """Weight of the edge between a comment and a function ``lines`` below it."""
     strangers = len(tags - params) if params else 0
-    return 10.0 + 3.0 * len(tags & params) - 2.0 * strangers + named - 0.25 * between
+    return (10.0 if attached else 2.0) + 3.0 * len(tags & params) - 2.0 * strangers + named - 0.25 * lines
+
+
+def assign(edges: dict[tuple[int, int], float]) -> dict[int, int]:
+    """The matching of greatest total weight between comments and functions, given as positive weights of (comment, function).
+
+    An edge that weighs at least as much as the best others at its two ends together
+    belongs to some best matching; such edges are taken first. What they leave is solved
+    by augmenting along the alternating path that gains most."""
+    of: tuple[dict, dict] = defaultdict(dict), defaultdict(dict)
+    for (c, f), w in sorted(edges.items()):
+        if w > 0:
+            of[0][c][f] = w
+            of[1][f][c] = w
+    taken: dict[int, int] = {}
+    todo = list(of[0])
+    while todo:
+        again = set()
+        for c in todo:
+            if not of[0].get(c):
+                continue
+            f = max(of[0][c], key=lambda x: (of[0][c][x], -x))
+            w = of[0][c][f]
+            other = max((v for x, v in of[0][c].items() if x != f), default=0.0) + max((v for x, v in of[1][f].items() if x != c), default=0.0)
+            if w >= other:
+                taken[c] = f
+                for x in of[1].pop(f):
+                    of[0][x].pop(f, None)
+                    again.add(x)
+                for x in of[0].pop(c):
+                    of[1].get(x, {}).pop(c, None)
+                    again.update(of[1].get(x, {}))
+        todo = sorted(again & set(of[0]))
+    rest = {c: fs for c, fs in of[0].items() if fs}
+    return taken | _augment(rest)
+
+
+def _augment(rest: dict[int, dict[int, float]]) -> dict[int, int]:
+    """Greatest matching of a small graph: from each free comment the alternating path of greatest gain, until none gains."""
+    mate: dict[int, int] = {}  # function: comment
+    match: dict[int, int] = {}
+    while True:
+        gain = {c: 0.0 for c in rest if c not in match}
+        came: dict[int, tuple[int, int]] = {}  # comment: (the comment before it on the path, the function that one takes from it)
+        best, end = 1e-9, None
+        for _ in range(len(rest) + 1):
+            moved = False
+            for c in list(gain):
+                for f, w in rest[c].items():
+                    if match.get(c) == f:
+                        continue
+                    g = gain[c] + w
+                    c2 = mate.get(f)
+                    if c2 is None:
+                        if g > best:
+                            best, end = g, (c, f)
+                        continue
+                    g -= rest[c2][f]
+                    if g > gain.get(c2, -1e18) + 1e-9 and not _on_path(came, c, c2):
+                        gain[c2], came[c2], moved = g, (c, f), True
+                    if g > best:
+                        best, end = g, (c, f)
+            if not moved:
+                break
+        if end is None:
+            return match
+        c, f = end
+        dropped = mate.get(f)
+        if dropped is not None:
+            del match[dropped]
+        while True:
+            match[c], mate[f] = f, c
+            if c not in came:
+                break
+            c, f = came[c]
+
+
+def _on_path(came: dict, c: int, c2: int) -> bool:
+    while c != c2:
+        if c not in came:
+            return False
+        c = came[c][0]
+    return True
+
+
+_PAIRED = "symbol_id long, file_id long, line int, origin string, description string, words int, weight double"
+
+
+def _link_file(rows: list[tuple]) -> list[tuple]:
+    """The judged documentation of the functions of one file that have none in their column: rows of (file_id, what, line, attached, symbol_id, text, name, signature, documented)."""
+    style = next((r[5] for r in rows if r[1] == "style"), "slash")
+    comments = [r for r in rows if r[1] == style]
+    copies = Counter(r[4] for r in rows if r[1] == "function")
+    functions = sorted({r[4]: r for r in rows if r[1] == "function"}.values(), key=lambda r: (r[2], r[3] if r[3] is not None else 1 << 40, r[4]))
+    lines = [r[2] for r in functions]
+    params = [None] * len(functions)
+    edges, at = {}, {}
+    for k, c in enumerate(comments):
+        near = range(bisect_left(lines, c[2] + 1), bisect_left(lines, c[2] + 1 + REACH))
+        # an annotation block may be longer than the reach, the declaration it leads to is not further
+        far = range(bisect_left(lines, c[3]), bisect_left(lines, c[3] + 1)) if c[3] is not None and c[3] > c[2] + REACH else ()
+        tags = tags_of(c[5]) if near or far else set()
+        for j in [*near, *far]:
+            f = functions[j]
+            if params[j] is None:
+                params[j] = params_of(f[7])
+            named = bool(f[6]) and re.search(rf"\b{re.escape(f[6])}\b", c[5]) is not None
+            edges[k, j] = link_weight(tags, params[j], named, min(f[2] - c[2] - 1, REACH), c[3] == f[2])
+    out = []
+    for k, j in assign(edges).items():
+        c, f = comments[k], functions[j]
+        if f[8] or edges[k, j] < LEAST or c[3] != f[2]:
+            continue
+        n = prose_words(c[5], f[6])
+        out += [(f[4], f[0], f[2], "source", " ".join(prose(c[5])) if n else None, n, edges[k, j])] * copies[f[4]]
+    return out
+
+
+def _link(batches):
+    """Files come one after the other, each whole; only one is held."""
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.float64()]
+    names = [x.split()[0] for x in _PAIRED.split(", ")]
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=names)
+    held: list[tuple] = []
+    out: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][0] != row[0]:
+                out += _link_file(held)
+                held = []
+            held.append(row)
+        if len(out) > 5_000:
+            yield pack(out)
+            out = []
+    if held:
+        out += _link_file(held)
+    if out:
+        yield pack(out)
 
 
 def _judge(cols):
-    out = {k: cols[k] for k in ("symbol_id", "file_id", "line", "col", "origin")}
-    docs, words, weights = [], [], []
-    for doc, comment, name, sig, between in zip(cols["doc_comment"], cols["comment"], cols["name"], cols["signature"], cols["between"]):
-        text = doc if doc is not None else comment
-        n = prose_words(text, name)
-        docs.append(" ".join(prose(text)) if n else None)
-        words.append(n)
-        weights.append(0.0 if doc is not None else link_weight(comment, name, sig, between or 0))
-    return out | {"description": docs, "words": words, "weight": weights}
+    out = {k: cols[k] for k in ("symbol_id", "file_id", "line")}
+    words = [prose_words(d, n) for d, n in zip(cols["doc_comment"], cols["name"])]
+    docs = [" ".join(prose(d)) if n else None for d, n in zip(cols["doc_comment"], words)]
+    return out | {"origin": ["column"] * len(words), "description": docs, "words": words, "weight": [None] * len(words)}
+
+
+def source_links(symbols: DataFrame, files: DataFrame, sources: DataFrame) -> DataFrame:
+    """The links of the assignment, for functions without a doc_comment: symbol_id, file_id, line, origin (source), description, words, weight."""
+    none = lambda t: F.lit(None).cast(t)
+    style = F.when(F.col("language") == "python", "string").when(F.col("language") == "ruby", "hash").otherwise("slash")
+    said = comment_candidates(sources).filter("file_id is not null").select("file_id", F.col("style").alias("what"), "line", "attached", none("long").alias("symbol_id"), "text", none("string").alias("name"), none("string").alias("signature"), F.lit(False).alias("documented"))
+    spoken = files.filter("id is not null").select(F.col("id").alias("file_id"), F.lit("style").alias("what"), F.lit(-1).alias("line"), none("int").alias("attached"), none("long").alias("symbol_id"), style.alias("text"), none("string").alias("name"), none("string").alias("signature"), F.lit(False).alias("documented"))
+    s = symbols.filter(F.col("kind").isin("function", "method") & F.col("line").isNotNull() & F.col("file_id").isNotNull() & F.col("id").isNotNull())
+    declared = s.select("file_id", F.lit("function").alias("what"), "line", F.col("col").alias("attached"), F.col("id").alias("symbol_id"), none("string").alias("text"), "name", "signature", F.col("doc_comment").isNotNull().alias("documented"))
+    return said.unionByName(spoken).unionByName(declared).repartition("file_id").sortWithinPartitions("file_id").mapInArrow(_link, _PAIRED)
 
 
 def documented_functions(symbols: DataFrame, files: DataFrame, sources: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """symbol_id, file_id, line, origin (column or source), words, description of each function or method whose documentation says something."""
-    s = symbols.filter(F.col("kind").isin("function", "method")).select(F.col("id").alias("symbol_id"), "file_id", "name", "line", "col", "signature", "doc_comment")
-    stored = s.filter(F.col("doc_comment").isNotNull()).select("*", F.lit("column").alias("origin"), F.lit(None).cast("string").alias("comment"), F.lit(0).alias("between"))
-    style = F.when(F.col("language") == "python", F.lit("string")).when(F.col("language") == "ruby", F.lit("hash")).otherwise(F.lit("slash"))
-    languages = files.select(F.col("id").alias("file_id"), style.alias("style"))
-    found = comment_candidates(sources).join(languages, ["file_id", "style"]).select("file_id", "line", "comment", "between")
-    linked = s.filter(F.col("doc_comment").isNull() & F.col("line").isNotNull()).join(found, ["file_id", "line"])
-    linked = linked.select(*stored.columns[:7], F.lit("source").alias("origin"), "comment", "between")
-    schema = "symbol_id long, file_id long, line int, col int, origin string, description string, words int, weight double"
-    read = ["symbol_id", "file_id", "line", "col", "origin", "doc_comment", "comment", "name", "signature", "between"]
-    of_column = map_columns(stored.select(*read), _judge, schema)
-    best = F.first("symbol_id").over(Window.partitionBy("file_id", "line").orderBy(F.desc("weight"), F.col("col").asc_nulls_last(), "symbol_id"))
-    of_source = map_columns(linked.select(*read), _judge, schema).withColumn("best", best).filter(F.col("best") == F.col("symbol_id")).drop("best")
-    both = of_column.unionByName(of_source).filter(F.col("words") >= min_words)
+    stored = symbols.filter(F.col("kind").isin("function", "method") & F.col("doc_comment").isNotNull()).select(F.col("id").alias("symbol_id"), "file_id", "line", "doc_comment", "name")
+    both = map_columns(stored, _judge, _PAIRED).unionByName(source_links(symbols, files, sources)).filter(F.col("words") >= min_words)
     return both.select("symbol_id", "file_id", "line", "origin", "words", "description")
 
 

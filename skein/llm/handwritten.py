@@ -62,20 +62,37 @@ _ORIGIN = [
         r"(?m)^[\s/*#]*!\s*(?P<o>[\w.-]+) v?\d+\.\d+(?:\.\d+)?",
     )
 ]
-_MEMBER = re.compile(r"\b(?:[A-Za-z]\w{0,60}?)?([A-Z]?[a-z]{1,40})_?(\d{1,6})[ \t]*\(")  # bounded, so that very long words cost no more
+_MEMBER = re.compile(r"\b([A-Za-z_]\w*+)[ \t]*+\(")
 _WORD = re.compile(r"[^\W\d]\w*")
 _FLOW = re.compile(r"\b(?:if|for|foreach|while|return|switch|match|try|catch|throw|raise|yield|await|def|func|fn|function|lambda)\b|=>|^\s*(?:import|from|use|using|require|export\s*[*{])\b", re.M)
 _NUMBER = re.compile(r"[-+]?\b(?:0[xX][\da-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?)\w*")
 
 
+def _ending(name: str) -> tuple[str, str]:
+    """The last word of a name and the number behind it: ("Step", "12") of runStep_12."""
+    word = name.rstrip("0123456789")
+    number = name[len(word) :]
+    if word.endswith("_"):
+        word = word[:-1]
+    k = len(word)
+    while k and "a" <= word[k - 1] <= "z":
+        k -= 1
+    if k < len(word) and k and "A" <= word[k - 1] <= "Z":
+        k -= 1
+    return ("" if k == len(word) else word[k:]), number
+
+
 def _numbered(code: str) -> bool:
     """Members whose names end with the same word and 0, 1, 2, 3 ... as they come."""
     next_of: dict[str, int] = {}
-    for stem, n in _MEMBER.findall(code):
-        n = int(n)
+    for name in _MEMBER.findall(code):
+        stem, number = _ending(name)
+        if not stem or not number:
+            continue
         want = next_of.get(stem, 0)
-        if n == want or (want == 0 and n == 1):
-            next_of[stem] = n + 1
+        number = number.lstrip("0") or "0"
+        if number == str(want) or want == 0 and number == "1":
+            next_of[stem] = int(number) + 1
     return any(n >= 4 for n in next_of.values())
 
 
@@ -152,7 +169,7 @@ def merkle_nodes(facts_: DataFrame, depth: int) -> DataFrame:
         at = files.filter(F.col("depth") == d)
         at = at if below is None else at.unionByName(below)
         parent = F.regexp_replace("node", "/[^/]*$", "")
-        # sums of well-mixed 64-bit values modulo 2^64 do not depend on order and merge in parts
+        # sums of well-mixed 48-bit values do not depend on order and merge in parts
         mixed = lambda c, s: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(s), "h1", "h2", "n"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
         below = at.groupBy("project", parent.alias("node")).agg(F.sum(mixed("h1", "a")).alias("s1"), F.sum(mixed("h2", "b")).alias("s2"), F.sum("n").alias("n"), F.sum("told").alias("told"))
         below = below.select("project", "node", F.lit(d - 1).alias("depth"), F.xxhash64(F.lit(1), "s1", "n").alias("h1"), F.xxhash64(F.lit(2), "s2", "n").alias("h2"), "n", "told")

@@ -6,8 +6,9 @@ that order, run through several times where a source is small. The order is cut
 blocks, and a splitting tree deals the blocks to output shards: at each node the blocks of
 every source are divided between the two halves by a multivariate hypergeometric draw, so
 that each shard gets exactly its number of blocks and, by chance alone, its own mix.
-Shards then draw disjoint runs of blocks and shuffle them locally. The tree is as large
-as sources times shards and lives on the driver; texts never do.
+Shards then draw disjoint runs of blocks and shuffle them locally. Each draw depends on
+the seed and the node alone, so the tree is nowhere stored: a task walks down from the
+root to the shards of the blocks it holds. The driver knows the sources, nothing else.
 
 The size of the mix is, unless given, the largest for which every source that has texts
 can hold its share within its repeats. Shares of sources without texts fall to the others
@@ -22,11 +23,14 @@ nothing; a null or negative number of repeats counts as 1 or 0; extra columns ar
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.batches import map_columns
 from skein.llm.tokens import TOKENIZER, token_counts
 from skein.operators.offsets import part_offsets, partitions_for, sorted_runs
 from skein.plans.session import cut_lineage
@@ -34,6 +38,7 @@ from skein.plans.session import cut_lineage
 SEED = 17
 BLOCK = 16_384  # tokens of a block
 SHARD_BLOCKS = 64  # blocks of an output shard
+MOST_BLOCKS = 500_000_000  # blocks of a mix, at most
 
 
 def quotas(available: dict[str, int], targets: list[tuple[str, float, int]], total: int | None = None) -> dict[str, int]:
@@ -49,24 +54,30 @@ def quotas(available: dict[str, int], targets: list[tuple[str, float, int]], tot
     return {s: min(most[s], round(total * w / weight)) for s, (w, _) in live.items()}
 
 
-def split_tree(blocks: list[int], shards: int, seed: int = SEED) -> list[list[int]]:
-    """Blocks of each source (columns) for each shard (rows): rows add up to equal numbers of blocks (as far as they divide), columns to ``blocks``."""
+class SplitTree:
+    """Blocks of each source for each shard: shards get equal numbers of blocks (as far as they divide), sources give all of theirs. A shard's blocks of a source are a run of them, and runs follow each other as the shards do."""
+
+    def __init__(self, blocks: list[int], shards: int, seed: int = SEED):
+        self.blocks, self.shards, self.seed = blocks, shards, seed
+        self.left = lru_cache(maxsize=4096)(self._left)
 
-    def down(have: np.ndarray, lo: int, hi: int) -> None:
-        if hi - lo == 1:
-            out[lo] = have.tolist()
-            return
-        mid = (lo + hi) // 2
-        all_ = int(have.sum())
-        # the left half takes its exact number of blocks
-        left = all_ * (mid - lo) // (hi - lo)
-        draw = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(have, left, method="marginals")
-        down(draw, lo, mid)
-        down(have - draw, mid, hi)
+    def _left(self, lo: int, hi: int, have: tuple[int, ...]) -> tuple[int, ...]:
+        """What of ``have`` the left half of the shards from lo to hi takes: its exact number of blocks, drawn without bias."""
+        take = sum(have) * ((lo + hi) // 2 - lo) // (hi - lo)
+        rng = np.random.default_rng([self.seed, lo, hi])
+        return tuple(rng.multivariate_hypergeometric(np.array(have, dtype=np.int64), take, method="marginals").tolist())
 
-    out: list[list[int]] = [[] for _ in range(shards)]
-    down(np.array(blocks, dtype=np.int64), 0, shards)
-    return out
+    def shard_of(self, source: int, block: int) -> int:
+        """The shard that gets a source's block: one way down the tree."""
+        lo, hi, have = 0, self.shards, tuple(self.blocks)
+        while hi - lo > 1:
+            left, mid = self.left(lo, hi, have), (lo + hi) // 2
+            if block < left[source]:
+                hi, have = mid, left
+            else:
+                block -= left[source]
+                lo, have = mid, tuple(a - b for a, b in zip(have, left))
+        return lo
 
 
 def _sizes(documents: DataFrame, targets: DataFrame, tokenizer: str) -> DataFrame:
@@ -78,6 +89,35 @@ def _sizes(documents: DataFrame, targets: DataFrame, tokenizer: str) -> DataFram
     return once.select("x.doc_id", "x.source", F.col("x.tokens").cast("long").alias("tokens")).filter("tokens > 0")
 
 
+def _positions():
+    """Lays texts end to end; the offset is that of the source's first text in the partition."""
+    at: dict[str, int] = {}
+
+    def run(cols):
+        out = []
+        for s, n, off in zip(cols["source"], cols["tokens"], cols["offset"]):
+            x = at.get(s, off)
+            at[s] = x + n
+            out.append(x)
+        return {k: cols[k] for k in ("source", "doc_id", "tokens")} | {"at": out}
+
+    return run
+
+
+def _last_round(placed: DataFrame, rests: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
+    """Where the last, partial round of each source ends, and where the text stands behind it that fills the gap best (the longest that fits, the first of these)."""
+    some = {s: n for s, n in rests.items() if n}
+    if not some:
+        return {}, {}
+    rest = F.create_map(*[F.lit(x) for kv in some.items() for x in kv])[F.col("source")]
+    rows = placed.withColumn("rest", rest).filter("rest is not null").withColumn("whole", F.col("at") + F.col("tokens") <= F.col("rest"))
+    ends = {r[0]: r[1] for r in rows.filter("whole").groupBy("source").agg(F.max(F.col("at") + F.col("tokens"))).collect()}
+    end = F.create_map(*[F.lit(x) for s in some for x in (s, ends.get(s, 0))])[F.col("source")]
+    fits = rows.filter(~F.col("whole")).withColumn("end", end).filter(F.col("tokens") <= F.col("rest") - F.col("end"))
+    best = fits.groupBy("source").agg(-F.max(F.struct("tokens", (-F.col("at")).alias("back")))["back"])
+    return {s: ends.get(s, 0) for s in some}, {r[0]: r[1] for r in best.collect()}
+
+
 _DRAWN = "shard int, source string, doc_id long, epoch int, block long, tokens long"
 
 
@@ -88,34 +128,35 @@ def draw_mix(documents: DataFrame, targets: DataFrame, total: int | None = None,
     goals = [(r[0], r[1], r[2]) for r in targets.select("source", "target_share", "max_repeats").collect()]
     have = {r[0]: (r[1], r[2]) for r in sizes.groupBy("source").agg(F.sum("tokens"), F.count("*")).collect()}
     give = quotas({s: n for s, (n, _) in have.items()}, goals, total)
-    names = sorted(give)
+    names = {s: k for k, s in enumerate(sorted(give))}
+    # a draw takes up to 10^9 blocks, so very large mixes have larger ones
+    block = max(block, -(-sum(give.values()) // MOST_BLOCKS))
     blocks = [-(-give[s] // block) for s in names]
     shards = max(1, -(-sum(blocks) // shard_blocks))
-    dealt = np.array(split_tree(blocks, shards, seed), dtype=np.int64).reshape(shards, len(names))
-    ends = {s: np.cumsum(dealt[:, k]) for k, s in enumerate(names)}  # first block behind each shard's run
     runs = sorted_runs(sizes, ["source"], ["h", "doc_id"], partitions_for(sum(n for _, n in have.values()), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     offsets = part_offsets(runs, ["source"], "tokens").select(F.col("part").alias("p"), F.col("source").alias("s"), "offset")
     placed = runs.join(F.broadcast(offsets), (F.col("part") == F.col("p")) & (F.col("source") == F.col("s")), "left").select("source", "doc_id", "tokens", F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))
+    placed = cut_lineage(map_columns(placed, _positions(), "source string, doc_id long, tokens long, at long"))
     everything = {s: n for s, (n, _) in have.items()}
+    rests = {s: give.get(s, 0) % n for s, n in everything.items()}
+    ends, fill = _last_round(placed, rests)
 
     def run(batches):
-        at: dict[str, int] = {}
-        used: dict[str, int] = {}
+        tree = SplitTree(blocks, shards, seed)
         for batch in batches:
             rows: list[tuple] = []
-            for s, d, n, off in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                x = at.get(s, off)
-                at[s] = x + n
+            for s, d, n, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 q, a = give.get(s, 0), everything[s]
-                full, rest = divmod(q, a)
-                # where the last round's quota ends, a text too long for what is left makes room for shorter ones behind it
-                u = used.get(s, off)
-                last = u + n <= rest and off < rest
-                if last:
-                    used[s] = u + n
-                for e in range(full + last):
-                    b = min((e * a + (u if e == full else x)) // block, -(-q // block) - 1)
-                    rows.append((int(np.searchsorted(ends[s], b, side="right")), s, d, e, b, n))
+                if not q:
+                    continue
+                uses = [e * a + x for e in range(q // a)]
+                if x + n <= rests[s]:
+                    uses.append(q // a * a + x)
+                elif fill.get(s) == x:
+                    uses.append(q // a * a + ends[s])
+                for e, at in enumerate(uses):
+                    b = min(at // block, blocks[names[s]] - 1)
+                    rows.append((tree.shard_of(names[s], b), s, d, e, b, n))
             if rows:
                 types = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _DRAWN.split(", ")])

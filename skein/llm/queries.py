@@ -9,7 +9,7 @@ from skein.llm.docpairs import code_pairs, documented_functions
 from skein.llm.handwritten import classify_files
 from skein.llm.mixing import draw_mix, mix_report
 from skein.llm.packing import fill_containers, fill_report
-from skein.llm.truncated import find_truncated
+from skein.llm.truncated import field_limits, find_truncated
 from skein.llm.validity import check_files, invalid_rates
 from skein.sources.tables import table
 
@@ -75,6 +75,15 @@ def p10_rates(spark, d):
     return by.withColumn("rate", F.round(F.col("cut") / F.col("texts"), 6))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_classes, p5_found, p5_rates, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_rates)}
+def p10_limits(spark, d):
+    return field_limits(table(spark, d, "documents"), ["text"])
+
+
+def p10_causes(spark, d):
+    """What each kind of evidence finds: length spikes alone (limit), what the end shows by itself (tail, mark), word statistics (word)."""
+    return find_truncated(table(spark, d, "documents")).filter("cut").groupBy("why").agg(F.count("*").alias("texts"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_classes, p5_found, p5_rates, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_rates, p10_limits, p10_causes)}
 
 SQL = {"p2_found": "SELECT id AS chunk_id FROM code_chunks WHERE length(content) > 2048"}

@@ -6,6 +6,8 @@ Python worker meets, so that soon nearly every step is one look-up. The token wh
 derivative is empty is the failing one; a last derivative without the empty word means
 that the text stops too early.
 
+A text whose nesting exceeds the stack is not judged (valid is null, token is depth).
+
 Results for odd input: null contents are empty files, and empty files and those of
 comments only are valid; a null, unknown or style-sheet language is not judged (valid is
 null); byte-order marks and all line ends are valid; repeated rows give one row each;
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from skein.functions.batches import map_columns
 from skein.llm.grammars import LEXERS, check
 
-_DEPTH = 20_000  # of nested derivatives; a text that needs more is judged by what the stack holds
+_DEPTH = 20_000  # of nested derivatives; a text that needs more is not judged
 
 
 def _judge(cols):
@@ -33,11 +35,11 @@ def _judge(cols):
         if language in LEXERS:
             try:
                 found = check(text or "", language)
-            except RecursionError:  # deeper than any compiler would go
-                found = (-1, "depth")
-            valid = found is None
-            if found:
-                at, token = found
+                valid = found is None
+                if found:
+                    at, token = found
+            except RecursionError:
+                token = "depth"
         out["valid"].append(valid)
         out["fails_at"].append(at)
         out["token"].append(token)

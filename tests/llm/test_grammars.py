@@ -92,3 +92,14 @@ def test_operator_on_odd_rows(spark):
     assert got == [(1, False), (2, True), (3, None), (4, None), (5, True), (5, True)] or sorted(got, key=str) == sorted([(1, False), (2, True), (3, None), (4, None), (5, True), (5, True)], key=str)
     assert [(r.files, r.invalid) for r in invalid_rates(check_files(files, src)).collect()] == [(4, 1)]
     assert check_files(files.limit(0), src.limit(0)).count() == 0
+
+
+def test_what_the_stack_does_not_hold_is_not_judged(spark, monkeypatch):
+    from skein.llm import validity
+
+    def deep(text, language):
+        raise RecursionError
+
+    monkeypatch.setattr(validity, "check", deep)
+    got = validity._judge({"file_id": [1], "project": ["p"], "language": ["python"], "content": ["(" * 9]})
+    assert got["valid"] == [None] and got["token"] == ["depth"]

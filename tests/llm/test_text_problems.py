@@ -127,6 +127,29 @@ def test_a_comment_serves_one_function(spark):
     assert [r.symbol_id for r in docpairs.documented_functions(*df).collect()] == [1]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_assignment_is_the_best_one(seed):
+    rnd = random.Random(seed)
+    edges = {(c, f): float(rnd.randrange(1, 12)) for c in range(rnd.randrange(1, 6)) for f in range(rnd.randrange(1, 6)) if rnd.random() < 0.6}
+
+    def best(c, used):
+        return max([best(c + 1, used)] + [w + best(c + 1, used | {f}) for (k, f), w in edges.items() if k == c and f not in used]) if c < 6 else 0.0
+
+    for got in (docpairs.assign(edges), docpairs._augment({c: {f: w for (k, f), w in edges.items() if k == c} for c in {k for k, _ in edges}})):
+        assert len(set(got.values())) == len(got) and sum(edges[e] for e in got.items()) == best(0, frozenset())
+
+
+def test_implausible_links_are_refused(spark):
+    tags = "\n".join(f" * @param {p} of somebody else" for p in ("alpha", "beta", "gamma", "delta"))
+    text = f"/**\n * {GOOD}\n{tags}\n */\nfunction near(x) {{}}\n\n/** {GOOD} */\n\nfunction gap(y) {{}}\n"
+    at = text.split("\n").index("function near(x) {}")
+    symbols = [(1, 1, "near", "function", at, 0, at, "near(x)", None, "e"), (2, 1, "gap", "function", at + 4, 0, at + 4, "gap(y)", None, "e")]
+    df = [spark.createDataFrame(a, b) for a, b in ((symbols, SYMBOLS), ([(1, "p", "a.js", "javascript", "e")], FILES), ([(1, "a.js", text)], SOURCES))]
+    assert docpairs.documented_functions(*df).count() == 0  # tags of strangers; an empty line in between
+    fits = [(symbols[0][:7] + ("near(alpha, beta, gamma, delta)",) + symbols[0][8:]), symbols[1]]
+    assert [r.symbol_id for r in docpairs.documented_functions(spark.createDataFrame(fits, SYMBOLS), *df[1:]).collect()] == [1]
+
+
 # -- hand-written or not ------------------------------------------------------------------
 CODE = "import logging\n\n" + "def run(a):\n    if a:\n        return call(a)\n    log.info('x')\n" * 4
 
@@ -155,6 +178,15 @@ def test_classes_of_single_files(path, text, kind):
     assert handwritten.facts(path, "p", "python", text)[0] == kind
 
 
+def test_long_names_and_numbers_of_members():
+    long = "a" + "Very" * 40
+    numbered = "class A:\n" + "".join(f"    def {long}Field{i}(self):\n        return {i}\n" for i in range(6))
+    assert handwritten.facts("p/a.py", "p", "python", numbered)[0] == "generated"
+    assert handwritten._ending("get_field_12") == ("field", "12") and handwritten._ending("X9") == ("", "9") and handwritten._ending("_" * 9) == ("", "")
+    assert not handwritten._numbered("f" + "1" * 100_000 + "(")
+    assert not handwritten._numbered("x" * 2_000_000)
+
+
 def test_minified():
     js = "!function(n){" + "".join(f"var a{i}=function(b,c){{return b?c:{i}}};" for i in range(60)) + "}(this)"
     assert handwritten.facts("p/a.js", "p", "javascript", js)[0] == "minified"
@@ -238,10 +270,18 @@ def test_quotas_keep_shares_and_caps():
 def test_split_tree_is_exact():
     for shards in (1, 2, 3, 7, 16):
         blocks = [40, 0, 13, 1]
-        out = np.array(mixing.split_tree(blocks, shards))
-        assert out.sum(axis=0).tolist() == blocks and out.min() >= 0
-        assert out.sum(axis=1).max() - out.sum(axis=1).min() <= 2
-    assert mixing.split_tree([5, 5], 2, seed=1) == mixing.split_tree([5, 5], 2, seed=1)
+        tree = mixing.SplitTree(blocks, shards)
+        dealt = [[tree.shard_of(k, b) for b in range(n)] for k, n in enumerate(blocks)]
+        assert all(d == sorted(d) for d in dealt)  # a shard's blocks of a source are a run
+        by = [sum(d.count(i) for d in dealt) for i in range(shards)]
+        assert sum(by) == sum(blocks) and max(by) - min(by) <= 2
+    assert [mixing.SplitTree([500, 500], 8, seed=1).shard_of(0, b) for b in range(500)] == [mixing.SplitTree([500, 500], 8, seed=1).shard_of(0, b) for b in range(500)]
+
+
+def test_a_walk_down_a_huge_tree_needs_no_tree():
+    tree = mixing.SplitTree([400_000_000, 90_000_000], 10_000_000)
+    assert 0 <= tree.shard_of(0, 0) <= tree.shard_of(0, 399_999_999) < 10_000_000
+    assert tree.left.cache_info().currsize < 100
 
 
 @needs_tokenizer
@@ -266,6 +306,8 @@ def test_mix_reaches_shares(spark):
     home = {}
     for r in mix:
         assert home.setdefault((r.source, r.block), r.shard) == r.shard  # blocks are disjoint
+    again = mixing.draw_mix(docs.repartition(7), targets, block=64, shard_blocks=4).collect()
+    assert sorted(again) == sorted(mix)  # however the rows lie
     rep = {r.source: r for r in mixing.mix_report(mixing.draw_mix(docs, targets), targets).collect()}
     assert rep["gone"].share == 0.0 and abs(sum(r.share for r in rep.values()) - 1) < 1e-5
     assert mixing.draw_mix(docs.limit(0), targets).count() == 0
@@ -330,7 +372,7 @@ def test_cut_texts_are_found(spark):
     assert len(found & cut) >= 0.9 * len(cut)
     assert not {i for i in found - cut if not re.search(r"\w$", text[i])}
     assert not {i for i in found if i >= 5000}
-    limits = {(r.source, r.length) for r in truncated.length_spikes(_tails(spark, df)).collect() if r.unit == "chars"}
+    limits = {(r.source, r.length) for r in truncated.field_limits(df, ["text"]).collect() if r.unit == "chars"}
     assert limits == {("chat", 180)}
     assert truncated.find_truncated(df.limit(0)).count() == 0
 
@@ -348,10 +390,11 @@ def test_copies_of_a_cut_text_do_not_acquit_it(spark):
     assert not {i for i in found if i >= 10000}
 
 
-def _tails(spark, df):
-    from pyspark.sql import functions as F
-
-    from skein.functions.batches import map_columns
-
-    prints = df.withColumn("print", F.xxhash64("text"))
-    return map_columns(prints.select("doc_id", "source", "text", "print"), lambda c: truncated._tails(c) | {"print": c["print"]}, "doc_id long, source string, state string, stated boolean, chars int, bytes int, raw_chars int, raw_bytes int, w1 string, w2 string, spoken boolean, word boolean, print long")
+def test_long_last_lines_and_words_are_read_whole(spark):
+    long_word = "".join(chr(97 + i * 7 % 26) for i in range(300))
+    line = "see " + "nested " * 90
+    assert truncated.tail("Use " + "x" * 5000)["w2"] == "x" * 5000
+    assert not truncated.tail("one two three four " + " " * 500 + "five")["short"]
+    rows = [(i, f"{line} run {i} of {long_word} is over.", "wiki", 0) for i in range(60)] + [(900, f"{line} run of {long_word[:200]}", "mail", 0)]
+    found = {r.doc_id for r in truncated.find_truncated(spark.createDataFrame(rows, DOCS)).collect() if r.cut}
+    assert found == {900}
