@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,31 @@ ENTRY_KINDS = ("class", "interface", "function", "struct")
 
 
 def totals(g: CodeGraph) -> DataFrame:
-    """One row: files, symbols, edges. Three counts that never join."""
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in (("files", g.files), ("symbols", g.symbols), ("edges", g.edges))]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return every.agg(*[F.sum(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in ("files", "symbols", "edges")])
+    """One row: files, symbols, edges."""
+    return index_stats(g)
+
+
+def index_stats(g: CodeGraph, **more: DataFrame) -> DataFrame:
+    """One row: files, symbols, edges, and the counts of whatever else is given (unresolved, routes, mappings). Counts that never join."""
+    tables = {"files": g.files, "symbols": g.symbols, "edges": g.edges} | more
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts).agg(*[F.sum(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in tables])
+
+
+def overview(g: CodeGraph, hot: int = 10, entries: int = 20) -> DataFrame:
+    """part, name, detail, n: totals, languages, hotspots and entry points in one list."""
+    t = totals(g).select(F.explode(F.create_map(*[x for c in ("files", "symbols", "edges") for x in (F.lit(c), F.col(c))])).alias("name", "n")).select(F.lit("total").alias("part"), "name", F.lit(None).cast("string").alias("detail"), "n")
+    lang = language_stats(g).select(F.lit("language"), "language", F.concat("files", F.lit(" files")), "symbols")
+    h = hotspots(g, hot).select(F.lit("hotspot"), "qualified_name", "kind", "incoming")
+    e = entry_points(g, entries).select(F.lit("entry point"), "qualified_name", "path", F.col("line").cast("long"))
+    return t.union(lang).union(h).union(e)
+
+
+def envelope(df: DataFrame, order: list) -> DataFrame:
+    """One row, json: ``{"ok": true, "data": [...]}`` of a result list in order. For lists that a limit bounds."""
+    numbered = df.withColumn("_k", F.row_number().over(Window.orderBy(*order)))
+    rows = F.array_sort(F.collect_list(F.struct("_k", F.struct(*df.columns).alias("row"))))
+    return numbered.agg(F.to_json(F.struct(F.lit(True).alias("ok"), F.transform(rows, lambda x: x["row"]).alias("data"))).alias("json"))
 
 
 def language_stats(g: CodeGraph) -> DataFrame:
@@ -59,6 +82,12 @@ def baseline_check(current: DataFrame, baseline: DataFrame, slack: float = 0.05)
     return j.withColumn("status", status)
 
 
+def minimum_check(current: DataFrame, minima: DataFrame) -> DataFrame:
+    """project, metric, least, now, status: ok or short, of minima (project, metric, least) that a project's metrics must reach; a metric that is not there counts as 0."""
+    j = minima.join(current.withColumnRenamed("value", "now"), ["project", "metric"], "left").withColumn("now", F.coalesce("now", F.lit(0)))
+    return j.withColumn("status", F.when(F.col("now") < F.col("least"), "short").otherwise("ok"))
+
+
 def project_metrics(g: CodeGraph) -> DataFrame:
     """project, metric, value: files, symbols and edges of every project."""
     p = g.files.select(F.col("id").alias("file_id"), "project")

@@ -35,7 +35,8 @@ def reach(steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 def blast_radius(g: CodeGraph, center: int, depth: int) -> DataFrame:
     """What depends on a symbol, directly or over others: name, qualified_name, kind, path, depth, edge_kind, distinct. A symbol stands once for each depth and edge kind; a circle brings the center back."""
-    back = g.edges.select(F.col("target_id").alias("at"), F.col("source_id").alias("to"), F.col("kind").alias("label")).distinct()
+    # merged once, not again for each level
+    back = cut_lineage(g.edges.select(F.col("target_id").alias("at"), F.col("source_id").alias("to"), F.col("kind").alias("label")).distinct())
     start = g.spark.range(center, center + 1)
     hit = reach(back, start, depth)
     s = g.symbols.select("id", "file_id", "name", "qualified_name", "kind")
@@ -91,6 +92,21 @@ def subgraph(g: CodeGraph, nodes: DataFrame) -> DataFrame:
     return inside.groupBy("source_id", "target_id", "kind").agg(F.max("confidence").alias("confidence"))
 
 
+def subgraph_nodes(g: CodeGraph, prefix: str | None = None, cap: int = 10_000, concepts: DataFrame | None = None) -> DataFrame:
+    """id, name, qualified_name, kind, path, concept of the symbols whose qualified name begins with a prefix: the first ``cap`` by name (the length of an export), each with its first concept of concepts (name, symbol_id)."""
+    s = g.symbols if prefix is None else g.symbols.filter(F.startswith("qualified_name", F.lit(prefix)))
+    top = s.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "name", "qualified_name", "kind", "path").orderBy("qualified_name", "id").limit(cap)
+    if concepts is None:
+        return top.withColumn("concept", F.lit(None).cast("string"))
+    first = concepts.join(top.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").groupBy(F.col("symbol_id").alias("id")).agg(F.min("name").alias("concept"))
+    return top.join(first, "id", "left")
+
+
+def node_counts(traces: DataFrame) -> DataFrame:
+    """root_id, nodes of every trace tree."""
+    return traces.groupBy("root_id").agg(F.count("*").alias("nodes"))
+
+
 def export_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One JSON text a row, nodes first: lines that can be written and read in parts."""
     n = nodes.select(F.to_json(F.struct(F.lit("node").alias("type"), *nodes.columns)).alias("json"))

@@ -55,11 +55,11 @@ class CodeGraph:
 
     @cached_property
     def imports(self) -> DataFrame:
-        """file_id, imported_name, module_path from import edges."""
+        """file_id, imported_name, module_path and the first line of it, from import edges."""
         s = self.symbols.select(F.col("id").alias("source_id"), "file_id")
         t = self.every_symbol.select(F.col("id").alias("target_id"), F.col("name").alias("imported_name"), "qualified_name")
         module = F.expr("CASE WHEN instr(qualified_name, '.') > 0 THEN substring(qualified_name, 1, length(qualified_name) - length(imported_name) - 1) END")
-        return self.edges.filter("kind = 'imports'").join(s, "source_id").join(t, "target_id").select("file_id", "imported_name", module.alias("module_path")).distinct()
+        return self.edges.filter("kind = 'imports'").join(s, "source_id").join(t, "target_id").select("file_id", "imported_name", module.alias("module_path"), "source_line").groupBy("file_id", "imported_name", "module_path").agg(F.min("source_line").alias("line"))
 
     @cached_property
     def refs(self) -> DataFrame:
@@ -86,9 +86,9 @@ VIEWS = {
       t.file_id AS target_file_id, t.line AS target_line, t.qualified_name AS target_symbol, g.language AS target_language
       FROM e JOIN symbols s ON s.id = e.source_id JOIN files f ON f.id = s.file_id LEFT JOIN symbols t ON t.id = e.target_id LEFT JOIN files g ON g.id = t.file_id
       WHERE e.kind IN ('http_call', 'db_entity', 'lsp_resolved', 'scip_ref'))""",
-    "imp": """imp AS (SELECT DISTINCT s.file_id, t.name AS imported_name,
-      CASE WHEN contains(t.qualified_name, '.') THEN substr(t.qualified_name, 1, length(t.qualified_name) - length(t.name) - 1) END AS module_path
-      FROM e JOIN symbols s ON s.id = e.source_id JOIN sym t ON t.id = e.target_id WHERE e.kind = 'imports')""",
+    "imp": """imp AS (SELECT s.file_id, t.name AS imported_name,
+      CASE WHEN contains(t.qualified_name, '.') THEN substr(t.qualified_name, 1, length(t.qualified_name) - length(t.name) - 1) END AS module_path, min(e.source_line) AS line
+      FROM e JOIN symbols s ON s.id = e.source_id JOIN sym t ON t.id = e.target_id WHERE e.kind = 'imports' GROUP BY 1, 2, 3)""",
     "refs": """refs AS (SELECT x.source_id, s.file_id, CASE WHEN (x.source_id + x.target_id) % 4 = 0 THEN t.qualified_name WHEN (x.source_id + x.target_id) % 4 < 3 THEN t.name
       ELSE 'Missing' || x.target_id END AS target_name, x.kind, x.line, x.target_id AS wanted
       FROM (SELECT source_id, target_id, kind, min(source_line) AS line FROM e WHERE kind <> 'imports' GROUP BY ALL) x JOIN sym t ON t.id = x.target_id JOIN symbols s ON s.id = x.source_id)""",

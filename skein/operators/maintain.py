@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.graphmodel import CodeGraph, merge_edges
@@ -31,7 +33,7 @@ def delete_cascade(g: CodeGraph, gone: DataFrame) -> dict[str, DataFrame]:
     symbols = g.symbols.join(gone, "file_id", "left_anti")
     dead = g.symbols.join(gone, "file_id", "left_semi").select("id")
     edges = g.edges.join(dead.select(F.col("id").alias("source_id")), "source_id", "left_anti").join(dead.select(F.col("id").alias("target_id")), "target_id", "left_anti")
-    return {"files": files, "symbols": symbols, "edges": edges, "code_chunks": g.read("code_chunks").join(gone, "file_id", "left_anti")}
+    return {"files": files, "symbols": symbols, "edges": edges, "code_chunks": g.read("code_chunks").join(gone, "file_id", "left_anti"), "flow_edges": g.flow_edges.join(gone.select(F.col("file_id").alias("source_file_id")), "source_file_id", "left_anti").join(gone.select(F.col("file_id").alias("target_file_id")), "target_file_id", "left_anti")}
 
 
 def dedup_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -96,6 +98,35 @@ def latest_changes(events: DataFrame) -> DataFrame:
     return events.groupBy("path").agg(F.max(F.struct("seq", "change")).alias("x")).select("path", F.col("x.change").alias("change"))
 
 
-def first_per(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
-    """The first n rows of each key."""
-    return df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("k") <= n).drop("k")
+PROVENANCE = ["source_id", "target_id", "kind", "source_line"]
+
+
+def record_provenance(known: DataFrame, found: DataFrame, source: str) -> DataFrame:
+    """Who confirmed which edge (source_id, target_id, kind, source_line, source), with the edges just found by ``source`` in place of older words on them."""
+    new = found.select(*PROVENANCE).distinct().withColumn("source", F.lit(source))
+    return _without(known, new).select(*PROVENANCE, "source").unionByName(new)
+
+
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges without those of the same key, null lines being equal."""
+    named = gone.select(*[F.col(c).alias(f"{c}_") for c in PROVENANCE])
+    return edges.join(named, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in PROVENANCE]), "left_anti")
+
+
+def unconfirmed(edges: DataFrame, provenance: DataFrame, limit: int, below: float = 0.8) -> DataFrame:
+    """The least sure edges that nobody confirmed yet (a batch of ``limit``)."""
+    return low_confidence_batch(_without(edges.filter(F.col("confidence") < below), provenance), limit, below)
+
+
+def confirm(edges: DataFrame, batch: DataFrame, answers: DataFrame) -> DataFrame:
+    """Edges after an outside resolver answered (source_id, source_line, target_id) for a batch: those on whose target it agrees are sure, all others as they were."""
+    agreed = batch.join(answers, ["source_id", "source_line", "target_id"], "left_semi").select("source_id", "target_id", F.lit(1.0).alias("confidence"))
+    return raise_confidence(edges, agreed)
+
+
+def settle(unresolved: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges of kind lsp_resolved at 1.0, what stays open) after an outside resolver answered (source_id, target_name, line, target_id) for open references."""
+    said = answers.groupBy(F.col("source_id").alias("s"), F.col("target_name").alias("n"), F.col("line").alias("l")).agg(F.min("target_id").alias("target_id"))
+    same = F.col("source_id").eqNullSafe(F.col("s")) & F.col("target_name").eqNullSafe(F.col("n")) & F.col("line").eqNullSafe(F.col("l"))
+    hit = unresolved.join(said, same).select("source_id", "target_id", F.lit("lsp_resolved").alias("kind"), F.col("line").alias("source_line"), F.lit(1.0).alias("confidence"))
+    return hit, unresolved.join(said, same, "left_anti")

@@ -69,21 +69,22 @@ def file_outline(g: CodeGraph, path: str, mode: str = "outline") -> DataFrame:
     return g.symbols.join(f, "file_id", "left_semi").select(*cols)
 
 
-LEVELS = 13  # sizes of blocks of lines: 1, 4, 16, ... so that the largest holds any file
-
-
 def covering(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points (file_id, line) with the spans (file_id, first, last, ...) that hold them.
 
-    A span is filed under the one or two blocks of its own size that it touches, a point
-    under its block of every size. They meet by file, size and block, all equalities, so
-    that a file with very many spans makes no more pairs than spans truly nest."""
+    A span is filed under the one or two blocks of its own size (1, 4, 16 ... lines) that
+    it touches, a point under its block of every size that spans have. They meet by file,
+    size and block, all equalities, so that a file with very many spans makes no more
+    pairs than spans truly nest."""
     # the smallest k with 4^k lines or more
-    size = F.least(F.lit(LEVELS - 1), F.ceil(F.round(F.log2((F.col("last") - F.col("first") + 1).cast("double")) / 2, 9)).cast("int"))
+    size = F.ceil(F.round(F.log2((F.col("last") - F.col("first") + 1).cast("double")) / 2, 9)).cast("int")
     s = spans.filter("first is not null and last >= first").withColumn("size", size)
+    # at most 17, lines being 32-bit numbers
+    sizes = sorted(r[0] for r in s.select("size").distinct().collect())
     width = F.pow(F.lit(4.0), F.col("size"))
     s = s.withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("first") / width), F.floor(F.col("last") / width)))))
-    p = points.select("file_id", "line", F.posexplode(F.array(*[F.floor(F.col("line") / float(4**k)) for k in range(LEVELS)])).alias("size", "block"))
+    blocks = F.array(*[F.struct(F.lit(k).alias("size"), F.floor(F.col("line") / float(4**k)).alias("block")) for k in sizes or [0]])
+    p = points.select("file_id", "line", F.explode(blocks).alias("at")).select("file_id", "line", "at.size", "at.block")
     met = p.join(s, ["file_id", "size", "block"])
     return met.filter((F.col("line") >= F.col("first")) & (F.col("line") <= F.col("last"))).drop("size", "block")
 
@@ -139,7 +140,23 @@ def investigate(g: CodeGraph, query: str, callers: int = 10, callees: int = 10)
     return a.unionByName(b).unionByName(c)
 
 
-def clip(text: Column | str, width: int = 120) -> Column:
-    """At most ``width`` characters, the last of them a mark where something was left out."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.when(F.length(c) > width, F.concat(F.substring(c, 1, width - 1), F.lit("…"))).otherwise(c)
+def file_content(g: CodeGraph, path: str) -> DataFrame:
+    """line (from 1), text of a file."""
+    text = g.read("source_files").filter(F.col("path") == path)
+    return text.select(F.posexplode(F.split("content", "\n")).alias("at", "text")).select((F.col("at") + 1).alias("line"), F.regexp_replace("text", r"\r$", "").alias("text"))
+
+
+def browse(g: CodeGraph, folder: str = "") -> DataFrame:
+    """name, is_folder, files of what lies directly in a folder."""
+    head = folder.strip("/") + "/" if folder.strip("/") else ""
+    rest = F.substring("path", F.lit(len(head) + 1), F.length("path"))
+    f = g.files.filter(F.startswith("path", F.lit(head))).select(F.split(rest, "/").alias("parts"))
+    return f.groupBy(F.col("parts")[0].alias("name"), (F.size("parts") > 1).alias("is_folder")).agg(F.count("*").alias("files"))
+
+
+def on_its_line(g: CodeGraph, refs: DataFrame) -> DataFrame:
+    """The references (file_id, line, target_name, ...) whose line in the present text holds the last part of their name. Each text is split once and asked for the lines of its references."""
+    asked = refs.filter("line is not null").groupBy("file_id").agg(F.collect_set(F.col("line")).alias("wanted"))
+    lines = F.split("content", "\n")
+    shown = g.read("source_files").select("file_id", lines.alias("lines")).join(asked, "file_id").select("file_id", F.explode("wanted").alias("line"), "lines").select("file_id", "line", F.get("lines", F.col("line")).alias("text"))
+    return refs.join(shown, ["file_id", "line"]).filter(F.contains("text", F.substring_index("target_name", ".", -1))).drop("text")

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+import re
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.batches import map_columns
 from skein.functions.scalars import cosine, escape, in_scope, l2_distance, match_words
 from skein.operators.graphmodel import CodeGraph
+from skein.plans.session import cut_lineage
 
 #: The ranking function's usual parameters and the fusion constant.
 K1, B = 1.2, 0.75
@@ -21,33 +26,110 @@ def words(*cols: str) -> Column:
     return F.filter(F.split(F.lower(F.concat_ws(" ", *cols)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
 
 
-def bm25(docs: DataFrame, terms: list[str], prefix: bool = False) -> DataFrame:
-    """id, score of the documents (id, words) that hold all terms. Lengths and document counts come from all documents in one pass that keeps no text."""
-    terms = [t.lower() for t in terms]
-    hit = lambda t: F.size(F.filter("words", lambda w: F.startswith(w, F.lit(t)) if prefix else w == t))
-    counted = docs.select("id", F.size("words").alias("len"), *[hit(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+def parse_query(query: str) -> list[tuple[str, tuple[str, ...], bool]]:
+    """The terms of a query, all of which must be met: (column or "", words in a row, whether the last is a prefix). Quotes make a phrase, ``column:`` asks one column only, ``*`` a prefix."""
+    out = []
+    for m in re.finditer(r'(?:(\w+):)?(?:"([^"]*)"|(\S+))', query):
+        said = m[2] if m[2] is not None else m[3]
+        parts = tuple(w for w in re.split(r"[\W_]+", said.lower()) if w)
+        if parts:
+            out.append((m[1] or "", parts, m[2] is None and said.endswith("*")))
+    return out
+
+
+def _times(words_: Column, parts: tuple[str, ...], prefix: bool) -> Column:
+    """How often words stand in a row."""
+    fits = lambda w, t, last: F.startswith(w, F.lit(t)) if prefix and last else w == t
+    if len(parts) == 1:
+        return F.size(F.filter(words_, lambda w: fits(w, parts[0], True)))
+    every = lambda i: reduce(lambda a, b: a & b, [fits(F.get(words_, i + k), t, k == len(parts) - 1) for k, t in enumerate(parts)])
+    starts = F.sequence(F.lit(0), F.size(words_) - len(parts))
+    return F.when(F.size(words_) >= len(parts), F.size(F.filter(starts, lambda i: F.coalesce(every(i), F.lit(False))))).otherwise(0)
+
+
+def bm25(docs: DataFrame, terms: list, prefix: bool = False) -> DataFrame:
+    """id, score of the documents (id, words, and words of single columns under their names) that hold all terms (words, or terms of ``parse_query``). Lengths and document counts come from all documents in one pass that keeps no text."""
+    terms = [t if isinstance(t, tuple) else ("", (t.lower(),), prefix) for t in terms]
+    hits = [_times(F.col(c or "words"), parts, p).alias(f"tf{i}") for i, (c, parts, p) in enumerate(terms)]
+    counted = docs.select("id", F.size("words").alias("len"), *hits)
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
-        df = stats[f"df{i}"] or 0
-        idf = max(1e-6, math.log((stats["n"] - df + 0.5) / (df + 0.5))) if stats["n"] else 1e-6
-        tf = F.col(f"tf{i}").cast("double")
-        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(stats["mean"] or 1.0)))
-    every = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
-    keep = every[0] if every else F.lit(False)
-    for e in every[1:]:
-        keep = keep & e
+        score = score + _weight(F.col(f"tf{i}"), F.col("len"), stats[f"df{i}"] or 0, stats["n"], stats["mean"])
+    keep = reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(terms))], F.lit(bool(terms)))
     return counted.filter(keep).select("id", F.round(score, 6).alias("score"))
 
 
+def _weight(tf: Column, length: Column, df: int, n: int, mean: float | None) -> Column:
+    idf = max(1e-6, math.log((n - df + 0.5) / (df + 0.5))) if n else 1e-6
+    tf = tf.cast("double")
+    return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
+
+
+# -- indexes: rows by word or by three letters, so that a search reads a few of them -------
+def postings(docs: DataFrame) -> DataFrame:
+    """word, id, tf, len of documents (id, words), for writing in partitions or buckets of words."""
+    return docs.select("id", F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("word", "id").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"))
+
+
+def renew(index: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
+    """An index (postings or grams, by id) after the documents ``changed`` (id) went or came anew: their old rows out, the fresh ones in."""
+    return index.join(changed, "id", "left_anti").unionByName(fresh)
+
+
+def bm25_index(index: DataFrame, terms: list[str]) -> DataFrame:
+    """The same as ``bm25`` over whole words, from postings: only the rows of the asked words are read for scores."""
+    terms = sorted({t.lower() for t in terms})
+    size = index.groupBy("id").agg(F.first("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    asked = index.filter(F.col("word").isin(*terms))
+    df = {r[0]: r[1] for r in asked.groupBy("word").agg(F.count("*")).collect()}
+    weight = reduce(lambda c, t: c.when(F.col("word") == t, _weight(F.col("tf"), F.col("len"), df.get(t, 0), size["n"], size["mean"])), terms, F.when(F.lit(False), F.lit(0.0)))
+    both = asked.groupBy("id").agg(F.sum(weight).alias("score"), F.count("*").alias("k"))
+    return both.filter(F.col("k") == len(terms)).select("id", F.round("score", 6).alias("score"))
+
+
+def grams(texts: DataFrame) -> DataFrame:
+    """gram, id: the three-letter groups of texts (id, text), lower case, each once a text; a text is one row, so they are made without moving it."""
+
+    def run(cols):
+        out: dict[str, list] = {"gram": [], "id": []}
+        for i, t in zip(cols["id"], cols["text"]):
+            t = (t or "").lower()
+            found = {t[k : k + 3] for k in range(len(t) - 2)}
+            out["gram"] += found
+            out["id"] += [i] * len(found)
+        return out
+
+    return map_columns(texts.select("id", "text"), run, "gram string, id long")
+
+
+def holding(index: DataFrame, term: str) -> DataFrame:
+    """id of the texts that hold all groups of a term: those that may hold the term itself."""
+    t = term.lower()
+    wanted = sorted({t[k : k + 3] for k in range(len(t) - 2)})
+    rows = index.filter(F.col("gram").isin(*wanted)).groupBy("id").agg(F.count("*").alias("k"))
+    return rows.filter(F.col("k") == len(wanted)).select("id")
+
+
+def search_indexed(g: CodeGraph, index: DataFrame, query: str, **scope) -> DataFrame:
+    """``search_content`` of the texts that the index (gram, id) lets through: those that hold all groups of a word are read, all others are not."""
+    terms = [t.replace('""', '"') for t in match_words(query)]
+    ids = reduce(DataFrame.unionByName, [holding(index, t) for t in terms if len(t) > 2]).distinct().withColumnRenamed("id", "file_id") if terms else None
+    return search_content(g, query, ids, **scope)
+
+
 def search_symbols(g: CodeGraph, query: str, limit: int = 500) -> DataFrame:
-    """Symbols by BM25 over name, qualified name, signature and documentation; if none fits, by LIKE. ``*`` after the query asks for prefixes. ``limit`` is the list's length."""
-    prefix = query.endswith("*")
-    terms = [t for t in query.rstrip("*").split() if t]
-    docs = g.symbols.select("id", words("name", "qualified_name", "signature", "doc_comment").alias("words"))
-    found = bm25(docs, terms, prefix).join(g.symbols.select("id", "name", "qualified_name", "kind"), "id")
-    out = found.orderBy(F.desc("score"), "id").limit(limit)
-    return out if terms and out.limit(1).count() else like_symbols(g, query).limit(limit)
+    """Symbols by BM25 over name, qualified name, signature and documentation; if none fits, by LIKE. See ``parse_query`` for what a query can say. ``limit`` is the list's length."""
+    terms = parse_query(query)
+    cols = ("name", "qualified_name", "signature", "doc_comment")
+    if any(c and c not in cols for c, _, _ in terms) or not terms:
+        return like_symbols(g, query).limit(limit)
+    docs = g.symbols.select("id", words(*cols).alias("words"), *[words(c).alias(c) for c in {c for c, _, _ in terms} if c])
+    # the ranking is a list of bounded length, kept while it is asked whether it is empty
+    top = cut_lineage(bm25(docs, terms).orderBy(F.desc("score"), "id").limit(limit))
+    if top.isEmpty():
+        return like_symbols(g, query).limit(limit)
+    return top.join(g.symbols.select("id", "name", "qualified_name", "kind"), "id")
 
 
 def like_symbols(g: CodeGraph, query: str) -> DataFrame:
@@ -57,14 +139,15 @@ def like_symbols(g: CodeGraph, query: str) -> DataFrame:
     return g.symbols.filter(hit).select("id", F.lit(0.0).alias("score"), "name", "qualified_name", "kind")
 
 
-def search_content(g: CodeGraph, query: str, **scope) -> DataFrame:
-    """file_id, path, hits of the files in scope whose content holds any word of the query (of three bytes or more), whatever the case."""
+def search_content(g: CodeGraph, query: str, only: DataFrame | None = None, **scope) -> DataFrame:
+    """file_id, path, hits of the files in scope (of ``only``, by file_id) whose content holds any word of the query (of three bytes or more), whatever the case."""
     terms = [t.replace('""', '"').lower() for t in match_words(query)]
     f = g.files.filter(in_scope("path", "language", **scope)).select(F.col("id").alias("file_id"), "path")
     body = F.lower("content")
     count = lambda t: ((F.length(body) - F.length(F.replace(body, F.lit(t), F.lit("")))) / len(t)).cast("int")
     hits = sum((count(t) for t in terms), F.lit(0))
-    s = g.read("source_files").select("file_id", "content").filter(F.coalesce(F.greatest(*[F.contains(body, F.lit(t)) for t in terms], F.lit(False)), F.lit(False)))
+    texts = g.read("source_files").select("file_id", "content")
+    s = (texts if only is None else texts.join(only, "file_id", "left_semi")).filter(F.coalesce(F.greatest(*[F.contains(body, F.lit(t)) for t in terms], F.lit(False)), F.lit(False)))
     return s.select("file_id", hits.alias("hits")).join(f, "file_id")
 
 
@@ -167,6 +250,20 @@ def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[fl
     return fuse(t, v, limit)
 
 
+def hybrid_chunks(g: CodeGraph, vectors: DataFrame, query: str, near: list[float], limit: int = 20, **scope) -> DataFrame:
+    """chunk_id, file_id, score, text_rank, vector_rank of code chunks: each inherits the rank of its file among those that hold the words, vectors (vec_id a chunk's id) rank chunks themselves, and reciprocal ranks add up. Both lists, and then the fused one, are cut at twice the limit (at least 20) before the scope and the limit apply."""
+    fetch = max(2 * limit, 20)
+    top = search_content(g, query).orderBy(F.desc("hits"), "path").limit(fetch)
+    files = top.select("file_id", F.row_number().over(Window.orderBy(F.desc("hits"), "path")).alias("text_rank"))
+    v = knn(vectors, near, fetch).select(F.col("vec_id").alias("chunk_id"), F.row_number().over(Window.orderBy("distance", "vec_id")).alias("vector_rank"))
+    chunks = g.read("code_chunks").select(F.col("id").alias("chunk_id"), "file_id")
+    either = chunks.join(F.broadcast(files), "file_id", "left").join(F.broadcast(v), "chunk_id", "left").filter("text_rank is not null or vector_rank is not null")
+    part = lambda c: F.coalesce(1.0 / (RRF + F.col(c)), F.lit(0.0))
+    best = either.withColumn("score", F.round(part("text_rank") + part("vector_rank"), 9)).orderBy(F.desc("score"), "chunk_id").limit(fetch)
+    kept = g.files.filter(in_scope("path", "language", **scope)).select(F.col("id").alias("file_id"))
+    return best.join(kept, "file_id", "left_semi").orderBy(F.desc("score"), "chunk_id").limit(limit).select("chunk_id", "file_id", "score", "text_rank", "vector_rank")
+
+
 def semantic(vectors: DataFrame, query: list[float], limit: int = 20) -> DataFrame:
     near = knn(vectors, query, limit)
     rank = F.row_number().over(Window.orderBy("distance", "vec_id"))
@@ -197,15 +294,43 @@ def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.select("id", F.col("content").alias("text")).join(vectors.select(F.col("vec_id").alias("id")), "id", "left_anti")
 
 
-def pack_vector(column: str = "embedding"):
-    """Little-endian bytes of float vectors and back, a column function each; bytes that are no whole numbers of floats make an empty vector."""
-    import struct
+def pack_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """Little-endian bytes of float vectors in place of the column."""
+
+    def run(batches):
+        for batch in batches:
+            k = batch.schema.get_field_index(column)
+            packed = [None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in batch.column(k).to_pylist()]
+            yield batch.set_column(k, column, pa.array(packed, pa.binary()))
+
+    return vectors.mapInArrow(run, _retyped(vectors, column, "binary"))
+
+
+def unpack_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """Float vectors of little-endian bytes; bytes that are no whole numbers of floats make an empty vector."""
+
+    def run(batches):
+        for batch in batches:
+            k = batch.schema.get_field_index(column)
+            plain = [None if b is None else np.frombuffer(b, dtype="<f4") if len(b) % 4 == 0 else [] for b in batch.column(k).to_pylist()]
+            yield batch.set_column(k, column, pa.array(plain, pa.list_(pa.float32())))
+
+    return vectors.mapInArrow(run, _retyped(vectors, column, "array<float>"))
 
-    from pyspark.sql.functions import udf
 
-    pack = udf(lambda v: None if v is None else struct.pack(f"<{len(v)}f", *v), "binary", useArrow=True)
-    unpack = udf(lambda b: None if b is None else list(struct.unpack(f"<{len(b) // 4}f", b)) if len(b) % 4 == 0 else [], "array<float>", useArrow=True)
-    return pack, unpack
+def _retyped(df: DataFrame, column: str, kind: str) -> str:
+    return ", ".join(f"`{f.name}` {kind if f.name == column else f.dataType.simpleString()}" for f in df.schema)
+
+
+def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Vectors (vec_id, embedding) with the new ones in place of or beside the old."""
+    return old.join(new.select("vec_id").distinct(), "vec_id", "left_anti").unionByName(new.dropDuplicates(["vec_id"]))
+
+
+def drop_vectors(vectors: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Vectors without those of the chunks (id, file_id) of some files (file_id)."""
+    gone = chunks.join(files, "file_id", "left_semi").select(F.col("id").alias("vec_id"))
+    return vectors.join(gone, "vec_id", "left_anti")
 
 
 # -- history --------------------------------------------------------------------------
@@ -214,6 +339,16 @@ def history(log: DataFrame) -> DataFrame:
     return log.groupBy("query", "query_type").agg(F.count("*").alias("use_count"), F.max("at").alias("last_used_at"), F.max("saved").alias("is_saved"))
 
 
+def toggle_saved(entries: DataFrame, query: str, query_type: str) -> DataFrame:
+    """The entries with one of them saved, or no longer saved."""
+    this = (F.col("query") == query) & (F.col("query_type") == query_type)
+    return entries.withColumn("is_saved", F.when(this, ~F.col("is_saved")).otherwise(F.col("is_saved")))
+
+
+def saved_history(entries: DataFrame) -> DataFrame:
+    return entries.filter("is_saved")
+
+
 def prune_history(entries: DataFrame, keep: int) -> DataFrame:
     """The saved entries and the ``keep`` latest others."""
     others = entries.filter(~F.col("is_saved")).orderBy(F.desc("last_used_at"), "query", "query_type").limit(keep)

@@ -19,6 +19,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="skein-"))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
+        # files of checkpoints that nothing refers to any more are removed
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return named
 
 

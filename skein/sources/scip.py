@@ -48,7 +48,21 @@ def _numbers(v) -> list[int]:
     return out
 
 
-def occurrences_of(index: bytes):
+def document_path(path: str, roots: tuple[str, ...] = ()) -> str:
+    """The path of a document as files have it: no scheme, forward slashes, relative to the first root that it lies under."""
+    p = path.removeprefix("file:///").replace("\\", "/")
+    for root in roots:
+        r = root.removeprefix("file:///").replace("\\", "/").rstrip("/") + "/"
+        if len(r) > 1 and p.startswith(r):
+            p = p[len(r) :]
+            break
+    short = p.lstrip("/")
+    while short.startswith("./"):
+        short = short[2:]
+    return short or p.lstrip("/")
+
+
+def occurrences_of(index: bytes, roots: tuple[str, ...] = ()):
     """(path, line, symbol, definition) of an index: documents are field 2, their path 1 and occurrences 2; of these the range is 1, the symbol 2, the roles 3."""
     for n, doc in fields(index):
         if n != 2:
@@ -69,16 +83,16 @@ def occurrences_of(index: bytes):
                 elif k == 3:
                     roles = v
             if span and symbol and not symbol.startswith("local "):
-                yield path.replace("\\", "/").lstrip("./"), span[0], symbol, bool(roles & 1)
+                yield document_path(path, roots), span[0], symbol, bool(roles & 1)
 
 
-def read_scip(spark: SparkSession, path: str) -> DataFrame:
-    """path, line, symbol, definition of all index files under a path."""
+def read_scip(spark: SparkSession, path: str, roots: tuple[str, ...] = ()) -> DataFrame:
+    """path (below the first of ``roots`` that holds it), line, symbol, definition of all index files under a path."""
 
     def run(cols):
         out: dict[str, list] = {k: [] for k in ("path", "line", "symbol", "definition")}
         for b in cols["content"]:
-            for row in occurrences_of(b):
+            for row in occurrences_of(b, roots):
                 for k, v in zip(out, row):
                     out[k].append(v)
         return out

@@ -9,8 +9,19 @@ from pyspark.sql import functions as F
 EXTENSIONS = {"py": "python", "pyi": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "cs": "csharp", "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "kt": "kotlin", "swift": "swift", "scala": "scala", "dart": "dart", "ex": "elixir", "exs": "elixir", "sh": "bash", "lua": "lua", "r": "r", "hs": "haskell", "proto": "protobuf", "graphql": "graphql", "gql": "graphql", "html": "html", "css": "css", "scss": "scss", "json": "json", "yml": "yaml", "yaml": "yaml", "xml": "xml", "sql": "sql", "md": "markdown", "toml": "toml"}
 #: File names that tell the language by themselves.
 NAMES = {"Dockerfile": "dockerfile", "Makefile": "makefile", "Rakefile": "ruby", "Gemfile": "ruby", "CMakeLists.txt": "cmake"}
-#: Folders that hold no sources of a project.
-EXCLUDED = (".git", ".hg", ".svn", ".idea", ".vscode", "node_modules", "bower_components", "vendor", "target", "bin", "obj", "dist", "build", "out", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", "coverage", ".next", ".nuxt", ".gradle")
+#: Folders that hold no sources of a project, those of every project first, then those that a language adds.
+EXCLUDED = (
+    ".git", ".hg", ".svn", ".idea", ".vscode", ".DS_Store", "__MACOSX", "node_modules", ".cache", ".tmp", "tmp", "temp",
+    "build", "cmake-build-debug", "cmake-build-release", ".cmake",
+    "bin", "obj", "publish", "artifacts", "packages", ".vs", "TestResults",
+    "vendor", "target", ".gradle", "out",
+    ".next", ".nuxt", ".output", ".svelte-kit", "dist", ".turbo",
+    "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".eggs",
+    ".bundle", "log", ".build", "DerivedData",
+    "bower_components", "coverage",
+)
+#: Endings by which a text search tells languages; anything else is unknown.
+GREP_TAGS = {"cs": "csharp", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "py": "python", "rs": "rust", "java": "java", "go": "go", "rb": "ruby", "php": "php", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c": "c", "h": "c", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "html": "html", "htm": "html", "css": "css", "json": "json", "sh": "bash", "bash": "bash", "yml": "yaml", "yaml": "yaml", "lua": "lua", "r": "r", "R": "r", "dart": "dart", "scala": "scala", "sc": "scala", "hs": "haskell", "ex": "elixir", "exs": "elixir", "md": "markdown", "markdown": "markdown", "xml": "xml", "proto": "protobuf"}
 
 
 def _lookup(key: Column, values: dict[str, str]) -> Column:
@@ -25,6 +36,12 @@ def language_of(path: Column | str) -> Column:
     return F.coalesce(_lookup(name, NAMES), _lookup(F.coalesce(ending, F.lit("")), EXTENSIONS))
 
 
+def grep_tag(path: Column | str) -> Column:
+    """The language by which a text search files a path: by what follows its last dot, ``unknown`` without a match."""
+    c = F.col(path) if isinstance(path, str) else path
+    return F.coalesce(_lookup(F.element_at(F.split(c, r"\."), -1), GREP_TAGS), F.lit("unknown"))
+
+
 def kept(path: Column | str) -> Column:
     """Whether a path lies in no excluded or hidden folder."""
     c = F.col(path) if isinstance(path, str) else path

@@ -163,8 +163,13 @@ def test_connectors():
     assert ("produce", "orders", "kafka") in f("java", 'kafkaTemplate.send("orders", x)') and ("consume", "orders", "kafka") in f("java", '@KafkaListener(topics = "orders")')
     assert ("inject", "IRepo", "Repo") in f("csharp", "services.AddScoped<IRepo, Repo>();")
     assert ("tauri_command", "greet", None) in f("rust", "#[tauri::command]\nfn greet() {}") and f("rust", "fn other() {}") == set()
-    assert ("field", "user", None) in f("graphql", "type Query {\n  user(id: ID): User\n}\ntype User {\n  name: String\n}") and len(f("graphql", "type User {\n  name: String\n}")) == 0
+    assert ("field", "user", "query") in f("graphql", "type Query {\n  user(id: ID): User\n}\ntype User {\n  name: String\n}") and len(f("graphql", "type User {\n  name: String\n}")) == 0
     assert ("ipc_main", "open", None) in f("javascript", "ipcMain.handle('open', f)")
+    assert {("ipc_main", "a", None), ("ipc_main", "b", None)} <= f("javascript", "ipcMain.handle('a', f);ipcMain.on('b', g)")  # every hit of a line
+    assert ("route", "GET", "/v1/items") in f("python", "r = APIRouter()\napp.include_router(r, tags=['x'], prefix='/v1')\n@r.get('/items')")
+    assert ("client_call", "PUT", "api/x/{id}") in f("csharp", 'const string ApiUrl = "api";\nawait _c.PutAsync($"{ApiUrl}/x/{id}", b);')
+    long = [n for k, n, *_ in connectors.facts_of("typescript", "a.ts", "x\n" * 5000 + "fetch('/z')") if k == "call"]
+    assert long == [5001]
 
 
 def test_route_matching(spark):
@@ -175,19 +180,45 @@ def test_route_matching(spark):
 
 def test_extraction():
     py = extract.extract("python", "import os\nclass Dog(Animal):\n    def __init__(self):\n        pass\n    def bark(self):\n        return make(1)\n\ndef free():\n    x = '''\nclass No:\n'''\n")
+    assert [(s.name, s.line) for s in py if s.kind == "import"] == [("os", 0)]
+    py = [s for s in py if s.kind != "import"]
     assert [(s.qualified_name, s.kind, s.line) for s in py] == [("Dog", "class", 1), ("Dog.__init__", "constructor", 2), ("Dog.bark", "method", 4), ("free", "function", 7)]
     assert ("Animal", "inherits", 1) in py[0].refs and ("make", "calls", 5) in py[2].refs and py[2].end_line == 5
     cs = extract.extract("csharp", "namespace N;\npublic class A : B\n{\n    public int Count { get; set; }\n    public int Go(int x)\n    {\n        return new Thing();\n    }\n}\n")
     assert {(s.qualified_name, s.kind) for s in cs} >= {("N.A", "class"), ("N.A.Count", "property"), ("N.A.Go", "method")}
     go = extract.extract("go", "package p\ntype S struct {\n\tN int\n}\nfunc (s *S) Run() {\n\tcall(1)\n}\n")
-    assert [(s.qualified_name, s.kind) for s in go] == [("p.S", "struct"), ("p.S.Run", "method")]
+    assert [(s.qualified_name, s.kind) for s in go] == [("p.S", "struct"), ("p.S.N", "field"), ("p.S.Run", "method")]
     ts = extract.extract("typescript", "export class U {\n  constructor(a: number) {\n  }\n  get(id: string): User {\n  }\n}\nexport const f = (a) => 1;\n")
     assert {(s.name, s.kind) for s in ts} == {("U", "class"), ("constructor", "constructor"), ("get", "method"), ("f", "function")}
     for language, text, name in (("php", "class K {\n  public function run() {\n  }\n}", "K.run"), ("kotlin", "class K {\n  fun run() {\n  }\n}", "K.run"), ("swift", "struct K {\n  func run() {\n  }\n}", "K.run"), ("scala", "object K {\n  def run = 1\n}", "K.run"), ("elixir", "defmodule K do\n  def run do\n  end\nend", "K.run"), ("bash", "run() {\n  ls\n}", "run"), ("dart", "class K {\n  void run() {\n  }\n}", "K.run"), ("cpp", "class K {\n};\nint run() {\n}\n", "run"), ("ruby", "class K\n  def run\n  end\nend", "K.run"), ("rust", "struct K;\nimpl K {\n    pub fn run(&self) {\n    }\n}", "K.run"), ("java", "package q;\nclass K {\n  void run() {\n  }\n}", "q.K.run")):
         assert name in {s.qualified_name for s in extract.extract(language, text)}, language
     assert extract.imports_of("python", "from a.b import c, d\nimport e.f") == [("c", "a.b", 0), ("d", "a.b", 0), ("f", "e.f", 1)]
     assert extract.imports_of("typescript", "import { U } from './u'") == [("U", "./u", 0)]
-    assert extract.extract("cobol", "x") == []
+    assert extract.extract("json", '{"class": 1}') == [] and [(s.name, s.kind) for s in extract.extract("cobol", "class K\nfunction f")] == [("K", "class"), ("f", "function")]
+
+
+def test_members_and_whole_signatures():
+    got = lambda language, text: {(s.qualified_name, s.kind) for s in extract.extract(language, text)}
+    assert {("q.K.size", "field"), ("q.K.NAMES", "field"), ("q.E.ONE", "enum_member"), ("q.E.TWO", "enum_member"), ("q", "namespace")} <= got("java", "package q;\nclass K {\n  private int size;\n  static final List<String> NAMES = of(1);\n}\nenum E {\n  ONE,\n  TWO(2);\n}\n")
+    assert {("K.name", "property"), ("K.x", "property"), ("limit", "variable")} <= got("python", "limit = 3\nclass K:\n    x: int\n    @property\n    def name(self):\n        return 1\n")
+    assert {("U.id", "property"), ("U.at", "property"), ("C.Red", "enum_member"), ("size", "variable")} <= got("typescript", "const size = 4;\ninterface U {\n  id: string;\n  at?: Date\n}\nenum C {\n  Red = 1,\n}\n")
+    assert {("K.total", "property")} <= got("kotlin", "class K {\n  val total = 1\n}") and {("K.total", "property")} <= got("swift", "struct K {\n  var total: Int\n}")
+    assert {("A.B", "enum_member"), ("MAX", "variable")} <= got("rust", "enum A {\n    B(u8),\n}\nconst MAX: u8 = 1;\n")
+    assert {("K.a", "property")} <= got("ruby", "class K\n  attr_reader :a\nend\n")
+    assert got("java", "class K {\n  void run() {\n    doIt(1);\n  }\n}") == {("K", "class"), ("K.run", "method")}  # a call is no declaration
+    long = "def f(" + ", ".join(f"argument{i}" for i in range(200)) + "):\n    pass\n"
+    assert extract.extract("python", long)[0].signature.endswith("argument199)")
+    assert [(x, m) for x, m, _ in extract.imports_of("rust", "use a::b::{C, D};\nuse x::Y;")] == [("C", "a.b"), ("D", "a.b"), ("Y", "x")]
+    assert extract.imports_of("csharp", "using A.B;\n")[0][:2] == ("A.B", "A.B") and extract.imports_of("java", "import a.b.C;")[0][:2] == ("C", "a.b")
+
+
+def test_chunks_are_split_at_blank_lines_and_between_characters():
+    assert extract.split_chunk("short\n\ntext", 5) == [(5, 7, "short\n\ntext")]
+    parts = extract.split_chunk("a" * 2000 + "\n\n" + "b" * 100, 10)
+    assert [(a, b, len(t)) for a, b, t in parts] == [(10, 10, 2000), (12, 12, 100)]
+    hard = extract.split_chunk("é" * 3000, 0)
+    assert [len(t) for _, _, t in hard] == [1024, 1024, 952] and "".join(t for _, _, t in hard) == "é" * 3000
+    assert extract.split_chunk(" " * 5000, 3) == [(3, 3, " " * 5000)]
 
 
 def test_chunks_cover_a_file(spark, tmp_path):
@@ -307,23 +338,28 @@ def test_mappings_stereotypes_and_handlers(spark, tmp_path):
     symbols = [sym(1, 1, "Order", "Order", "class", 50), sym(2, 2, "Pay", "Pay", "class", 1), sym(3, 1, "Get", "Get", "method", 4)]
     g = tables(spark, tmp_path, files=files, symbols=symbols, source_files=[(1, "p/a.cs", cs), (2, "p/b.java", java)])
     facts = connectors.scan(g)
-    assert [(r.symbol_id, r.table_name) for r in connectors.db_mappings(facts, g.symbols).collect()] == [(1, "Orders")]
+    assert [(r.symbol_id, r.table_name) for r in connectors.db_mappings(facts, g.symbols, g.files).collect()] == [(1, "Orders")]
     assert [(r.name, r.symbol_id) for r in connectors.stereotype_concepts(facts, g.symbols).collect()] == [("spring-service", 2)]
-    assert [(r.http_method, r.symbol_id) for r in connectors.routes_with_handlers(connectors.routes(facts), g.symbols).collect()] == [("GET", 3)]
-    pairs = spark.createDataFrame([(1, "produce", 3, "t", "kafka", None), (2, "consume", 4, "t", "kafka", None), (2, "consume", 5, "t", "nats", None)], "file_id long, kind string, line int, a string, b string, c string")
+    assert [(r.http_method, r.symbol_id) for r in connectors.routes_with_handlers(facts, g.symbols).collect()] == [("GET", 3)]
+    pairs = spark.createDataFrame([("p", 1, "produce", 3, "t", "kafka", None), ("p", 2, "consume", 4, "t", "kafka", None), ("p", 2, "consume", 5, "t", "nats", None), ("q", 3, "consume", 6, "t", "kafka", None)], "project string, file_id long, kind string, line int, a string, b string, c string")
     assert [(r.source_file_id, r.target_line, r.edge_type, r.confidence) for r in connectors.flow_facts(pairs).collect()] == [(1, 4, "message_queue", 0.85)]
 
 
 def test_resolution_ladder_takes_the_first_step(spark, tmp_path):
-    from skein.operators.resolve import resolve
+    from skein.operators.resolve import ladder, namespaces, resolve
 
     files = [(1, "p", "p/main.py", "h", "python", 0), (2, "p", "p/util/io.py", "h", "python", 0)]
-    symbols = [sym(1, 1, "run", "app.run", scope="app"), sym(2, 2, "read", "util.io.read"), sym(3, 2, "Box", "util.io.Box", "class"), sym(4, 2, "read", "other.read"), sym(5, 1, "near", "app.near", scope="app"), sym(6, 2, "Thing", "a.Thing", "function"), sym(7, 2, "Thing", "b.Thing", "class")]
+    symbols = [sym(9, 1, "app", "app", "namespace", 0), sym(1, 1, "run", "app.run", scope="app"), sym(2, 2, "read", "util.io.read"), sym(3, 2, "Box", "util.io.Box", "class"), sym(4, 2, "read", "other.read"), sym(5, 1, "near", "app.near", scope="app"), sym(6, 1, "Thing", "a.Thing", "function"), sym(7, 1, "Thing", "b.Thing", "class")]
+    symbols += [sym(20, 2, "deep", "util.io.Box.deep"), sym(21, 1, "deep", "zz.deep"), sym(22, 1, "sole", "zz.sole"), sym(23, 1, "twin", "zz.twin"), sym(24, 1, "twin", "yy.twin")]
     edges = [(1, 2, "imports", 0, 1.0)]
     g = tables(spark, tmp_path, files=files, symbols=symbols, edges=edges)
     refs = spark.createDataFrame([(1, n, k, 1) for n, k in (("read", "calls"), ("Box", "instantiates"), ("util.io.Box", "type_ref"), ("near", "calls"), ("Thing", "instantiates"), ("Nope", "calls"))], "source_id long, target_name string, kind string, file_id long")
     got = {r.target_name: (r.step, r.target_id) for r in resolve(g, refs).collect()}
     assert got == {"read": (1, 2), "Box": (2, 3), "util.io.Box": (3, 3), "near": (4, 5), "Thing": (6, 7)}
+    imports = spark.createDataFrame([(1, "sole", "lib/none", 1), (1, "twin", "lib/none", 2), (1, "x", "util.io", 3)], "file_id long, imported_name string, module_path string, line int")
+    refs = spark.createDataFrame([(1, n, "calls", 1) for n in ("sole", "twin", "deep")], "source_id long, target_name string, kind string, file_id long")
+    got = {r.target_name: (r.step, r.target_id, r.confidence) for r in ladder(refs, g.every_symbol, g.files, imports, namespaces(g.symbols)).collect()}
+    assert got == {"sole": (1, 22, 0.95), "twin": (6, 23, 0.50), "deep": (5, 20, 0.80)}  # the only one of its name; none; below the module
 
 
 def test_smart_context_stays_within_budget(spark, tmp_path):
@@ -334,10 +370,83 @@ def test_smart_context_stays_within_budget(spark, tmp_path):
 
 
 def test_vector_bytes(spark):
-    pack, unpack = search.pack_vector()
     df = spark.createDataFrame([([1.0, -2.5],), (None,)], "embedding array<float>")
-    assert [r[0] for r in df.select(unpack(pack("embedding"))).collect()] == [[1.0, -2.5], None]
-    assert spark.range(1).select(unpack(F.lit(bytearray(b"abc")))).first()[0] == []
+    assert [r[0] for r in search.unpack_vectors(search.pack_vectors(df)).collect()] == [[1.0, -2.5], None]
+    assert search.unpack_vectors(spark.createDataFrame([(bytearray(b"abc"),)], "embedding binary")).first()[0] == []
+
+
+def test_queries_can_name_phrases_columns_and_prefixes(spark, tmp_path):
+    assert search.parse_query('name:go "two words" pre* --') == [("name", ("go",), False), ("", ("two", "words"), False), ("", ("pre",), True)]
+    symbols = [sym(1, 1, "walk", "a.walk")[:11] + ("walks every open ledger", "public"), sym(2, 1, "open", "a.open")[:11] + ("every ledger is open", "public")]
+    g = tables(spark, tmp_path, files=[(1, "p", "p/a.cs", "h", "csharp", 0)], symbols=symbols)
+    ids = lambda q: {r.id for r in search.search_symbols(g, q).collect()}
+    assert ids("every ledger") == {1, 2} and ids('"every ledger"') == {2} and ids("name:open") == {2} and ids("ledg*") == {1, 2} and ids('"open ledg"') == set()
+
+
+def test_indexes_find_what_scans_find(spark, tmp_path):
+    texts = ["the ledger and the meter", "a ledger of ledgers", "nothing here", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", search.words("text").alias("words"))
+    index = search.postings(docs.filter(F.size("words") > 0))
+    for terms in (["ledger"], ["the", "ledger"], ["absent"]):
+        assert sorted(map(tuple, search.bm25_index(index, terms).collect())) == sorted(map(tuple, search.bm25(docs.filter(F.size("words") > 0), terms).collect()))
+    grams = search.grams(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    assert {r.id for r in search.holding(grams, "Ledgers").collect()} == {1}
+    fresh = search.grams(spark.createDataFrame([(2, "ledgers too")], "id long, text string"))
+    again = search.renew(grams, spark.createDataFrame([(2,)], "id long"), fresh)
+    assert {r.id for r in search.holding(again, "ledgers").collect()} == {1, 2} and again.filter("id = 2 and gram = 'not'").count() == 0
+
+
+def test_history_and_vectors(spark):
+    h = search.history(spark.createDataFrame([("a", "text", 1, False), ("a", "text", 3, False), ("b", "text", 2, True)], "query string, query_type string, at int, saved boolean"))
+    assert {r.query for r in search.saved_history(search.toggle_saved(h, "a", "text")).collect()} == {"a", "b"}
+    assert search.saved_history(search.toggle_saved(h, "b", "text")).count() == 0
+    v = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<float>")
+    up = search.upsert_vectors(v, spark.createDataFrame([(2, [9.0]), (3, [3.0])], "vec_id long, embedding array<float>"))
+    assert {(r.vec_id, r.embedding[0]) for r in up.collect()} == {(1, 1.0), (2, 9.0), (3, 3.0)}
+    left = search.drop_vectors(up, spark.createDataFrame([(2, 7)], "id long, file_id long"), spark.createDataFrame([(7,)], "file_id long"))
+    assert {r.vec_id for r in left.collect()} == {1, 3}
+
+
+def test_provenance_and_answers(spark, tmp_path):
+    g = chain(spark, tmp_path)
+    none = spark.createDataFrame([], "source_id long, target_id long, kind string, source_line int, source string")
+    low = g.edges.filter("confidence < 0.8")
+    assert [(r.source_id, r.target_id) for r in maintain.unconfirmed(g.edges, none, 9).collect()] == [(0, 3)]
+    assert maintain.unconfirmed(g.edges, maintain.record_provenance(none, low, "lsp"), 9).count() == 0
+    answers = spark.createDataFrame([(0, 4, 3), (1, 1, 2)], "source_id long, source_line int, target_id long")
+    sure = {(r.source_id, r.target_id): r.confidence for r in maintain.confirm(g.edges, low, answers).collect()}
+    assert sure[0, 3] == 1.0
+    lost = spark.createDataFrame([(1, 1, "X", "calls", None), (1, 1, "Y", "calls", 2)], "source_id long, file_id long, target_name string, kind string, line int")
+    hit, rest = maintain.settle(lost, spark.createDataFrame([(1, "X", None, 9)], "source_id long, target_name string, line int, target_id long"))
+    assert [(r.target_id, r.source_line) for r in hit.collect()] == [(9, None)] and [r.target_name for r in rest.collect()] == ["Y"]
+
+
+def test_browsing(spark, tmp_path):
+    g = tables(spark, tmp_path, files=[(1, "p", "p/a.cs", "h", "csharp", 0), (2, "p", "p/x/b.ts", "h", "typescript", 0), (3, "p", "p/x/y/c.ts", "h", "typescript", 0)], source_files=[(1, "p/a.cs", "one\r\ntwo Call()")])
+    assert {tuple(r) for r in navigation.browse(g, "p").collect()} == {("a.cs", False, 1), ("x", True, 2)}
+    assert [tuple(r) for r in navigation.file_content(g, "p/a.cs").orderBy("line").collect()] == [(1, "one"), (2, "two Call()")]
+    refs = spark.createDataFrame([(1, 1, "N.Call"), (1, 0, "Call"), (1, 99, "Call")], "file_id long, line int, target_name string")
+    assert [(r.line, r.target_name) for r in navigation.on_its_line(g, refs).collect()] == [(1, "N.Call")]
+    far = navigation.covering(spark.createDataFrame([(1, 2_000_000_000)], "file_id long, line int"), spark.createDataFrame([(1, 5, 0, 2_147_483_646)], "file_id long, id long, first int, last int"))
+    assert far.count() == 1  # whatever the length of a span
+
+
+def test_document_paths():
+    assert scip.document_path(".github/a.py") == ".github/a.py" and scip.document_path("./x/a.py") == "x/a.py"
+    assert scip.document_path("file:///home/u/p/src\\a.cs", ("/elsewhere", "file:///home/u/p")) == "src/a.cs"
+    assert scip.document_path("/abs/a.py") == "abs/a.py"
+
+
+def test_an_index_of_texts(spark):
+    from skein.operators.indexing import build_index
+
+    rows = [("p/a.py", "from p.b import helper\n\ndef run():\n    helper(1)\n    lost()\n"), ("p/b.py", "def helper(x):\n    return x\n"), ("p/node_modules/c.py", "def no(): pass\n"), ("p/notes.zzz", "x"), (None, "x"), ("p/empty.py", None)]
+    out = build_index(spark.createDataFrame(rows, "path string, content string"))
+    assert {r.path for r in out["files"].collect()} == {"p/a.py", "p/b.py", "p/empty.py"}
+    names = {r.id: r.name for r in out["symbols"].collect()}
+    assert [(names[r.source_id], names[r.target_id], r.kind, r.source_line, r.confidence) for r in out["edges"].collect()] == [("run", "helper", "calls", 3, 0.95)]
+    assert [r.target_name for r in out["unresolved"].collect()] == ["lost"]
+    assert {tuple(r)[1:] for r in out["imports"].collect()} == {("helper", "p.b", 0)}
 
 
 def test_percentiles_are_exact_for_a_hot_key(spark):

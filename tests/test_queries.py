@@ -1,4 +1,4 @@
-"""Every registered query against its SQL in DuckDB, on the smallest tables."""
+"""Every registered query of the core against its SQL in DuckDB, on the smallest tables."""
 
 import datetime
 import glob
@@ -8,9 +8,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from skein import queries as core
+from skein.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = sorted(k for k in entry.queries() if k in entry.queries())
+NAMES = sorted(core.QUERIES | registry.QUERIES)
+#: Queries that SQL does not say, and that find nothing in tables as small as these.
+MAY_BE_EMPTY = {"cnx_flows", "nav_completion"}
 
 
 def plain(v):
@@ -32,9 +36,8 @@ def duck():
     return con
 
 
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
-@pytest.mark.parametrize("name", NAMES)
-def test_query(spark, duck, name):
+def check(spark, duck, name):
+    """The query's rows are those of its SQL; without SQL there are some."""
     df = entry.queries()[name](spark, FOLDER)
     cols = sorted(df.columns)
     rows = sorted(tuple(plain(v) for v in r) for r in df.select(*cols).collect())
@@ -45,6 +48,14 @@ def test_query(spark, duck, name):
         assert sorted(names) == cols
         at = [names.index(c) for c in cols]
         assert rows == sorted(tuple(plain(r[i]) for i in at) for r in got.fetchall())
+    else:
+        assert rows or name in MAY_BE_EMPTY
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+@pytest.mark.parametrize("name", NAMES)
+def test_query(spark, duck, name):
+    check(spark, duck, name)
 
 
 def test_every_sql_has_a_query():
