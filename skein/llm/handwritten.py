@@ -3,8 +3,8 @@
 ``classify_files`` reads every text once and keeps a few small facts of it: what its
 leading comment says, how it is laid out, and a fingerprint of its code. Merkle hashes
 are then built bottom-up over the directory trees of all projects: the hash of a
-directory is a commutative, pre-aggregable combination of its entries' hashes, so that
-no directory, however large, is ever gathered in one place. A subtree whose hash stands
+directory is a commutative combination of its entries' hashes that adds up in parts, so
+that no directory, however large, is ever gathered in one place. A subtree whose hash stands
 in several projects is a copy from a common origin; everything below it is vendored.
 
 Results for odd input: a null content is an empty file; empty files and files with less
@@ -18,10 +18,12 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.batches import map_columns
+from skein.operators.offsets import partitions_for
 from skein.plans.session import cut_lineage
 
 MIN_CODE = 120  # characters of code below which a fingerprint proves nothing
@@ -159,33 +161,126 @@ def file_facts(files: DataFrame, sources: DataFrame) -> DataFrame:
     return map_columns(read, _facts, "file_id long, project string, path string, alone string, print string")
 
 
-def merkle_nodes(facts_: DataFrame, depth: int) -> DataFrame:
-    """The nodes of all trees, files and directories: project, node (path), h1, h2 (hash), n (files below), told (files below with a fingerprint)."""
-    blank = F.sha2(F.lit(""), 256)
-    level = facts_.filter("path is not null and project is not null").select("project", F.col("path").alias("node"), F.size(F.split("path", "/")).alias("depth"), F.coalesce("print", blank).alias("h"), F.lit(1).cast("long").alias("n"), F.col("print").isNotNull().cast("long").alias("told"))
-    files = level.select("project", "node", "depth", F.xxhash64("h").alias("h1"), F.xxhash64(F.lit(7), "h").alias("h2"), "n", "told")
-    out, below = files, None
-    for d in range(depth, 1, -1):
-        at = files.filter(F.col("depth") == d)
-        at = at if below is None else at.unionByName(below)
-        parent = F.regexp_replace("node", "/[^/]*$", "")
-        # sums of well-mixed 48-bit values do not depend on order and merge in parts
-        mixed = lambda c, s: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(s), "h1", "h2", "n"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
-        below = at.groupBy("project", parent.alias("node")).agg(F.sum(mixed("h1", "a")).alias("s1"), F.sum(mixed("h2", "b")).alias("s2"), F.sum("n").alias("n"), F.sum("told").alias("told"))
-        below = below.select("project", "node", F.lit(d - 1).alias("depth"), F.xxhash64(F.lit(1), "s1", "n").alias("h1"), F.xxhash64(F.lit(2), "s2", "n").alias("h2"), "n", "told")
-        out = out.unionByName(below)
-    return out
+# -- trees ---------------------------------------------------------------------------
+_SUM = 1 << 128
+_NODES = "project string, node string, depth int, hash string, n long, told long, whole boolean"
+_NODE_TYPES = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+
+
+def _digest(kind: bytes, *parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\0".join([kind, *parts]), digest_size=16).digest(), "big")
+
+
+def _folder_hash(total: int, n: int) -> int:
+    """The hash of a folder: of the sum of its entries' hashes, which are well mixed, so that the sum stands for the set in any order and in parts."""
+    return _digest(b"folder", total.to_bytes(16, "big"), str(n).encode())
+
+
+class _Walk:
+    """Paths in order, folders closed as soon as they are left. Folders on the way to the first or the last path of a partition may go on in another one and are given in part."""
+
+    def __init__(self):
+        self.open: list[list] = []  # [name, sum, n, told, may have begun before]
+        self.project: str | None = None
+        self.first: list[str] | None = None
+        self.out: list[tuple] = []
+
+    def add(self, project: str, path: str, print_: str | None) -> None:
+        parts = path.split("/")
+        fresh = self.first is None
+        if project != self.project:
+            self.close(0, False)
+            self.project = project
+        k = 0
+        while k < len(self.open) and k < len(parts) - 1 and self.open[k][0] == parts[k]:
+            k += 1
+        self.close(k, False)
+        if fresh:
+            self.first = parts
+        for name in parts[k:-1]:
+            self.open.append([name, 0, 0, 0, fresh])
+        h = _digest(b"file", (print_ or "").encode())
+        told = int(print_ is not None)
+        self.out.append((project, path, len(parts), f"{h:032x}", 1, told, True))
+        if self.open:
+            self.give(h, 1, told)
+
+    def give(self, h: int, n: int, told: int) -> None:
+        top = self.open[-1]
+        top[1], top[2], top[3] = (top[1] + h) % _SUM, top[2] + n, top[3] + told
+
+    def close(self, depth: int, last: bool) -> None:
+        """Closes the folders below a depth; at the end of a partition none of them is known to be whole."""
+        while len(self.open) > depth:
+            name, total, n, told, before = self.open[-1]
+            node = "/".join(x[0] for x in self.open)
+            at = len(self.open)
+            self.open.pop()
+            if before or last:
+                self.out.append((self.project, node, at, f"{total:032x}", n, told, False))
+            else:
+                h = _folder_hash(total, n)
+                self.out.append((self.project, node, at, f"{h:032x}", n, told, True))
+                if self.open:
+                    self.give(h, n, told)
+
+
+def _nodes(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), _NODE_TYPES)], names=[x.split()[0] for x in _NODES.split(", ")])
+
+
+def _walk(batches):
+    walk = _Walk()
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            walk.add(*row)
+        if walk.out:
+            yield _nodes(walk.out)
+            walk.out = []
+    walk.close(0, True)
+    if walk.out:
+        yield _nodes(walk.out)
+
+
+def _finish(batches):
+    """Puts the parts of folders together, deepest first: what each part holds beside the folders that are in parts themselves."""
+    parts: dict[tuple[str, str, int], list] = {}
+    for batch in batches:
+        for project, node, depth, total, n, told, _ in zip(*(c.to_pylist() for c in batch.columns)):
+            have = parts.setdefault((project, node, depth), [0, 0, 0])
+            have[0], have[1], have[2] = (have[0] + int(total, 16)) % _SUM, have[1] + n, have[2] + told
+    out = []
+    for project, node, depth in sorted(parts, key=lambda x: -x[2]):
+        total, n, told = parts[project, node, depth]
+        h = _folder_hash(total, n)
+        out.append((project, node, depth, f"{h:032x}", n, told, True))
+        up = parts.get((project, node.rpartition("/")[0], depth - 1))
+        if up is not None:
+            up[0], up[1], up[2] = (up[0] + h) % _SUM, up[1] + n, up[2] + told
+    if out:
+        yield _nodes(out)
+
+
+def merkle_nodes(facts_: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The nodes of all trees, files and folders: project, node (path), depth, hash, n (files below), told (files below with a fingerprint).
+
+    Paths are laid out in order, so that a folder is a run of them; one pass hashes each
+    folder when it is left, bottom-up. Folders that lie across partitions, at most two
+    for each level of each partition, are put together in one small task."""
+    paths = facts_.filter("path is not null and project is not null").select("project", "path", "print")
+    n = partitions or partitions_for(facts_.count(), int(facts_.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    walked = cut_lineage(paths.repartitionByRange(n, "project", "path").sortWithinPartitions("project", "path").mapInArrow(_walk, _NODES))
+    split = walked.filter("not whole").repartition(1).mapInArrow(_finish, _NODES)
+    return walked.filter("whole").unionByName(split).drop("whole")
 
 
 def classify_files(files: DataFrame, sources: DataFrame, shared_projects: int = SHARED_PROJECTS) -> DataFrame:
     """One row a file: file_id, project, path, class (generated, minified, data, vendored; null if hand-written), shared (projects that hold the largest shared subtree over it, or null)."""
     told = cut_lineage(file_facts(files, sources))
-    depth = told.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 1
-    nodes = merkle_nodes(told, depth)
     # a subtree must hold some recognisable code; whole projects are not each other's copies
-    nodes = nodes.filter((F.col("told") > 0) & (F.col("depth") > 1))
-    hashes = nodes.groupBy("h1", "h2", "n", "project").agg(F.count("*").alias("k")).groupBy("h1", "h2", "n").agg(F.count("*").alias("projects")).filter(F.col("projects") >= shared_projects)
-    shared = nodes.join(hashes, ["h1", "h2", "n"]).groupBy("project", "node").agg(F.max("projects").alias("projects"))
+    nodes = merkle_nodes(told).filter((F.col("told") > 0) & (F.col("depth") > 1))
+    hashes = nodes.groupBy("hash", "n", "project").agg(F.count("*").alias("k")).groupBy("hash", "n").agg(F.count("*").alias("projects")).filter(F.col("projects") >= shared_projects)
+    shared = nodes.join(hashes, ["hash", "n"]).groupBy("project", "node").agg(F.max("projects").alias("projects"))
     ups = told.select("file_id", "project", F.explode(F.expr("transform(sequence(2, greatest(2, size(split(path, '/')))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")).alias("node"))
     above = ups.join(shared, ["project", "node"]).groupBy("file_id").agg(F.max("projects").alias("shared"))
     kind = F.when(F.col("alone").isin("generated", "minified", "data"), F.col("alone")).when(F.col("shared").isNotNull() | F.col("alone").isNotNull(), F.lit("vendored"))

@@ -39,6 +39,7 @@ SEED = 17
 BLOCK = 16_384  # tokens of a block
 SHARD_BLOCKS = 64  # blocks of an output shard
 MOST_BLOCKS = 500_000_000  # blocks of a mix, at most
+FILLERS = 256  # texts of a source that are tried for the rest of its quota
 
 
 def quotas(available: dict[str, int], targets: list[tuple[str, float, int]], total: int | None = None) -> dict[str, int]:
@@ -104,18 +105,24 @@ def _positions():
     return run
 
 
-def _last_round(placed: DataFrame, rests: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
-    """Where the last, partial round of each source ends, and where the text stands behind it that fills the gap best (the longest that fits, the first of these)."""
+def _last_round(placed: DataFrame, rests: dict[str, int]) -> dict[str, dict[int, int]]:
+    """For the last, partial round of each source: where texts stand that fill what its whole texts leave of the quota, less than one text, and where they come to stand. The next ``FILLERS`` texts that could fit are tried in order."""
     some = {s: n for s, n in rests.items() if n}
     if not some:
-        return {}, {}
+        return {}
     rest = F.create_map(*[F.lit(x) for kv in some.items() for x in kv])[F.col("source")]
     rows = placed.withColumn("rest", rest).filter("rest is not null").withColumn("whole", F.col("at") + F.col("tokens") <= F.col("rest"))
     ends = {r[0]: r[1] for r in rows.filter("whole").groupBy("source").agg(F.max(F.col("at") + F.col("tokens"))).collect()}
     end = F.create_map(*[F.lit(x) for s in some for x in (s, ends.get(s, 0))])[F.col("source")]
-    fits = rows.filter(~F.col("whole")).withColumn("end", end).filter(F.col("tokens") <= F.col("rest") - F.col("end"))
-    best = fits.groupBy("source").agg(-F.max(F.struct("tokens", (-F.col("at")).alias("back")))["back"])
-    return {s: ends.get(s, 0) for s in some}, {r[0]: r[1] for r in best.collect()}
+    fits = rows.filter(~F.col("whole")).filter(F.col("tokens") <= F.col("rest") - end)
+    near = fits.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("at"))).filter(F.col("k") <= FILLERS)
+    out: dict[str, dict[int, int]] = {s: {} for s in some}
+    for s, at, n in sorted(tuple(r) for r in near.select("source", "at", "tokens").collect()):
+        used = ends.get(s, 0)
+        if used + n <= some[s]:
+            out[s][at] = used
+            ends[s] = used + n
+    return out
 
 
 _DRAWN = "shard int, source string, doc_id long, epoch int, block long, tokens long"
@@ -139,7 +146,7 @@ def draw_mix(documents: DataFrame, targets: DataFrame, total: int | None = None,
     placed = cut_lineage(map_columns(placed, _positions(), "source string, doc_id long, tokens long, at long"))
     everything = {s: n for s, (n, _) in have.items()}
     rests = {s: give.get(s, 0) % n for s, n in everything.items()}
-    ends, fill = _last_round(placed, rests)
+    fill = _last_round(placed, rests)
 
     def run(batches):
         tree = SplitTree(blocks, shards, seed)
@@ -152,8 +159,8 @@ def draw_mix(documents: DataFrame, targets: DataFrame, total: int | None = None,
                 uses = [e * a + x for e in range(q // a)]
                 if x + n <= rests[s]:
                     uses.append(q // a * a + x)
-                elif fill.get(s) == x:
-                    uses.append(q // a * a + ends[s])
+                elif x in fill.get(s, ()):
+                    uses.append(q // a * a + fill[s][x])
                 for e, at in enumerate(uses):
                     b = min(at // block, blocks[names[s]] - 1)
                     rows.append((tree.shard_of(names[s], b), s, d, e, b, n))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.llm.chunks import split_chunks, split_oversized
+from skein.llm.chunks import LIMIT, OVERLAP, TOKEN, split_chunks, split_oversized
 from skein.llm.docpairs import code_pairs, documented_functions
 from skein.llm.handwritten import classify_files
 from skein.llm.mixing import draw_mix, mix_report
-from skein.llm.packing import fill_containers, fill_report
+from skein.llm.packing import CAPACITY, fill_containers, fill_report
 from skein.llm.truncated import field_limits, find_truncated
 from skein.llm.validity import check_files, invalid_rates
 from skein.sources.tables import table
@@ -84,6 +84,31 @@ def p10_causes(spark, d):
     return find_truncated(table(spark, d, "documents")).filter("cut").groupBy("why").agg(F.count("*").alias("texts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_classes, p5_found, p5_rates, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_rates, p10_limits, p10_causes)}
+def p2_cover(spark, d):
+    """The characters that the pieces of each chunk cover, overlaps counted once, and whether all keep the limit."""
+    by = split_chunks(table(spark, d, "code_chunks")).groupBy("chunk_id").agg((F.sum(F.length("content")) - OVERLAP * TOKEN * (F.max("pieces") - 1)).alias("chars"), (F.max("tokens") <= LIMIT).alias("fits"))
+    return by
 
-SQL = {"p2_found": "SELECT id AS chunk_id FROM code_chunks WHERE length(content) > 2048"}
+
+def p8_cover(spark, d):
+    """The characters of each text that containers hold, and whether none is too full."""
+    c = fill_containers(table(spark, d, "documents"))
+    full = c.groupBy("container").agg(F.sum("tokens").alias("held"))
+    worst = full.agg(F.max("held")).first()[0] or 0
+    return c.groupBy("doc_id").agg(F.sum(F.col("end_char") - F.col("start_char")).cast("long").alias("chars"), F.lit(worst <= CAPACITY).alias("fits"))
+
+
+def p9_kept(spark, d):
+    """Of each wanted source, whether no text is used more often than it may."""
+    targets = table(spark, d, "mix_targets")
+    return mix_report(draw_mix(table(spark, d, "documents"), targets), targets).select("source", (F.col("most_uses") <= F.col("max_repeats")).alias("within"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p4_found, p4_classes, p5_found, p5_rates, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_rates, p10_limits, p10_causes, p2_cover, p8_cover, p9_kept)}
+
+SQL = {
+    "p2_found": "SELECT id AS chunk_id FROM code_chunks WHERE length(content) > 2048",
+    "p2_cover": "SELECT id AS chunk_id, length(content) AS chars, TRUE AS fits FROM code_chunks",
+    "p8_cover": "SELECT doc_id, length(text) AS chars, TRUE AS fits FROM documents WHERE text IS NOT NULL",
+    "p9_kept": "SELECT source, TRUE AS within FROM mix_targets",
+}

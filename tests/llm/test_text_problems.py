@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import chunks, docpairs, handwritten, mixing, packing, tokens, truncated
 
@@ -193,6 +194,21 @@ def test_minified():
     assert handwritten.facts("p/a.js", "p", "javascript", "function f() {\n  return 1;\n}\n// " + "long " * 200 + "\n")[0] is None
 
 
+def test_tree_hashes_do_not_depend_on_partitions(spark):
+    rnd = random.Random(3)
+    paths = sorted({"/".join(["p"] + [rnd.choice("abc-") for _ in range(rnd.randrange(1, 6))] + [f"f{rnd.randrange(6)}"]) for _ in range(200)})
+    rows = [(project, path, None if i % 7 == 0 else f"h{i % 11}") for project in ("p", "q") for i, path in enumerate(paths)]
+    df = spark.createDataFrame(rows, "project string, path string, print string")
+    whole = {(r.project, r.node): (r.depth, r.hash, r.n, r.told) for r in handwritten.merkle_nodes(df, 1).collect()}
+    for n in (2, 7, 60):
+        got = handwritten.merkle_nodes(df, n).collect()
+        assert len(got) == len(whole) and {(r.project, r.node): (r.depth, r.hash, r.n, r.told) for r in got} == whole
+    assert whole["p", "p"][2] == len(paths) and whole["p", "p"][1] == whole["q", "p"][1]
+    moved = df.withColumn("path", F.regexp_replace("path", "f(\\d)$", "g$1"))  # names do not count
+    assert {(r.node, r.hash) for r in handwritten.merkle_nodes(moved, 3).collect() if r.node == "p"} == {("p", whole["p", "p"][1])}
+    assert handwritten.merkle_nodes(df.limit(0)).count() == 0
+
+
 def test_shared_subtrees_are_vendored(spark):
     tiny = "x = 1\n"
     rows = []
