@@ -437,6 +437,22 @@ def test_document_paths():
     assert scip.document_path("/abs/a.py") == "abs/a.py"
 
 
+def test_texts_in_buckets_meet_their_files_without_a_shuffle(spark, tmp_path):
+    from skein.sources.tables import bucketed
+
+    files = bucketed(spark.createDataFrame([(i, "p", f"p/{i}.py", "h", "python", 0) for i in range(9)], "id long, project string, path string, hash string, language string, last_indexed long"), "id", "files_in_buckets", str(tmp_path / "f"), 3)
+    texts = bucketed(spark.createDataFrame([(i, f"p/{i}.py", f"def f{i}():\n    pass\n") for i in range(9)], "file_id long, path string, content string"), "file_id", "texts_in_buckets", str(tmp_path / "t"), 3)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        found = extract.extract_symbols(files, texts)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 9
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE files_in_buckets")
+        spark.sql("DROP TABLE texts_in_buckets")
+
+
 def test_an_index_of_texts(spark):
     from skein.operators.indexing import build_index
 
