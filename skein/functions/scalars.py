@@ -82,6 +82,13 @@ def l2_distance(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(d(a), d(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def l2_normal(v: Column | str) -> Column:
+    """A vector of length 1; one shorter than 1e-9 stays as it is."""
+    c = F.transform(_c(v), lambda x: x.cast("double"))
+    n = F.sqrt(dot(c, c))
+    return F.when(n > 1e-9, F.transform(c, lambda x: x / n)).otherwise(c)
+
+
 def module_fits(path: Column | str, module: Column | str) -> Column:
     """A file's path answers to a module name: its end, with dots as slashes, or else its last part somewhere."""
     bare = F.regexp_replace(F.regexp_replace(_c(module), r"^(\.{1,2}/)+", ""), r"\.(ts|tsx|js|cs)$", "")

@@ -77,6 +77,20 @@ def cross_language(g: CodeGraph, source: str, target: str) -> DataFrame:
     return fe.groupBy("edge_type", "source_path").agg(F.count("*").alias("steps"), F.countDistinct("target_path").alias("targets"), F.min("target_path").alias("first_target"))
 
 
+def cross_language_steps(g: CodeGraph, source: str, target: str, limit: int = 200) -> DataFrame:
+    """edge_type, source_path, step, path, line, symbol of the first ``limit`` direct flows between two languages (by type, path and line), as paths: step 0 is the source, the targets follow in order of path and line."""
+    f = g.files.select(F.col("id"), "path")
+    e = g.flow_edges.filter((F.col("source_language") == source) & (F.col("target_language") == target))
+    e = e.join(f.select(F.col("id").alias("source_file_id"), F.col("path").alias("source_path")), "source_file_id").join(f.select(F.col("id").alias("target_file_id"), F.col("path").alias("target_path")), "target_file_id")
+    order = ["edge_type", "source_path", F.col("source_line").asc_nulls_first(), "target_path", F.col("target_line").asc_nulls_first(), "source_id", "target_id"]
+    top = e.orderBy(*order).limit(limit)
+    key = ["edge_type", "source_path"]
+    first = top.groupBy(*key).agg(F.min(F.struct(F.coalesce("source_line", F.lit(-1)).alias("at"), "source_symbol")).alias("x")).select(*key, F.lit(0).alias("step"), F.col("source_path").alias("path"), F.when(F.col("x.at") >= 0, F.col("x.at")).alias("line"), F.col("x.source_symbol").alias("symbol"))
+    ends = top.select(*key, "target_path", "target_line", "target_symbol").distinct()
+    w = Window.partitionBy(*key).orderBy("target_path", F.col("target_line").asc_nulls_first(), "target_symbol")
+    return first.unionByName(ends.select(*key, F.row_number().over(w).alias("step"), F.col("target_path").alias("path"), F.col("target_line").alias("line"), F.col("target_symbol").alias("symbol")))
+
+
 def interleaved(g: CodeGraph, limit: int = 50) -> DataFrame:
     """Flow edges so that every type has its turn: the first of each type, then the second, and so on (a list of ``limit``)."""
     f = g.files.select(F.col("id").alias("source_file_id"), F.col("path").alias("source_path"))

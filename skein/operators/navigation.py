@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.scalars import escape
 from skein.operators.graphmodel import CodeGraph
+from skein.operators.search import fuzzy_scores
 
 CALL_KINDS = ("calls", "type_ref", "instantiates")
 LOW_CONFIDENCE = 0.80
@@ -114,9 +116,17 @@ def diagnostics(g: CodeGraph, unresolved: DataFrame, threshold: float = LOW_CONF
     return lost.unionByName(low.select("path", F.col("source_line").alias("line"), F.lit("low_confidence").alias("category"), said.alias("message")))
 
 
-def completion(g: CodeGraph, file_id: int, scope: str | None, prefix: str, limit: int = 30, tier_cap: int = 200) -> DataFrame:
-    """Names that begin with a prefix, nearest first: 0 the same scope, 1 imported, 2 the same namespace. First tier wins; ``limit`` is the list's length."""
-    fits = F.lower("name").startswith(prefix.lower())
+def shown(df: DataFrame, signature: bool = True, doc: bool = False, width: int = 120) -> DataFrame:
+    """Symbols as a list shows them: without their signature or documentation unless asked, and these as one line of at most ``width`` characters, the last of them a mark where something was left out."""
+    out = df.drop(*[c for c, wanted in (("signature", signature), ("doc_comment", doc)) if not wanted])
+    line = lambda c: F.when(F.length(F.substring_index(c, "\n", 1)) > width, F.concat(F.substring(F.substring_index(c, "\n", 1), 1, width - 1), F.lit("…"))).otherwise(F.substring_index(c, "\n", 1))
+    return out.withColumns({c: line(c) for c in ("signature", "doc_comment") if c in out.columns})
+
+
+def completion(g: CodeGraph, file_id: int, scope: str | None, prefix: str, limit: int = 30, tier_cap: int = 200, fuzzy: bool = False) -> DataFrame:
+    """Names that begin with a prefix (or hold its letters in order, if ``fuzzy``), nearest first: 0 the same scope, 1 imported, 2 the same namespace. First tier wins; ``limit`` is the list's length."""
+    letters = "(?i)" + ".*".join(map(escape, prefix))
+    fits = F.col("name").rlike(letters) if fuzzy else F.lower("name").startswith(prefix.lower())
     cols = ["id", "name", "qualified_name", "kind"]
     parent = scope.rsplit(".", 1)[0] if scope and "." in scope else None
     near = g.symbols.filter(fits & (F.col("file_id") == file_id) & F.col("scope_path").eqNullSafe(scope)).select(*cols, F.lit(0).alias("distance"))
@@ -126,7 +136,9 @@ def completion(g: CodeGraph, file_id: int, scope: str | None, prefix: str, limit
     score = F.when(F.col("name") == prefix, 100).otherwise(F.lit(100) - F.length("name") + len(prefix))
     tier = Window.partitionBy("distance").orderBy(F.desc("score"), "qualified_name", "id")
     first = Window.partitionBy("qualified_name").orderBy("distance", "id")
-    every = near.unionByName(known).unionByName(peers).withColumn("score", score).withColumn("k", F.row_number().over(tier)).filter(F.col("k") <= tier_cap)
+    found = near.unionByName(known).unionByName(peers)
+    found = fuzzy_scores(found, "name", prefix).drop("spots") if fuzzy else found.withColumn("score", score)
+    every = found.withColumn("k", F.row_number().over(tier)).filter(F.col("k") <= tier_cap)
     once = every.withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
     return once.orderBy("distance", F.desc("score"), "qualified_name").limit(limit)
 

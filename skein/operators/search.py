@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.batches import map_columns
-from skein.functions.scalars import cosine, escape, in_scope, l2_distance, match_words
+from skein.functions.scalars import cosine, escape, in_scope, l2_distance, l2_normal, match_words
 from skein.operators.graphmodel import CodeGraph
 from skein.plans.session import cut_lineage
 
@@ -208,19 +208,22 @@ def fuzzy_score(query: str, text: str) -> tuple[int, list[int]] | None:
     return score - min(20, len(text) // 8), way
 
 
-def fuzzy(df: DataFrame, column: str, query: str, limit: int = 50) -> DataFrame:
-    """The best rows by ``fuzzy_score`` of a column: all its columns, score, spots (a top-k list). A pattern keeps most rows from ever leaving the JVM."""
-    letters = [c for c in query if c != " "]
+def fuzzy_scores(df: DataFrame, column: str, query: str) -> DataFrame:
+    """The rows whose column holds the letters of a query in order, with score and spots. A pattern keeps most rows from ever leaving the JVM."""
     smart = query != query.lower()
-    pattern = ("" if smart else "(?i)") + ".*".join(map(escape, letters))
-    near = df.filter(F.col(column).rlike(pattern))
+    pattern = ("" if smart else "(?i)") + ".*".join(escape(c) for c in query if c != " ")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", score int, spots array<int>"
 
     def score(cols):
         got = [fuzzy_score(query, t) or (None, None) for t in cols[column]]
         return cols | {"score": [s for s, _ in got], "spots": [p for _, p in got]}
 
-    return map_columns(near, score, schema).filter("score is not null").orderBy(F.desc("score"), column, *[c for c in df.columns if c != column]).limit(limit)
+    return map_columns(df.filter(F.col(column).rlike(pattern)), score, schema).filter("score is not null")
+
+
+def fuzzy(df: DataFrame, column: str, query: str, limit: int = 50) -> DataFrame:
+    """The best rows by ``fuzzy_score`` of a column: all its columns, score, spots (a top-k list)."""
+    return fuzzy_scores(df, column, query).orderBy(F.desc("score"), column, *[c for c in df.columns if c != column]).limit(limit)
 
 
 # -- vectors --------------------------------------------------------------------------
@@ -276,8 +279,7 @@ def embed(texts: DataFrame, dims: int = 64) -> DataFrame:
     spots = texts.select("id", F.explode(w).alias("w")).select("id", F.pmod(F.xxhash64("w"), F.lit(dims)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(F.lit(1), "w"), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("x"))
     sums = spots.groupBy("id", "at").agg(F.sum("x").alias("x")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return sums.select("id", F.transform(raw, lambda x: F.when(norm > 1e-9, x / norm).otherwise(x)).alias("embedding"))
+    return sums.select("id", l2_normal(raw).alias("embedding"))
 
 
 def rerank(refs: DataFrame, vectors: DataFrame, context: list[float] | None) -> DataFrame:

@@ -630,11 +630,12 @@ def gra_subgraph_concept(g):
     return graph.subgraph(g, con_members(g))
 
 
-@query(f"""{with_views('e')} SELECT s.id, min(f.project) AS concept, count(e.target_id) AS n FROM symbols s JOIN files f ON f.id = s.file_id LEFT JOIN e ON e.source_id = s.id GROUP BY 1""")
+@query(f"""{with_views('e')}, {_CON}, {_MEM_EQ}, c1 AS (SELECT symbol_id, min(name) AS concept FROM m GROUP BY 1), o AS (SELECT source_id, count(*) AS n FROM e GROUP BY 1)
+    SELECT s.id, c1.concept, coalesce(o.n, 0) AS n FROM symbols s LEFT JOIN c1 ON c1.symbol_id = s.id LEFT JOIN o ON o.source_id = s.id""")
 def agg_first_concept(g):
     out = g.edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"))
-    s = g.symbols.select("id", "file_id").join(g.files.select(F.col("id").alias("file_id"), F.col("project").alias("concept")), "file_id")
-    return s.join(out, "id", "left").groupBy("id").agg(F.min("concept").alias("concept"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    first = concepts.assign(g, concepts.discover(g)).groupBy(F.col("symbol_id").alias("id")).agg(F.min("name").alias("concept"))
+    return g.symbols.select("id").join(first, "id", "left").join(out, "id", "left").select("id", "concept", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"""{with_views('sym', 'e')}, {HOT}, {_Q}, p AS (SELECT DISTINCT s.file_id, e.source_line AS line, e.source_id FROM e JOIN symbols s ON s.id = e.source_id WHERE e.target_id = (SELECT id FROM hot) AND e.source_line IS NOT NULL),
@@ -983,3 +984,17 @@ def sca_clip(g):
     SELECT file_id, symbol_id, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, sha256(content) AS content_hash FROM (SELECT * FROM body UNION ALL SELECT * FROM gap) WHERE length(trim(regexp_replace(content, '\\s+', ' ', 'g'))) > 0""")
 def ext_whole_chunks(g):
     return extract.whole_chunks(g.symbols, g.read("source_files")).select("file_id", "symbol_id", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
+
+
+@query(f"""{with_views('e', 'flow')}, t AS (SELECT w.edge_type, a.path AS source_path, w.source_line, w.source_symbol, b.path AS target_path, w.target_line, w.target_symbol FROM flow w JOIN files a ON a.id = w.source_file_id JOIN files b ON b.id = w.target_file_id
+    WHERE w.source_language = 'typescript' AND w.target_language = 'csharp' ORDER BY w.edge_type, a.path, w.source_line NULLS FIRST, b.path, w.target_line NULLS FIRST, w.source_id, w.target_id LIMIT 200)
+    SELECT edge_type, source_path, 0 AS step, source_path AS path, source_line AS line, source_symbol AS symbol FROM (SELECT *, row_number() OVER (PARTITION BY edge_type, source_path ORDER BY source_line NULLS FIRST, source_symbol) AS k FROM t) WHERE k = 1
+    UNION ALL SELECT edge_type, source_path, CAST(row_number() OVER (PARTITION BY edge_type, source_path ORDER BY target_path, target_line NULLS FIRST, target_symbol) AS INTEGER), target_path, target_line, target_symbol FROM (SELECT DISTINCT edge_type, source_path, target_path, target_line, target_symbol FROM t)""")
+def gra_cross_language_steps(g):
+    return graph.cross_language_steps(g, "typescript", "csharp")
+
+
+@query("""SELECT id, name, CASE WHEN length(split_part(signature, chr(10), 1)) > 60 THEN substr(split_part(signature, chr(10), 1), 1, 59) || '…' ELSE split_part(signature, chr(10), 1) END AS signature,
+    CASE WHEN length(split_part(doc_comment, chr(10), 1)) > 60 THEN substr(split_part(doc_comment, chr(10), 1), 1, 59) || '…' ELSE split_part(doc_comment, chr(10), 1) END AS doc_comment FROM symbols""")
+def nav_shown(g):
+    return navigation.shown(g.symbols.select("id", "name", "signature", "doc_comment"), doc=True, width=60)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.scalars import escape, glob_regex
+
 #: File name endings of the languages.
 EXTENSIONS = {"py": "python", "pyi": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "cs": "csharp", "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "kt": "kotlin", "swift": "swift", "scala": "scala", "dart": "dart", "ex": "elixir", "exs": "elixir", "sh": "bash", "lua": "lua", "r": "r", "hs": "haskell", "proto": "protobuf", "graphql": "graphql", "gql": "graphql", "html": "html", "css": "css", "scss": "scss", "json": "json", "yml": "yaml", "yaml": "yaml", "xml": "xml", "sql": "sql", "md": "markdown", "toml": "toml"}
 #: File names that tell the language by themselves.
@@ -49,31 +51,55 @@ def kept(path: Column | str) -> Column:
     return ~F.exists(folders, lambda f: f.isin(*EXCLUDED) | F.startswith(f, F.lit(".")))
 
 
-def ignored_by(path: Column | str, patterns: list[str]) -> Column:
-    """Whether the lines of an ignore file exclude a path; the last line that fits decides, ! takes back."""
-    from skein.functions.scalars import glob_regex
-
+def ignored_by(path: Column | str, patterns: list[str], folder: str = "", so_far: Column | None = None) -> Column:
+    """Whether the lines of an ignore file in a folder exclude a path; the last line that fits decides, ! takes back. ``so_far`` is what files above say."""
     c = F.col(path) if isinstance(path, str) else path
-    out = F.lit(False)
+    out = F.lit(False) if so_far is None else so_far
+    head = escape(folder.strip("/") + "/") if folder.strip("/") else ""
     for line in patterns:
         p = line.strip()
         if not p or p.startswith("#"):
             continue
         back, p = p.startswith("!"), p.lstrip("!")
         rooted, p = p.startswith("/"), p.strip("/")
-        rx = glob_regex(p if "/" in p or rooted else f"**/{p}").rstrip("$") + "(?:/.*)?$"
-        out = F.when(c.rlike(rx), F.lit(not back)).otherwise(out)
+        rx = glob_regex(p if "/" in p or rooted else f"**/{p}").rstrip("$").removeprefix("^").removeprefix("(?:^|/)")
+        out = F.when(c.rlike(f"^{head}{rx}(?:/.*)?$"), F.lit(not back)).otherwise(out)
+    return out
+
+
+def ignore_files(spark: SparkSession, root: str, depth: int = 50) -> list[tuple[str, list[str]]]:
+    """(folder below the root, lines) of the ignore files of a tree, the upper ones first. Readers of tables pass over hidden files, so these are asked for by name, level by level."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    top = path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/")
+    out = []
+    for k in range(depth):
+        level = root.rstrip("/") + "/*" * k
+        if not fs.globStatus(path(level)):
+            break
+        for found in fs.globStatus(path(level + "/.gitignore")) or []:
+            stream = fs.open(found.getPath())
+            try:
+                text = bytes(stream.readAllBytes()).decode("utf-8", "replace")
+            finally:
+                stream.close()
+            out.append((found.getPath().getParent().toUri().getPath()[len(base) + 1 :], text.split("\n")))
     return out
 
 
-def walk(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """path (below the root), language, content of every source file under a folder."""
-    raw = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(root).select(F.col("value").alias("content"), F.input_file_name().alias("full"))
+def walk(spark: SparkSession, root: str, ignore: list[str] | None = None, depth: int = 50) -> DataFrame:
+    """path (below the root), language, content of every source file under a folder, up to so many folders deep. Ignore files in any folder hold below it, the nearest last; ``ignore`` are further lines for the root."""
+    read = spark.read.option("recursiveFileLookup", True).option("wholetext", True)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    path = F.regexp_replace(F.url_decode(F.replace("full", F.lit("+"), F.lit("%2B"))), r"^\w+:/*", "")
-    rel = raw.withColumn("p", path).select(F.substring("p", len(base) + 2, 1_000_000).alias("path"), "content")
+    full = F.regexp_replace(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), r"^\w+:/*", "")
+    below = F.substring(full, len(base) + 2, 1_000_000)
+    ignored = ignored_by("path", ignore or [])
+    for folder, lines in ignore_files(spark, root, depth):
+        ignored = ignored_by("path", lines, folder, ignored)
     lang = language_of("path")
-    return rel.filter(kept("path") & ~ignored_by("path", ignore or []) & lang.isNotNull()).select("path", lang.alias("language"), "content")
+    rel = read.text(root).select(below.alias("path"), F.col("value").alias("content"))
+    return rel.filter(kept("path") & ~ignored & lang.isNotNull() & (F.size(F.split("path", "/")) <= depth)).select("path", lang.alias("language"), "content")
 
 
 def profile(files: DataFrame) -> DataFrame:

@@ -260,6 +260,11 @@ def test_languages_walks_and_ignores(spark, tmp_path):
         (tmp_path / p).write_text(text)
     got = {(r.path, r.language, r.content) for r in walker.walk(spark, str(tmp_path), ["gen/", "# note", "!keep"]).collect()}
     assert got == {("src/a.py", "python", "x"), ("src/B.cs", "csharp", "y")}
+    (tmp_path / ".gitignore").write_text("gen/\n*.cs\n")
+    (tmp_path / "src/.gitignore").write_text("!B.cs\n/a.py\n")
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib/C.cs").write_text("n")
+    assert {r.path for r in walker.walk(spark, str(tmp_path)).collect()} == {"src/B.cs"}  # the nearest ignore file decides
     (tmp_path / "base.json").write_text(json.dumps([{"project": "p", "files": 3, "symbols": 4}]))
     assert {(r.metric, r.value) for r in walker.baseline(spark, str(tmp_path / "base.json")).collect()} == {("files", 3), ("symbols", 4)}
     prof = walker.profile(spark.createDataFrame([("p", "p/package.json"), ("p", "p/tests/a_test.go"), ("p", "p/main.go")], "project string, path string"))
@@ -431,6 +436,13 @@ def test_browsing(spark, tmp_path):
     assert far.count() == 1  # whatever the length of a span
 
 
+def test_completion_by_letters(spark, tmp_path):
+    g = tables(spark, tmp_path, files=[(1, "p", "p/a.cs", "h", "csharp", 0)], symbols=[sym(1, 1, "getUser", "N.getUser", scope="N"), sym(2, 1, "gatherUsers", "N.gatherUsers", scope="N"), sym(3, 1, "other", "N.other", scope="N")])
+    assert {r.name for r in navigation.completion(g, 1, "N", "gU").collect()} == {"getUser"} - {"getUser"}
+    assert [r.name for r in navigation.completion(g, 1, "N", "gu", fuzzy=True).collect()][0] == "getUser"
+    assert {r.name for r in navigation.completion(g, 1, "N", "gu", fuzzy=True).collect()} == {"getUser", "gatherUsers"}
+
+
 def test_document_paths():
     assert scip.document_path(".github/a.py") == ".github/a.py" and scip.document_path("./x/a.py") == "x/a.py"
     assert scip.document_path("file:///home/u/p/src\\a.cs", ("/elsewhere", "file:///home/u/p")) == "src/a.cs"
