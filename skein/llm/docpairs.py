@@ -6,9 +6,10 @@ its comment blocks and the strings that open Python bodies. The comments and fun
 a file then meet in a bipartite assignment: an edge joins a comment and each function
 declared up to ``REACH`` lines below it; its weight comes from the parameters that the
 comment's tags name, from the function's name in the comment, from the lines in between
-and from whether anything but annotations stands there. ``assign`` finds the matching of
-the greatest total weight. A link whose weight is below ``LEAST`` is implausible and
-refused: its tags name other parameters than the function has. What is left is checked
+and from whether anything but annotations stands there. A link whose weight is below
+``LEAST`` is implausible and refused: its tags name other parameters than the function
+has, or nothing speaks for it. ``assign`` finds the matching of the greatest total weight
+among the others. What it links is checked
 against the definition, by which documentation ends on the line above its function.
 Documentation that says nothing is dropped by ``prose_words``.
 
@@ -227,85 +228,60 @@ def link_weight(tags: set[str], params: set[str], named: bool, lines: int, attac
 
 
 def assign(edges: dict[tuple[int, int], float]) -> dict[int, int]:
-    """The matching of greatest total weight between comments and functions, given as positive weights of (comment, function).
+    """The matching of greatest total weight between comments and functions, given as weights of (comment, function).
 
-    An edge that weighs at least as much as the best others at its two ends together
-    belongs to some best matching; such edges are taken first. What they leave is solved
-    by augmenting along the alternating path that gains most."""
-    of: tuple[dict, dict] = defaultdict(dict), defaultdict(dict)
+    Where comments prefer different functions, that is it. A comment whose first choice
+    goes to another one is brought in along the alternating path that gains most; paths
+    end where what they have lost outweighs all that a comment could still win, so that
+    the search stays near, however many comments a file has."""
+    of: dict[int, dict[int, float]] = defaultdict(dict)
     for (c, f), w in sorted(edges.items()):
         if w > 0:
-            of[0][c][f] = w
-            of[1][f][c] = w
-    taken: dict[int, int] = {}
-    todo = list(of[0])
+            of[c][f] = w
+    most = {c: max(fs.values()) for c, fs in of.items()}
+    mate: dict[int, int] = {}  # function: comment
+    for c, fs in of.items():
+        f = next(x for x, w in fs.items() if w == most[c])
+        if f not in mate or fs[f] > of[mate[f]][f]:
+            mate[f] = c
+    match = {c: f for f, c in mate.items()}
+    for c in of:
+        if c not in match:
+            _bring_in(c, of, most, match, mate)
+    return match
+
+
+def _bring_in(start: int, of: dict[int, dict[int, float]], most: dict[int, float], match: dict[int, int], mate: dict[int, int]) -> None:
+    """Adds a comment to a best matching: over a free function, or at the cost of the comment that can best do without."""
+    gain = {start: 0.0}
+    came: dict[int, tuple[int, int]] = {}  # comment: (the comment before it on the path, the function that one takes from it)
+    best, end = 1e-9, None
+    todo = [start]
     while todo:
-        again = set()
+        again = []
         for c in todo:
-            if not of[0].get(c):
-                continue
-            f = max(of[0][c], key=lambda x: (of[0][c][x], -x))
-            w = of[0][c][f]
-            other = max((v for x, v in of[0][c].items() if x != f), default=0.0) + max((v for x, v in of[1][f].items() if x != c), default=0.0)
-            if w >= other:
-                taken[c] = f
-                for x in of[1].pop(f):
-                    of[0][x].pop(f, None)
-                    again.add(x)
-                for x in of[0].pop(c):
-                    of[1].get(x, {}).pop(c, None)
-                    again.update(of[1].get(x, {}))
-        todo = sorted(again & set(of[0]))
-    rest = {c: fs for c, fs in of[0].items() if fs}
-    return taken | _augment(rest)
-
-
-def _augment(rest: dict[int, dict[int, float]]) -> dict[int, int]:
-    """Greatest matching of a small graph: from each free comment the alternating path of greatest gain, until none gains."""
-    mate: dict[int, int] = {}  # function: comment
-    match: dict[int, int] = {}
+            for f, w in of[c].items():
+                c2 = mate.get(f)
+                if c2 == c:
+                    continue
+                g = gain[c] + w - (of[c2][f] if c2 is not None else 0.0)
+                if g > best:
+                    best, end = g, (c, f)
+                if c2 is not None and c2 != start and g + most[c2] > best and g > gain.get(c2, -1e18) + 1e-9:
+                    gain[c2], came[c2] = g, (c, f)
+                    again.append(c2)
+        todo = again
+    if end is None:
+        return
+    c, f = end
+    dropped = mate.get(f)
+    if dropped is not None:
+        del match[dropped]
     while True:
-        gain = {c: 0.0 for c in rest if c not in match}
-        came: dict[int, tuple[int, int]] = {}  # comment: (the comment before it on the path, the function that one takes from it)
-        best, end = 1e-9, None
-        for _ in range(len(rest) + 1):
-            moved = False
-            for c in list(gain):
-                for f, w in rest[c].items():
-                    if match.get(c) == f:
-                        continue
-                    g = gain[c] + w
-                    c2 = mate.get(f)
-                    if c2 is None:
-                        if g > best:
-                            best, end = g, (c, f)
-                        continue
-                    g -= rest[c2][f]
-                    if g > gain.get(c2, -1e18) + 1e-9 and not _on_path(came, c, c2):
-                        gain[c2], came[c2], moved = g, (c, f), True
-                    if g > best:
-                        best, end = g, (c, f)
-            if not moved:
-                break
-        if end is None:
-            return match
-        c, f = end
-        dropped = mate.get(f)
-        if dropped is not None:
-            del match[dropped]
-        while True:
-            match[c], mate[f] = f, c
-            if c not in came:
-                break
-            c, f = came[c]
-
-
-def _on_path(came: dict, c: int, c2: int) -> bool:
-    while c != c2:
-        if c not in came:
-            return False
-        c = came[c][0]
-    return True
+        match[c], mate[f] = f, c
+        if c == start:
+            return
+        c, f = came[c]
 
 
 _PAIRED = "symbol_id long, file_id long, line int, origin string, description string, words int, weight double"
@@ -330,11 +306,13 @@ def _link_file(rows: list[tuple]) -> list[tuple]:
             if params[j] is None:
                 params[j] = params_of(f[7])
             named = bool(f[6]) and re.search(rf"\b{re.escape(f[6])}\b", c[5]) is not None
-            edges[k, j] = link_weight(tags, params[j], named, min(f[2] - c[2] - 1, REACH), c[3] == f[2])
+            w = link_weight(tags, params[j], named, min(f[2] - c[2] - 1, REACH), c[3] == f[2])
+            if w >= LEAST:
+                edges[k, j] = w
     out = []
     for k, j in assign(edges).items():
         c, f = comments[k], functions[j]
-        if f[8] or edges[k, j] < LEAST or c[3] != f[2]:
+        if f[8] or c[3] != f[2]:
             continue
         n = prose_words(c[5], f[6])
         out += [(f[4], f[0], f[2], "source", " ".join(prose(c[5])) if n else None, n, edges[k, j])] * copies[f[4]]
