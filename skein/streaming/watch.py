@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.graphmodel import CodeGraph
 from skein.operators.maintain import latest_changes
+from skein.operators.reindex import reindex
 from skein.sources.walker import language_of
 
 EVENTS = "path string, change string, seq long, at timestamp"
@@ -32,3 +34,13 @@ def bursts(events: DataFrame, gap: str = "100 milliseconds", late: str = "10 min
     """path, began, ended, events: bursts of changes of a file, as session windows under a watermark; repeated deliveries count once."""
     once = events.withWatermark("at", late).dropDuplicatesWithinWatermark(["path", "seq"])
     return once.groupBy(F.session_window("at", gap).alias("w"), "path").agg(F.count("*").alias("events")).select("path", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "events")
+
+
+def reindexing(spark: SparkSession, folder: Callable[[], str], texts: Callable[[DataFrame], DataFrame], publish: Callable[[dict[str, DataFrame], int], None]) -> Callable[[DataFrame, int], None]:
+    """What ``watch`` does with a batch of changes (path, change) so that the graph follows them: reads the tables of the folder that holds by now, re-indexes with the present texts (path, content) of the changed files, and hands the new tables and the batch's number to ``publish``, which writes them and moves the folder on. A batch that comes again gives the same tables."""
+
+    def handle(changes: DataFrame, batch: int) -> None:
+        g = CodeGraph(spark, folder())
+        publish(reindex(g, changes.select("path", F.when(F.col("change") == "deleted", "deleted").otherwise("modified").alias("change")), texts(changes)), batch)
+
+    return handle

@@ -301,6 +301,28 @@ def test_watch_keeps_the_last_change(spark, tmp_path):
     assert sorted(got) == [("a.py", "deleted"), ("b.ts", "modified")]
 
 
+def test_the_watch_loop_keeps_the_graph(spark, tmp_path):
+    tables(spark, tmp_path / "0", files=[(1, "p", "p/a.py", "h", "python", 0)], symbols=[sym(10, 1, "old", "old", "function", 0, 1)], source_files=[(1, "p/a.py", "def old():\n    pass\n")])
+    src, at = tmp_path / "events", [0]
+    src.mkdir()
+    rows = [("p/a.py", "modified", 1), ("p/b.py", "created", 2)]
+    (src / "1.json").write_text("\n".join(json.dumps({"path": p, "change": c, "seq": s, "at": "2026-01-01T00:00:00"}) for p, c, s in rows))
+    now = {"p/a.py": "def fresh():\n    made()\n", "p/b.py": "def made():\n    pass\n"}
+
+    def publish(out, batch):
+        for name in ("files", "symbols", "edges"):
+            out[name].write.parquet(f"{tmp_path}/{batch + 1}/{name}.parquet")
+        spark.read.parquet(f"{tmp_path}/0/runtime_symbols.parquet").write.parquet(f"{tmp_path}/{batch + 1}/runtime_symbols.parquet")
+        at[0] = batch + 1
+
+    texts = lambda changes: changes.sparkSession.createDataFrame(sorted(now.items()), "path string, content string")
+    q = watch.watch(watch.change_stream(spark, str(src)), watch.reindexing(spark, lambda: f"{tmp_path}/{at[0]}", texts, publish), str(tmp_path / "ck"), until_idle=True)
+    q.awaitTermination(180)
+    g = CodeGraph(spark, f"{tmp_path}/{at[0]}")
+    names = {r.id: r.name for r in g.symbols.collect()}
+    assert set(names.values()) == {"fresh", "made"} and [(names[r.source_id], names[r.target_id]) for r in g.edges.collect()] == [("fresh", "made")]
+
+
 def test_bursts_are_session_windows(spark, tmp_path):
     src = tmp_path / "events"
     src.mkdir()
