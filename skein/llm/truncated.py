@@ -23,10 +23,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.batches import map_columns
 from skein.plans.session import cut_lineage
 
 MIN_SPIKE = 3  # different texts at a limit, at least
@@ -39,6 +39,7 @@ SEEN = 100  # occurrences from which on a word's or pair's shares are believed
 COMMON = 32  # occurrences from which on a word may have fragments
 RARE = 0.05  # share of the occurrences of the word it begins, up to which a word inside texts may be a fragment
 ENDS = 0.01  # share of occurrences that end a line or sentence, up to which a word goes on
+PAIRS_HELD = 300_000  # different pairs of words that a task counts before it gives them away
 SHORT = 3  # words of the longest line that copies of itself make a whole one
 LAST = 0.01  # the same for occurrences that end a text openly, where cut texts count too
 
@@ -142,34 +143,43 @@ def _pairs(text: str, words: _Words, n: Counter, ends: Counter, last: Counter) -
     ends.update(closing)
 
 
-def _read(cols):
-    """One pass over texts: what each one's end shows, and the counts of pairs of words of them all."""
-    out: dict[str, list] = {x.split()[0]: [] for x in _READ.split(", ")}
+def _read(batches):
+    """One pass over texts (print, text): what each one's end shows, and the counts of pairs of words of them all, added up over batches while they are few."""
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _READ.split(", "))])
     n: Counter = Counter()
     ends: Counter = Counter()
     last: Counter = Counter()
     words = _Words()
-    for print_, text in zip(cols["print"], cols["text"]):
-        t = tail(text)
-        out["print"].append(print_)
-        for k in _TAIL:
-            out[k].append(t[k])
-        _pairs(text, words, n, ends, last)
-    texts, keys = len(cols["text"]), list(n)
-    for k, v in out.items():
-        if k in ("n", "ends", "last"):
-            v += [None] * texts
-        elif k not in ("w1", "w2"):
-            v += [None] * len(keys)
-    for k, v in (("w1", [a for a, _ in keys]), ("w2", [b for _, b in keys]), ("n", [n[k] for k in keys]), ("ends", [ends[k] for k in keys]), ("last", [last[k] for k in keys])):
-        out[k] += v
-    return out
+
+    def rows(size: int, cols: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[k], f.type) if k in cols else pa.nulls(size, f.type) for k, f in zip(schema.names, schema)], schema=schema)
+
+    def counts() -> pa.RecordBatch:
+        keys = list(n)
+        return rows(len(keys), {"w1": [a for a, _ in keys], "w2": [b for _, b in keys], "n": list(n.values()), "ends": [ends[k] for k in keys], "last": [last[k] for k in keys]})
+
+    for batch in batches:
+        out: dict[str, list] = {k: [] for k in ("print", *_TAIL)}
+        for print_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            t = tail(text)
+            out["print"].append(print_)
+            for k in _TAIL:
+                out[k].append(t[k])
+            _pairs(text, words, n, ends, last)
+            if len(n) > PAIRS_HELD:
+                yield counts()
+                for c in (n, ends, last, words):
+                    c.clear()
+        yield rows(batch.num_rows, out)
+    if n:
+        yield counts()
 
 
 def read_texts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(print and tail of each different text; pairs). Copies are dropped where they lie before texts move, and each different text is read once."""
     once = documents.filter("text is not null").select("text").distinct().select(F.md5("text").alias("print"), "text")
-    read = cut_lineage(map_columns(once, _read, _READ))
+    read = cut_lineage(once.mapInArrow(_read, _READ))
     return read.filter("print is not null").select("print", *_TAIL), word_pairs(read.filter("print is null"))
 
 
