@@ -170,6 +170,13 @@ class WorkLedger:
                 return True
             except FileExistsError:
                 return False
+            except OSError:  # a mount without hard links
+                try:
+                    with open(made, "x") as out:
+                        out.write(text)
+                    return True
+                except FileExistsError:
+                    return False
             finally:
                 os.unlink(plain)
         rename = self._scheme in _RENAMES

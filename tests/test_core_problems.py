@@ -12,6 +12,7 @@ from skein.operators.hierarchy import Forest, descendants, hierarchy, levels, lo
 from skein.operators.keychunks import hot_keys, key_totals
 from skein.operators.offsets import part_offsets, sorted_runs
 from skein.plans.session import cut_lineage
+from skein.operators import workledger
 from skein.operators.workledger import WorkLedger, drive, plan_next, plan_runs, replay, state_after
 
 T0 = datetime(2026, 1, 1)
@@ -141,6 +142,13 @@ def test_heads_are_created_once_whoever_tries(spark, tmp_path):
     assert sum(won) == 1 and led.head(0)[1] == [str(won.index(True))]
 
 
+def test_heads_without_hard_links(spark, tmp_path, monkeypatch):
+    led = WorkLedger(spark, str(tmp_path / "l"), buckets=1)
+    monkeypatch.setattr(workledger.os, "link", lambda a, b: (_ for _ in ()).throw(PermissionError("no links here")))
+    assert led._create("heads/0/000000000001", "[]") and not led._create("heads/0/000000000001", "[1]") and led.head(0) == (1, [])
+    assert not list((tmp_path / "l" / "drafts").iterdir())
+
+
 def test_a_lease_reads_and_writes_its_bucket_only(spark, tmp_path):
     plan = spark.createDataFrame([(1, i, "added", f"h{i}", None) for i in range(40)], PLAN)
     led = WorkLedger(spark, str(tmp_path / "l"), buckets=4)
