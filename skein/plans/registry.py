@@ -387,7 +387,7 @@ def sea_fuzzy_files(g):
 
 @query()
 def sea_fuzzy_symbols(g):
-    return search.fuzzy(g.symbols.select("id", "qualified_name"), "qualified_name", "CrewJob")
+    return search.fuzzy(g.symbols.select("id", "qualified_name"), "qualified_name", "Serv")
 
 
 def _vector(g) -> list[float]:
